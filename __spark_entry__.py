@@ -186,7 +186,7 @@ def q_single_term_docs(spark, sf_dir):
 
 
 def q_candidate_docs(spark, sf_dir):
-    return candidate_docs(_lookup(spark, sf_dir)).select("query_id", "doc_id").distinct()
+    return candidate_docs(_lookup(spark, sf_dir))
 
 
 def q_phrase_match(spark, sf_dir):

@@ -4,14 +4,13 @@ Adjacency rule: word k+1 must start at ``pos_k + len(word_k) + 1``, where the
 length is that of the unstemmed query word and ``pos`` a raw-character offset.
 A full chain from offset ``s`` exists exactly when, for every k, term k has a
 position ``s + start_offset_k``. So instead of a chain of n-1 joins, every
-position p of term k votes for the start ``p - start_offset_k``, and a start
-with ``n_terms`` votes is a match.
+distinct position p of word k votes for the start ``p - start_offset_k``, and a
+start with ``n_terms`` votes is a match.
 
 Shuffles: the lookup joins a broadcast (size-checked) query table to the index
-scan, then ONE exchange on (query_id, doc_id) serves the AND filter (a window),
-the start-vote aggregation and every later grouping, as their keys all contain
-(query_id, doc_id). A (query, document) group holds at most ``n_terms`` posting
-rows, so a frequent term spreads over many groups instead of filling one.
+scan, then ONE exchange on (query_id, doc_id) serves the AND filter (a window)
+and the vote aggregation on (query_id, doc_id, start), whose key contains it. A (query, document) group holds at most ``n_terms`` posting rows, so a
+frequent term spreads over many groups instead of filling one.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phrasedex.functions.text import let
+
 LOOKUP_COLUMNS = ["query_id", "k", "doc_id", "positions", "start_offset", "n_terms"]
 
 
@@ -36,33 +37,52 @@ def lookup_terms(index: DataFrame, parsed: DataFrame, broadcast_queries: bool =
 
 
 def candidate_docs(lookup: DataFrame) -> DataFrame:
-    """Lookup rows of documents that hold every word of the query (AND).
+    """(query_id, doc_id) of documents that hold every word of the query (AND).
 
-    (term, doc_id) is unique in the index, so the rows of one (query, doc) are
-    one per word present; all words are present when that count is n_terms.
+    (term, doc_id) is unique in the index, so a (query, doc) group has one row
+    per word present; all words are present when that count is n_terms.
     """
-    w = Window.partitionBy("query_id", "doc_id")
-    return lookup.withColumn("_present", F.count(F.lit(1)).over(w)).where(
-        F.col("_present") == F.col("n_terms")
-    ).drop("_present")
+    return (
+        lookup.groupBy("query_id", "doc_id")
+        .agg(F.count(F.lit(1)).alias("_present"), F.first("n_terms").alias("_n"))
+        .where(F.col("_present") == F.col("_n"))
+        .select("query_id", "doc_id")
+    )
+
 
+def _start_votes(lookup: DataFrame) -> DataFrame:
+    """(query_id, doc_id, k, n_terms, start, p) for documents holding every word.
 
-def _start_votes(candidates: DataFrame) -> DataFrame:
-    """(query_id, doc_id, k, start, p): each distinct position of word k votes for a start."""
-    return candidates.select(
+    The AND filter is a window over (query_id, doc_id): it shares the one
+    exchange with the vote aggregation that follows. Each distinct position p of
+    word k votes for the phrase start ``p - start_offset_k``.
+    """
+    w = Window.partitionBy("query_id", "doc_id")
+    present = lookup.withColumn("_present", F.count(F.lit(1)).over(w)).where(F.col("_present") == F.col("n_terms"))
+    return present.select(
         "query_id", "doc_id", "k", "n_terms", "start_offset", F.explode(F.array_distinct("positions")).alias("p")
     ).withColumn("start", F.col("p") - F.col("start_offset"))
 
 
 def phrase_match(lookup: DataFrame) -> DataFrame:
-    """(query_id, doc_id, start_pos): every offset at which the whole phrase starts."""
-    votes = _start_votes(candidate_docs(lookup))
-    return (
+    """(query_id, doc_id, start_pos): every offset at which the whole phrase starts.
+
+    One-word phrases need no grouping: each distinct position is a start, read
+    straight off the lookup with no shuffle. Longer phrases go through the vote
+    aggregation: a start with n_terms votes (one per word; (k, start) is unique)
+    is a match.
+    """
+    single = lookup.where(F.col("n_terms") == 1).select(
+        "query_id", "doc_id", F.explode(F.array_distinct("positions")).alias("start_pos")
+    )
+    votes = _start_votes(lookup.where(F.col("n_terms") > 1))
+    multi = (
         votes.groupBy("query_id", "doc_id", "start")
         .agg(F.count(F.lit(1)).alias("_votes"), F.first("n_terms").alias("_n"))
         .where(F.col("_votes") == F.col("_n"))
         .select("query_id", "doc_id", F.col("start").alias("start_pos"))
     )
+    return single.unionByName(multi)
 
 
 def phrase_docs(matches: DataFrame) -> DataFrame:
@@ -75,16 +95,16 @@ def partial_phrase_matches(lookup: DataFrame) -> DataFrame:
 
     Step s (1-based) lists each position of word s-1 from which words 0..s all
     follow each other, even if the phrase breaks later; only documents holding
-    every word take part. Per start offset, the present words sorted by k form
-    an unbroken prefix 0..L-1; steps 1..L-1 are reported at the positions of
-    words 0..L-2 of that chain.
+    every word take part. Per start offset, the words voting for it, sorted by
+    k, hold an unbroken prefix 0..L-1; steps 1..L-1 are reported at the
+    positions of words 0..L-2. One-word phrases have no steps.
     """
-    votes = _start_votes(candidate_docs(lookup))
+    votes = _start_votes(lookup.where(F.col("n_terms") > 1))
     per_start = votes.groupBy("query_id", "doc_id", "start").agg(
         F.array_sort(F.collect_list(F.struct("k", "p"))).alias("_chain")
     )
     prefix = F.filter(F.col("_chain"), lambda x, i: x["k"] == i)
-    steps = F.slice(prefix, 1, F.greatest(F.size(prefix) - 1, F.lit(0)))
+    steps = let(prefix, lambda pre: F.slice(pre, 1, F.greatest(F.size(pre) - 1, F.lit(0))))
     return per_start.select("query_id", "doc_id", F.posexplode(steps).alias("_i", "_x")).select(
         "query_id", "doc_id", (F.col("_i") + 1).cast("int").alias("step"), F.col("_x.p").alias("pos")
     )

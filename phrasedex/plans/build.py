@@ -61,8 +61,17 @@ def build_index(
     stopwords: Iterable[str] | None = None,
     max_broadcast_words: int = MAX_BROADCAST_WORDS,
     num_files: int | None = None,
+    input_partitions: int | None = None,
 ) -> dict:
-    """Build and write the index for (doc_id, body) documents; returns build facts."""
+    """Build and write the index for (doc_id, body) documents; returns build facts.
+
+    ``input_partitions`` spreads the documents round-robin before tokenising.
+    Use it only when the input has fewer row groups than there are cores (a
+    single-file table); a large corpus is read in parallel as it is, and
+    spreading it would shuffle the raw text.
+    """
+    if input_partitions:
+        docs = docs.repartition(input_partitions)
     words = with_words(docs, body, stopwords)
     vocab = materialize(stem_vocabulary(words), spark, "vocabulary")
     n_words = vocab.count()

@@ -8,9 +8,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def get_session(master: str | None = None, app: str = "phrasedex", shuffle_partitions: int | None = None) -> SparkSession:
+def get_session(
+    master: str | None = None,
+    app: str = "phrasedex",
+    shuffle_partitions: int | None = None,
+    extra: dict[str, str] | None = None,
+) -> SparkSession:
     """Session with AQE on; on a cluster pass ``master=None`` and let spark-submit decide."""
     builder = SparkSession.builder.appName(app)
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     if master:
         builder = builder.master(master)
     builder = (
