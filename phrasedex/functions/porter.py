@@ -16,6 +16,7 @@ unchanged.
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,17 +85,27 @@ def _ends_cvc(w: Column, cv: Column) -> Column:
     return (F.length(w) >= 3) & cv.endswith("cvc") & ~F.substring(w, -1, 1).isin("w", "x", "y")
 
 
-def _apply(df: DataFrame, cut: Column, add: Column, add_cv: Column) -> DataFrame:
-    """Two projections: pick (cut, add), then rewrite word and CV string."""
-    df = df.withColumn("_cut", cut).withColumn("_add", add).withColumn("_addcv", add_cv)
-    return (
-        df.withColumn(W, F.concat(_prefix(F.col(W), F.col("_cut")), F.col("_add")))
-        .withColumn(CV, F.concat(_prefix(F.col(CV), F.col("_cut")), F.col("_addcv")))
-        .drop("_cut", "_add", "_addcv")
-    )
+Stage = dict[str, Column]
+
+
+def _cut_rule(cut: Column, add: Column | None = None, add_cv: Column | None = None) -> Stage:
+    """First projection of a step: how many letters to cut and what to append."""
+    return {
+        "_cut": cut,
+        "_add": add if add is not None else F.lit(""),
+        "_addcv": add_cv if add_cv is not None else F.lit(""),
+    }
 
 
-def _step1a(df: DataFrame) -> DataFrame:
+def _rewrite() -> Stage:
+    """Second projection of a step: cut the word and its CV string, then append."""
+    return {
+        W: F.concat(_prefix(F.col(W), F.col("_cut")), F.col("_add")),
+        CV: F.concat(_prefix(F.col(CV), F.col("_cut")), F.col("_addcv")),
+    }
+
+
+def _step1a() -> list[Stage]:
     w = F.col(W)
     cut = (
         F.when(w.endswith("sses"), 2)
@@ -102,49 +113,45 @@ def _step1a(df: DataFrame) -> DataFrame:
         .when(w.endswith("s") & ~w.endswith("ss"), 1)
         .otherwise(0)
     )
-    return df.withColumn(W, _prefix(w, cut)).withColumn(CV, F.col(CV).substr(F.lit(1), F.length(F.col(W))))
+    return [_cut_rule(cut), _rewrite()]
 
 
-def _step1b(df: DataFrame) -> DataFrame:
+def _step1b() -> list[Stage]:
     w, cv = F.col(W), F.col(CV)
     eed = w.endswith("eed")
     ed = ~eed & w.endswith("ed") & _prefix(cv, 2).contains("v")
     ing = ~eed & w.endswith("ing") & _prefix(cv, 3).contains("v")
-    cut = (
-        F.when(eed & (_measure(_prefix(cv, 3)) > 0), 1)
-        .when(ed, 2)
-        .when(ing, 3)
-        .otherwise(0)
-    )
-    df = df.withColumn("_fix", ed | ing).withColumn(W, _prefix(w, cut))
-    df = df.withColumn(CV, F.col(CV).substr(F.lit(1), F.length(F.col(W))))
+    cut = F.when(eed & (_measure(_prefix(cv, 3)) > 0), 1).when(ed, 2).when(ing, 3).otherwise(0)
+    strip = _cut_rule(cut)
+    strip["_fix"] = ed | ing
     # After -ed / -ing is removed: at, bl, iz gain an e; a double consonant other
     # than l, s, z loses one letter; a short cvc word gains an e.
-    w, cv, fix = F.col(W), F.col(CV), F.col("_fix")
+    fix = F.col("_fix")
     last = F.substring(w, -1, 1)
     double = (F.length(w) >= 2) & (last == F.substring(w, -2, 1)) & cv.endswith("c")
     add_e = fix & (w.endswith("at") | w.endswith("bl") | w.endswith("iz"))
     drop_one = fix & ~add_e & double & ~last.isin("l", "s", "z")
     short = fix & ~add_e & ~double & (_measure(cv) == 1) & _ends_cvc(w, cv)
     grow = add_e | short
-    df = _apply(
-        df,
+    tidy = _cut_rule(
         F.when(drop_one, 1).otherwise(0),
         F.when(grow, F.lit("e")).otherwise(F.lit("")),
         F.when(grow, F.lit("v")).otherwise(F.lit("")),
     )
-    return df.drop("_fix")
+    return [strip, _rewrite(), tidy, _rewrite()]
 
 
-def _step1c(df: DataFrame) -> DataFrame:
+def _step1c() -> list[Stage]:
     w, cv = F.col(W), F.col(CV)
     hit = w.endswith("y") & _prefix(cv, 1).contains("v")
-    return _apply(
-        df,
-        F.when(hit, 1).otherwise(0),
-        F.when(hit, F.lit("i")).otherwise(F.lit("")),
-        F.when(hit, F.lit("v")).otherwise(F.lit("")),
-    )
+    return [
+        _cut_rule(
+            F.when(hit, 1).otherwise(0),
+            F.when(hit, F.lit("i")).otherwise(F.lit("")),
+            F.when(hit, F.lit("v")).otherwise(F.lit("")),
+        ),
+        _rewrite(),
+    ]
 
 
 def _first_rule(rules, extra=None) -> Column:
@@ -159,60 +166,68 @@ def _first_rule(rules, extra=None) -> Column:
     return expr.otherwise(0)
 
 
-def _replace_step(df: DataFrame, rules, min_measure: int) -> DataFrame:
-    """Steps 2 and 3: replace the first matching suffix when m(stem) > min_measure."""
-    df = df.withColumn("_rule", _first_rule(rules))
-    lens = F.array(*[F.lit(len(s)) for s, _ in rules])
-    reps = F.array(*[F.lit(r) for _, r in rules])
-    reps_cv = F.array(*[F.lit(_static_cv(r)) for _, r in rules])
+def _rule_step(rules, min_measure: int, extra=None) -> list[Stage]:
+    """Steps 2, 3, 4: act on the first matching suffix when m(stem) > min_measure."""
     rule = F.col("_rule")
-    sfx_len = F.when(rule > 0, F.element_at(lens, F.greatest(rule, F.lit(1)))).otherwise(0)
+    idx = F.greatest(rule, F.lit(1))
+    lens = F.array(*[F.lit(len(s)) for s, _ in rules])
+    sfx_len = F.when(rule > 0, F.element_at(lens, idx)).otherwise(0)
     fire = (rule > 0) & (_measure(_prefix(F.col(CV), sfx_len)) > min_measure)
-    df = _apply(
-        df,
-        F.when(fire, sfx_len).otherwise(0),
-        F.when(fire, F.element_at(reps, F.greatest(rule, F.lit(1)))).otherwise(F.lit("")),
-        F.when(fire, F.element_at(reps_cv, F.greatest(rule, F.lit(1)))).otherwise(F.lit("")),
-    )
-    return df.drop("_rule")
-
-
-def _step4(df: DataFrame) -> DataFrame:
+    reps = [r for _, r in rules]
+    if any(reps):
+        cut = _cut_rule(
+            F.when(fire, sfx_len).otherwise(0),
+            F.when(fire, F.element_at(F.array(*[F.lit(r) for r in reps]), idx)).otherwise(F.lit("")),
+            F.when(fire, F.element_at(F.array(*[F.lit(_static_cv(r)) for r in reps]), idx)).otherwise(F.lit("")),
+        )
+    else:
+        cut = _cut_rule(F.when(fire, sfx_len).otherwise(0))
+    return [{"_rule": _first_rule(rules, extra)}, cut, _rewrite()]
+
+
+def _step4() -> list[Stage]:
     w = F.col(W)
-    rules = [(s, "") for s in STEP4_SUFFIXES]
     # -ion is removed only after s or t.
-    before_ion = F.substring(w, -4, 1)
-    extra = {"ion": (F.length(w) >= 4) & before_ion.isin("s", "t")}
-    df = df.withColumn("_rule", _first_rule(rules, extra))
-    lens = F.array(*[F.lit(len(s)) for s in STEP4_SUFFIXES])
-    rule = F.col("_rule")
-    sfx_len = F.when(rule > 0, F.element_at(lens, F.greatest(rule, F.lit(1)))).otherwise(0)
-    fire = (rule > 0) & (_measure(_prefix(F.col(CV), sfx_len)) > 1)
-    df = df.withColumn("_cut", F.when(fire, sfx_len).otherwise(0))
-    df = df.withColumn(W, _prefix(F.col(W), F.col("_cut"))).withColumn(CV, _prefix(F.col(CV), F.col("_cut")))
-    return df.drop("_rule", "_cut")
+    extra = {"ion": (F.length(w) >= 4) & F.substring(w, -4, 1).isin("s", "t")}
+    return _rule_step([(s, "") for s in STEP4_SUFFIXES], 1, extra)
 
 
-def _step5(df: DataFrame) -> DataFrame:
+def _step5() -> list[Stage]:
     w, cv = F.col(W), F.col(CV)
     m = _measure(cv)
     drop_e = w.endswith("e") & ((m > 1) | ((m == 1) & ~_ends_cvc(_prefix(w, 1), _prefix(cv, 1))))
-    df = df.withColumn("_cut", F.when(drop_e, 1).otherwise(0))
-    df = df.withColumn(W, _prefix(F.col(W), F.col("_cut"))).withColumn(CV, _prefix(F.col(CV), F.col("_cut")))
-    w, cv = F.col(W), F.col(CV)
     drop_l = w.endswith("ll") & (_measure(cv) > 1)
-    df = df.withColumn("_cut", F.when(drop_l, 1).otherwise(0))
-    return df.withColumn(W, _prefix(F.col(W), F.col("_cut"))).drop("_cut")
+    return [
+        _cut_rule(F.when(drop_e, 1).otherwise(0)), _rewrite(),
+        _cut_rule(F.when(drop_l, 1).otherwise(0)), _rewrite(),
+    ]
+
+
+def _all_stages() -> list[Stage]:
+    stages: list[Stage] = [{CV: _cv_fold(F.col(W))}]
+    for step in (_step1a(), _step1b(), _step1c(), _rule_step(STEP2_RULES, 0), _rule_step(STEP3_RULES, 0), _step4(), _step5()):
+        stages.extend(step)
+    return stages
+
+
+# The stage expressions do not depend on the input, so they are built once per
+# Spark context: building them costs thousands of driver-to-JVM calls.
+_STAGES: dict[int, list[Stage]] = {}
+
+
+def _stages() -> list[Stage]:
+    sc = SparkContext._active_spark_context
+    key = id(sc)
+    if key not in _STAGES:
+        _STAGES.clear()
+        _STAGES[key] = _all_stages()
+    return _STAGES[key]
 
 
 def add_porter_stem(df: DataFrame, src: str, dst: str) -> DataFrame:
     """Add column ``dst`` holding the stem of the lower-case letter run in ``src``."""
-    out = df.withColumn(W, F.col(src)).withColumn(CV, _cv_fold(F.col(W)))
-    out = _step1a(out)
-    out = _step1b(out)
-    out = _step1c(out)
-    out = _replace_step(out, STEP2_RULES, 0)
-    out = _replace_step(out, STEP3_RULES, 0)
-    out = _step4(out)
-    out = _step5(out)
-    return out.withColumn(dst, F.when(F.length(F.col(src)) <= 2, F.col(src)).otherwise(F.col(W))).drop(W, CV)
+    out = df.withColumns({W: F.col(src)})
+    for stage in _stages():
+        out = out.withColumns(stage)
+    keep = [c for c in df.columns if c != dst]
+    return out.select(*keep, F.when(F.length(F.col(src)) <= 2, F.col(src)).otherwise(F.col(W)).alias(dst))

@@ -8,7 +8,7 @@ from phrasedex.operators.postings import (
     merge_postings,
     with_bucket,
 )
-from phrasedex.operators.queries import benchmark_phrases, parse_queries, query_buckets
+from phrasedex.operators.queries import benchmark_phrases, parse_queries, query_buckets, query_words, with_terms
 from phrasedex.operators.search import (
     candidate_docs,
     lookup_terms,
@@ -31,6 +31,8 @@ __all__ = [
     "benchmark_phrases",
     "parse_queries",
     "query_buckets",
+    "query_words",
+    "with_terms",
     "lookup_terms",
     "candidate_docs",
     "phrase_match",

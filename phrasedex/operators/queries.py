@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasedex.functions.text import WHITESPACE, bucket_of, normalize, token_starts
-from phrasedex.operators.stemming import apply_stems, stem_vocabulary
+from phrasedex.functions.text import bucket_of, normalize, token_starts
+from phrasedex.operators.stemming import stem_vocabulary
 
 # A phrase can only match where its inner words carry no punctuation: offsets
 # count raw characters, word lengths are taken after normalisation. A text is
@@ -25,8 +25,8 @@ def benchmark_phrases(items: DataFrame, id_col: str = "item_id", text_col: str =
     ).select((F.col("_item") * CLAUSE_ID_SPAN + F.col("_n")).cast("bigint").alias("query_id"), "query")
 
 
-def parse_queries(queries: DataFrame) -> DataFrame:
-    """(query_id, k, word, term, word_len, start_offset, n_terms, bucket).
+def query_words(queries: DataFrame) -> DataFrame:
+    """(query_id, k, word, word_len, start_offset, n_terms): unstemmed words of each phrase.
 
     Words are the normalised query split on spaces; ``word_len`` is the length of
     the unstemmed word, ``start_offset`` the running sum of ``word_len + 1`` over
@@ -41,9 +41,7 @@ def parse_queries(queries: DataFrame) -> DataFrame:
         F.arrays_zip(F.col("_words").alias("word"), token_starts("_words").alias("start_offset")).alias("_z"),
         F.size("_words").alias("n_terms"),
     ).where(F.col("n_terms") > 0)
-    parsed = parsed.select(
-        "query_id", "n_terms", F.posexplode("_z").alias("k", "_t")
-    ).select(
+    return parsed.select("query_id", "n_terms", F.posexplode("_z").alias("k", "_t")).select(
         "query_id",
         F.col("k").cast("int").alias("k"),
         F.col("_t.word").alias("word"),
@@ -51,16 +49,25 @@ def parse_queries(queries: DataFrame) -> DataFrame:
         F.col("_t.start_offset").cast("bigint").alias("start_offset"),
         F.col("n_terms").cast("int").alias("n_terms"),
     )
-    vocab = stem_vocabulary(parsed.select("word"))
-    stemmed = parsed.join(vocab.select("word", F.col("stem").alias("term")), "word")
+
+
+def with_terms(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Attach ``term`` (stem) and ``bucket`` to query words using a (word, stem) table."""
+    stemmed = words.join(vocab.select("word", F.col("stem").alias("term")), "word")
     return stemmed.select(
         "query_id", "k", "word", "term", "word_len", "start_offset", "n_terms", bucket_of(F.col("term")).alias("bucket")
     )
 
 
+def parse_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, k, word, term, word_len, start_offset, n_terms, bucket)."""
+    words = query_words(queries)
+    return with_terms(words, stem_vocabulary(words.select("word")))
+
+
 def query_buckets(parsed: DataFrame) -> DataFrame:
     """(query_id, bucket): the index parts a query has to read."""
     return parsed.select("query_id", "bucket").distinct()
 
 
-__all__ = ["CLAUSE", "CLAUSE_ID_SPAN", "WHITESPACE", "benchmark_phrases", "parse_queries", "query_buckets", "apply_stems"]
+__all__ = ["CLAUSE", "CLAUSE_ID_SPAN", "benchmark_phrases", "query_words", "with_terms", "parse_queries", "query_buckets"]

@@ -26,6 +26,7 @@ from phrasedex.session import shared_dir
 from phrasedex.sources.index_store import write_index
 
 MAX_BROADCAST_WORDS = 2_000_000
+VOCABULARY_DIR = "_vocabulary"
 
 
 def corpus_postings(
@@ -78,4 +79,25 @@ def build_index(
     small = n_words <= max_broadcast_words
     postings = build_postings(apply_stems(words, vocab, broadcast_vocab=small))
     write_index(postings, path, num_files=num_files)
+    write_vocabulary(vocab, path)
     return {"vocabulary_words": n_words, "vocabulary_broadcast": small, "path": path}
+
+
+def write_vocabulary(vocab: DataFrame, index_path: str) -> None:
+    """Keep the (word, stem) table next to the index as its term dictionary.
+
+    Sorted by word with disjoint ranges per file, so a lookup of a few words
+    reads a few row groups. The folder name starts with '_' and so is not part
+    of the index scan.
+    """
+    (
+        vocab.select("word", "stem")
+        .repartitionByRange("word")
+        .sortWithinPartitions("word")
+        .write.mode("overwrite")
+        .parquet(vocabulary_path(index_path))
+    )
+
+
+def vocabulary_path(index_path: str) -> str:
+    return index_path.rstrip("/") + "/" + VOCABULARY_DIR

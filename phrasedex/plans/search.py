@@ -17,7 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasedex.operators.queries import parse_queries
+from phrasedex.operators.queries import parse_queries, query_words, with_terms
+from phrasedex.operators.stemming import stem_vocabulary
+from phrasedex.plans.build import vocabulary_path
 from phrasedex.operators.search import lookup_terms, partial_phrase_matches, phrase_docs, phrase_match
 from phrasedex.session import shared_dir
 from phrasedex.sources.index_store import read_index
@@ -61,17 +63,43 @@ def search_batch(spark: SparkSession, index_path: str | list[str], queries: Data
 
 
 def search_phrase(spark: SparkSession, index_path: str | list[str], phrase: str, query_id: int = 1) -> SearchResult:
-    """Answer one phrase with literal bucket and term filters on the index scan."""
+    """Answer one phrase with literal bucket and term filters on the index scan.
+
+    Stems come from the index's term dictionary (a pushed-down lookup); words the
+    corpus never contained are stemmed by the Spark stemmer. All driver-side
+    lists are bounded by the phrase length.
+    """
     q = spark.createDataFrame([(int(query_id), phrase)], "query_id BIGINT, query STRING")
-    rows = parse_queries(q).collect()  # one row per word of the phrase
+    words = query_words(q)
+    rows = words.collect()  # one row per word of the phrase
     if not rows:
         empty = spark.createDataFrame([], "query_id BIGINT, doc_id BIGINT, start_pos BIGINT")
         return SearchResult(q, empty, empty, phrase_docs(empty), empty)
-    parsed = spark.createDataFrame(rows, schema=parse_queries(q).schema)
-    index = read_index(spark, index_path, buckets={r["bucket"] for r in rows}, terms={r["term"] for r in rows})
-    lookup = lookup_terms(index, parsed, broadcast_queries=True)
+    distinct = sorted({r["word"] for r in rows})
+    stems: dict[str, str] = {}
+    paths = [index_path] if isinstance(index_path, str) else list(index_path)
+    dicts = [vocabulary_path(p) for p in paths if _exists(spark, vocabulary_path(p))]
+    if dicts:
+        found = spark.read.parquet(*dicts).where(F.col("word").isin(distinct)).select("word", "stem").collect()
+        stems.update({r["word"]: r["stem"] for r in found})
+    missing = [w for w in distinct if w not in stems]
+    if missing:
+        miss = spark.createDataFrame([(w,) for w in missing], "word STRING")
+        stems.update({r["word"]: r["stem"] for r in stem_vocabulary(miss).collect()})
+    vocab = spark.createDataFrame(sorted(stems.items()), "word STRING, stem STRING")
+    parsed = with_terms(spark.createDataFrame(rows, schema=words.schema), vocab).collect()
+    parsed_df = spark.createDataFrame(parsed, schema="query_id BIGINT, k INT, word STRING, term STRING, word_len INT, "
+                                                     "start_offset BIGINT, n_terms INT, bucket INT")
+    index = read_index(spark, index_path, buckets={r["bucket"] for r in parsed}, terms={r["term"] for r in parsed})
+    lookup = lookup_terms(index, parsed_df, broadcast_queries=True)
     matches = phrase_match(lookup)
-    return SearchResult(parsed, lookup, matches, phrase_docs(matches), partial_phrase_matches(lookup))
+    return SearchResult(parsed_df, lookup, matches, phrase_docs(matches), partial_phrase_matches(lookup))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-__all__ = ["SearchResult", "prepare_batch", "search_batch", "search_phrase", "BUCKETS", "F"]
+__all__ = ["SearchResult", "prepare_batch", "search_batch", "search_phrase", "BUCKETS"]

@@ -23,16 +23,16 @@ INDEX_SCHEMA = "term STRING, doc_id BIGINT, positions ARRAY<BIGINT>, bucket INT"
 def write_index(postings: DataFrame, path: str, num_files: int | None = None, mode: str = "overwrite") -> None:
     """Write (term, doc_id, positions) postings as the bucketed, term-sorted index.
 
-    ``num_files`` defaults to the session's shuffle partition count; at scale set
-    it so that a file is a few hundred MB.
+    Without ``num_files`` the range exchange is left to AQE, which merges its
+    partitions up to ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, so
+    the file count follows the data volume.
     """
     df = postings if "bucket" in postings.columns else with_bucket(postings)
-    spark = df.sparkSession
-    n = num_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["bucket", "term", "doc_id"]
+    ranged = df.select(*keys, "positions")
+    ranged = ranged.repartitionByRange(num_files, *keys) if num_files else ranged.repartitionByRange(*keys)
     (
-        df.select("bucket", "term", "doc_id", "positions")
-        .repartitionByRange(n, "bucket", "term", "doc_id")
-        .sortWithinPartitions("bucket", "term", "doc_id")
+        ranged.sortWithinPartitions(*keys)
         .write.mode(mode)
         .partitionBy("bucket")
         .parquet(path)
