@@ -19,11 +19,11 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from oracle_sql import ORACLE_SQL  # noqa: E402
 from phrasedex.operators import (  # noqa: E402
-    apply_stems,
+    apply_frequent_stems,
     benchmark_phrases,
     build_inverted_index,
-    build_postings,
     candidate_docs,
+    frequent_vocabulary,
     lookup_terms,
     merge_postings,
     parse_queries,
@@ -37,7 +37,7 @@ from phrasedex.operators import (  # noqa: E402
     with_bucket,
     with_words,
 )
-from phrasedex.plans.build import corpus_postings  # noqa: E402
+from phrasedex.plans.build import MAX_BROADCAST_WORDS, corpus_postings  # noqa: E402
 from phrasedex.session import shared_dir  # noqa: E402
 from phrasedex.sources import (  # noqa: E402
     parse_marked_documents,
@@ -107,7 +107,7 @@ def q_stem_vocabulary(spark, sf_dir):
 
 def q_stemmed_terms(spark, sf_dir):
     words = with_words(_docs(spark, sf_dir))
-    return apply_stems(words, stem_vocabulary(words)).select("doc_id", "pos", "term")
+    return apply_frequent_stems(words, frequent_vocabulary(words, MAX_BROADCAST_WORDS)).select("doc_id", "pos", "term")
 
 
 def q_clean_postings(spark, sf_dir):
@@ -123,6 +123,12 @@ def q_postings(spark, sf_dir):
     return _flat(_postings(spark, sf_dir))
 
 
+def q_postings_bounded_vocabulary(spark, sf_dir):
+    # The plan for vocabularies too large to broadcast: only the 1,000 most
+    # frequent words are broadcast, every other word is stemmed in place.
+    return _flat(corpus_postings(_docs(spark, sf_dir), frequent_words=1000))
+
+
 def q_inverted_index(spark, sf_dir):
     inv = build_inverted_index(_postings(spark, sf_dir))
     text = F.array_join(
@@ -210,6 +216,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stemmed_terms": q_stemmed_terms,
     "clean_postings": q_clean_postings,
     "postings": q_postings,
+    "postings_bounded_vocabulary": q_postings_bounded_vocabulary,
     "inverted_index": q_inverted_index,
     "index_bucket_scan": q_index_bucket_scan,
     "merge_postings": q_merge_postings,

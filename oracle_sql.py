@@ -215,6 +215,7 @@ FROM documents""",
 SELECT term, (doc_id // 1024)::BIGINT AS block,
        string_agg(doc_id::VARCHAR || '|' || array_to_string(positions, ':'), ',' ORDER BY doc_id) AS postings
 FROM post GROUP BY term, doc_id // 1024""",
+    "postings_bounded_vocabulary": _CORPUS_VOCAB + "SELECT term, doc_id, array_to_string(positions, ':') AS positions FROM post",
     "merge_postings": _CORPUS_VOCAB + "SELECT term, doc_id, array_to_string(positions, ':') AS positions FROM post",
     "postings_text": _CORPUS_VOCAB + f"""
 SELECT {bucket('term')} AS bucket, term, (doc_id // 1024)::BIGINT AS block,

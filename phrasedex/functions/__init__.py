@@ -9,7 +9,7 @@ from phrasedex.functions.text import (
     sub_words,
     token_starts,
 )
-from phrasedex.functions.porter import add_porter_stem, letter_runs
+from phrasedex.functions.porter import letter_runs, porter_stem, stem_word
 
 __all__ = [
     "WHITESPACE",
@@ -19,6 +19,7 @@ __all__ = [
     "raw_tokens",
     "sub_words",
     "token_starts",
-    "add_porter_stem",
     "letter_runs",
+    "porter_stem",
+    "stem_word",
 ]

@@ -1,12 +1,12 @@
-"""Porter (1980) suffix stripping as a chain of DataFrame projections.
+"""Porter (1980) suffix stripping as one JVM column expression.
 
-The stemmer runs over a *distinct vocabulary*, never per token, and stays in
-JVM expressions. A word is carried as two columns: ``_w`` (the current word) and
-``_cv`` (its consonant/vowel string, ``c``/``v`` per letter). Every rule only
-removes a suffix or replaces it with a fixed string, so after the first fold the
-CV string is updated by slicing and appending the replacement's own CV string;
-it is never recomputed. Each step is two projections (choose the cut, apply the
-cut), which keeps the plan linear in the number of steps.
+A word is carried through the steps as a (w, cv) pair: the current word and its
+consonant/vowel string (``c``/``v`` per letter). Every rule only removes a
+suffix or replaces it with a fixed string, so after the first fold the CV string
+is updated by slicing and appending the replacement's own CV string; it is never
+recomputed. Each step binds the current pair once through ``let`` (a lambda
+variable), so the expression grows linearly with the number of steps and can be
+used inside ``transform`` (per letter run) or next to other columns.
 
 Measure ``m`` of a prefix is the number of ``vc`` pairs in its CV string.
 Two departures from the paper are kept: ``bli -> ble`` in step 2 (in place of
@@ -16,8 +16,7 @@ unchanged.
 
 from __future__ import annotations
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The suffix rules of the algorithm, (suffix, replacement), in the
@@ -45,8 +44,6 @@ STEP4_SUFFIXES = [
 ]
 VOWELS = ("a", "e", "i", "o", "u")
 
-W, CV = "_w", "_cv"
-
 
 def letter_runs(word) -> Column:
     """Maximal runs of letters and of digits, in order: ``m80a -> [m, 80, a]``."""
@@ -85,149 +82,138 @@ def _ends_cvc(w: Column, cv: Column) -> Column:
     return (F.length(w) >= 3) & cv.endswith("cvc") & ~F.substring(w, -1, 1).isin("w", "x", "y")
 
 
-Stage = dict[str, Column]
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _cut_rule(cut: Column, add: Column | None = None, add_cv: Column | None = None) -> Stage:
-    """First projection of a step: how many letters to cut and what to append."""
-    return {
-        "_cut": cut,
-        "_add": add if add is not None else F.lit(""),
-        "_addcv": add_cv if add_cv is not None else F.lit(""),
-    }
+def _state(w: Column, cv: Column) -> Column:
+    return F.struct(w.alias("w"), cv.alias("cv"))
 
 
-def _rewrite() -> Stage:
-    """Second projection of a step: cut the word and its CV string, then append."""
-    return {
-        W: F.concat(_prefix(F.col(W), F.col("_cut")), F.col("_add")),
-        CV: F.concat(_prefix(F.col(CV), F.col("_cut")), F.col("_addcv")),
-    }
+def _cut_add(state: Column, cut: Column, add: Column | None = None, add_cv: Column | None = None) -> Column:
+    add = add if add is not None else F.lit("")
+    add_cv = add_cv if add_cv is not None else F.lit("")
+    return _let(
+        F.struct(cut.alias("c"), add.alias("a"), add_cv.alias("b")),
+        lambda x: _state(
+            F.concat(_prefix(state["w"], x["c"]), x["a"]), F.concat(_prefix(state["cv"], x["c"]), x["b"])
+        ),
+    )
 
 
-def _step1a() -> list[Stage]:
-    w = F.col(W)
-    cut = (
-        F.when(w.endswith("sses"), 2)
-        .when(w.endswith("ies"), 2)  # ies -> i
-        .when(w.endswith("s") & ~w.endswith("ss"), 1)
-        .otherwise(0)
-    )
-    return [_cut_rule(cut), _rewrite()]
-
-
-def _step1b() -> list[Stage]:
-    w, cv = F.col(W), F.col(CV)
-    eed = w.endswith("eed")
-    ed = ~eed & w.endswith("ed") & _prefix(cv, 2).contains("v")
-    ing = ~eed & w.endswith("ing") & _prefix(cv, 3).contains("v")
-    cut = F.when(eed & (_measure(_prefix(cv, 3)) > 0), 1).when(ed, 2).when(ing, 3).otherwise(0)
-    strip = _cut_rule(cut)
-    strip["_fix"] = ed | ing
-    # After -ed / -ing is removed: at, bl, iz gain an e; a double consonant other
-    # than l, s, z loses one letter; a short cvc word gains an e.
-    fix = F.col("_fix")
-    last = F.substring(w, -1, 1)
-    double = (F.length(w) >= 2) & (last == F.substring(w, -2, 1)) & cv.endswith("c")
-    add_e = fix & (w.endswith("at") | w.endswith("bl") | w.endswith("iz"))
-    drop_one = fix & ~add_e & double & ~last.isin("l", "s", "z")
-    short = fix & ~add_e & ~double & (_measure(cv) == 1) & _ends_cvc(w, cv)
-    grow = add_e | short
-    tidy = _cut_rule(
-        F.when(drop_one, 1).otherwise(0),
-        F.when(grow, F.lit("e")).otherwise(F.lit("")),
-        F.when(grow, F.lit("v")).otherwise(F.lit("")),
-    )
-    return [strip, _rewrite(), tidy, _rewrite()]
+def _x1a(s: Column) -> Column:
+    w = s["w"]
+    cut = F.when(w.endswith("sses"), 2).when(w.endswith("ies"), 2).when(w.endswith("s") & ~w.endswith("ss"), 1).otherwise(0)
+    return _cut_add(s, cut)
+
+
+def _x1b(s: Column) -> Column:
+    def strip(s: Column) -> Column:
+        w, cv = s["w"], s["cv"]
+        eed = w.endswith("eed")
+        ed = ~eed & w.endswith("ed") & _prefix(cv, 2).contains("v")
+        ing = ~eed & w.endswith("ing") & _prefix(cv, 3).contains("v")
+        cut = F.when(eed & (_measure(_prefix(cv, 3)) > 0), 1).when(ed, 2).when(ing, 3).otherwise(0)
+        return F.struct(_cut_add(s, cut).alias("s"), (ed | ing).alias("fix"))
+
+    def tidy(t: Column) -> Column:
+        s, fix = t["s"], t["fix"]
+        w, cv = s["w"], s["cv"]
+        last = F.substring(w, -1, 1)
+        double = (F.length(w) >= 2) & (last == F.substring(w, -2, 1)) & cv.endswith("c")
+        add_e = fix & (w.endswith("at") | w.endswith("bl") | w.endswith("iz"))
+        drop_one = fix & ~add_e & double & ~last.isin("l", "s", "z")
+        short = fix & ~add_e & ~double & (_measure(cv) == 1) & _ends_cvc(w, cv)
+        grow = add_e | short
+        return _cut_add(
+            s,
+            F.when(drop_one, 1).otherwise(0),
+            F.when(grow, F.lit("e")).otherwise(F.lit("")),
+            F.when(grow, F.lit("v")).otherwise(F.lit("")),
+        )
 
+    return _let(strip(s), tidy)
 
-def _step1c() -> list[Stage]:
-    w, cv = F.col(W), F.col(CV)
-    hit = w.endswith("y") & _prefix(cv, 1).contains("v")
-    return [
-        _cut_rule(
-            F.when(hit, 1).otherwise(0),
-            F.when(hit, F.lit("i")).otherwise(F.lit("")),
-            F.when(hit, F.lit("v")).otherwise(F.lit("")),
-        ),
-        _rewrite(),
-    ]
+
+def _x1c(s: Column) -> Column:
+    hit = s["w"].endswith("y") & _prefix(s["cv"], 1).contains("v")
+    return _cut_add(
+        s,
+        F.when(hit, 1).otherwise(0),
+        F.when(hit, F.lit("i")).otherwise(F.lit("")),
+        F.when(hit, F.lit("v")).otherwise(F.lit("")),
+    )
 
 
-def _first_rule(rules, extra=None) -> Column:
-    """1-based index of the first rule whose suffix ends the word, else 0."""
-    w = F.col(W)
+def _first_rule_of(w: Column, rules, extra=None) -> Column:
     expr = None
     for i, (suffix, _) in enumerate(rules, start=1):
         cond = w.endswith(suffix)
-        if extra is not None and suffix in extra:
-            cond = cond & extra[suffix]
+        if extra and suffix in extra:
+            cond = cond & extra[suffix](w)
         expr = F.when(cond, i) if expr is None else expr.when(cond, i)
     return expr.otherwise(0)
 
 
-def _rule_step(rules, min_measure: int, extra=None) -> list[Stage]:
-    """Steps 2, 3, 4: act on the first matching suffix when m(stem) > min_measure."""
-    rule = F.col("_rule")
-    idx = F.greatest(rule, F.lit(1))
-    lens = F.array(*[F.lit(len(s)) for s, _ in rules])
-    sfx_len = F.when(rule > 0, F.element_at(lens, idx)).otherwise(0)
-    fire = (rule > 0) & (_measure(_prefix(F.col(CV), sfx_len)) > min_measure)
+def _xrules(s: Column, rules, min_measure: int, extra=None) -> Column:
+    lens = F.array(*[F.lit(len(x)) for x, _ in rules])
     reps = [r for _, r in rules]
-    if any(reps):
-        cut = _cut_rule(
+
+    def body(rule: Column) -> Column:
+        idx = F.greatest(rule, F.lit(1))
+        sfx_len = F.when(rule > 0, F.element_at(lens, idx)).otherwise(0)
+        fire = (rule > 0) & (_measure(_prefix(s["cv"], sfx_len)) > min_measure)
+        if not any(reps):
+            return _cut_add(s, F.when(fire, sfx_len).otherwise(0))
+        return _cut_add(
+            s,
             F.when(fire, sfx_len).otherwise(0),
             F.when(fire, F.element_at(F.array(*[F.lit(r) for r in reps]), idx)).otherwise(F.lit("")),
             F.when(fire, F.element_at(F.array(*[F.lit(_static_cv(r)) for r in reps]), idx)).otherwise(F.lit("")),
         )
-    else:
-        cut = _cut_rule(F.when(fire, sfx_len).otherwise(0))
-    return [{"_rule": _first_rule(rules, extra)}, cut, _rewrite()]
-
-
-def _step4() -> list[Stage]:
-    w = F.col(W)
-    # -ion is removed only after s or t.
-    extra = {"ion": (F.length(w) >= 4) & F.substring(w, -4, 1).isin("s", "t")}
-    return _rule_step([(s, "") for s in STEP4_SUFFIXES], 1, extra)
-
-
-def _step5() -> list[Stage]:
-    w, cv = F.col(W), F.col(CV)
-    m = _measure(cv)
-    drop_e = w.endswith("e") & ((m > 1) | ((m == 1) & ~_ends_cvc(_prefix(w, 1), _prefix(cv, 1))))
-    drop_l = w.endswith("ll") & (_measure(cv) > 1)
-    return [
-        _cut_rule(F.when(drop_e, 1).otherwise(0)), _rewrite(),
-        _cut_rule(F.when(drop_l, 1).otherwise(0)), _rewrite(),
-    ]
+
+    return _let(_first_rule_of(s["w"], rules, extra), body)
 
 
-def _all_stages() -> list[Stage]:
-    stages: list[Stage] = [{CV: _cv_fold(F.col(W))}]
-    for step in (_step1a(), _step1b(), _step1c(), _rule_step(STEP2_RULES, 0), _rule_step(STEP3_RULES, 0), _step4(), _step5()):
-        stages.extend(step)
-    return stages
+def _x4(s: Column) -> Column:
+    extra = {"ion": lambda w: (F.length(w) >= 4) & F.substring(w, -4, 1).isin("s", "t")}
+    return _xrules(s, [(x, "") for x in STEP4_SUFFIXES], 1, extra)
 
 
-# The stage expressions do not depend on the input, so they are built once per
-# Spark context: building them costs thousands of driver-to-JVM calls.
-_STAGES: dict[int, list[Stage]] = {}
+def _x5(s: Column) -> Column:
+    def drop_e(s: Column) -> Column:
+        w, cv = s["w"], s["cv"]
+        m = _measure(cv)
+        hit = w.endswith("e") & ((m > 1) | ((m == 1) & ~_ends_cvc(_prefix(w, 1), _prefix(cv, 1))))
+        return _cut_add(s, F.when(hit, 1).otherwise(0))
 
+    def drop_l(s: Column) -> Column:
+        hit = s["w"].endswith("ll") & (_measure(s["cv"]) > 1)
+        return _cut_add(s, F.when(hit, 1).otherwise(0))
 
-def _stages() -> list[Stage]:
-    sc = SparkContext._active_spark_context
-    key = id(sc)
-    if key not in _STAGES:
-        _STAGES.clear()
-        _STAGES[key] = _all_stages()
-    return _STAGES[key]
+    return _let(drop_e(s), drop_l)
 
 
-def add_porter_stem(df: DataFrame, src: str, dst: str) -> DataFrame:
-    """Add column ``dst`` holding the stem of the lower-case letter run in ``src``."""
-    out = df.withColumns({W: F.col(src)})
-    for stage in _stages():
-        out = out.withColumns(stage)
-    keep = [c for c in df.columns if c != dst]
-    return out.select(*keep, F.when(F.length(F.col(src)) <= 2, F.col(src)).otherwise(F.col(W)).alias(dst))
+def porter_stem(run: Column) -> Column:
+    """Stem of one lower-case letter run, as a single expression."""
+    steps = [
+        _x1a, _x1b, _x1c,
+        lambda s: _xrules(s, STEP2_RULES, 0),
+        lambda s: _xrules(s, STEP3_RULES, 0),
+        _x4, _x5,
+    ]
+
+    def chain(i: int):
+        if i == len(steps):
+            return lambda s: s["w"]
+        return lambda s: _let(steps[i](s), chain(i + 1))
+
+    stemmed = _let(_state(run, _cv_fold(run)), chain(0))
+    return F.when(F.length(run) <= 2, run).otherwise(stemmed)
+
+
+def stem_word(word: Column) -> Column:
+    """Stem of a normalised word: letter runs stemmed, digit runs kept, glued in order."""
+    return F.array_join(
+        F.transform(letter_runs(word), lambda r: F.when(r.rlike("^[a-z]"), porter_stem(r)).otherwise(r)), ""
+    )

@@ -1,7 +1,14 @@
 """DataFrame -> DataFrame operators. None of them collects data to the driver."""
 
 from phrasedex.operators.tokens import explode_terms, tokenize, with_words
-from phrasedex.operators.stemming import apply_stems, stem_vocabulary
+from phrasedex.operators.stemming import (
+    apply_frequent_stems,
+    apply_stems,
+    frequent_vocabulary,
+    frequent_words,
+    stem_in_place,
+    stem_vocabulary,
+)
 from phrasedex.operators.postings import (
     build_inverted_index,
     build_postings,
@@ -24,6 +31,10 @@ __all__ = [
     "with_words",
     "stem_vocabulary",
     "apply_stems",
+    "apply_frequent_stems",
+    "frequent_vocabulary",
+    "frequent_words",
+    "stem_in_place",
     "build_postings",
     "build_inverted_index",
     "merge_postings",

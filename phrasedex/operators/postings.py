@@ -19,7 +19,10 @@ def build_postings(terms: DataFrame) -> DataFrame:
     shuffle carries per-task combined lists. A group is bounded by one
     document's length, whatever the term's frequency.
     """
-    return terms.where(F.col("term") != "").groupBy("term", "doc_id").agg(
+    # Words are never empty and neither are their stems, so no filter here (a
+    # filter on term would be pushed below the vocabulary aggregate and
+    # evaluate the stemmer per token).
+    return terms.groupBy("term", "doc_id").agg(
         F.sort_array(F.collect_list(F.col("pos").cast("bigint"))).alias("positions")
     )
 

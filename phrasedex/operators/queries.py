@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasedex.functions.text import bucket_of, normalize, token_starts
-from phrasedex.operators.stemming import stem_vocabulary
+from phrasedex.functions.porter import stem_word
 
 # A phrase can only match where its inner words carry no punctuation: offsets
 # count raw characters, word lengths are taken after normalisation. A text is
@@ -60,9 +60,15 @@ def with_terms(words: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
-    """(query_id, k, word, term, word_len, start_offset, n_terms, bucket)."""
-    words = query_words(queries)
-    return with_terms(words, stem_vocabulary(words.select("word")))
+    """(query_id, k, word, term, word_len, start_offset, n_terms, bucket).
+
+    Query words are stemmed in place: a phrase batch is small, and this keeps
+    parsing free of shuffles.
+    """
+    words = query_words(queries).withColumn("term", stem_word(F.col("word")))
+    return words.select(
+        "query_id", "k", "word", "term", "word_len", "start_offset", "n_terms", bucket_of(F.col("term")).alias("bucket")
+    )
 
 
 def query_buckets(parsed: DataFrame) -> DataFrame:

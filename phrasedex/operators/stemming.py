@@ -1,9 +1,15 @@
-"""Stems are computed once per distinct word, then joined to the word stream.
+"""Stems are computed once per distinct word, then attached to the word stream.
 
 A word is cut into maximal letter and digit runs; letter runs are stemmed and
 the runs are glued back in order (``running2running -> run2run``). The
 vocabulary is much smaller than the token stream, so the per-word cost of the
 stemmer is paid once per word, not once per occurrence.
+
+Attaching stems never needs a shuffle of the token stream: the vocabulary (or,
+when it is too large, its most frequent words, a table of bounded size) is
+broadcast, and a word missing from a bounded table is stemmed in place by the
+same expression. Frequent words, the ones that could fill one task, are
+therefore always served by the broadcast.
 """
 
 from __future__ import annotations
@@ -11,35 +17,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasedex.functions.porter import add_porter_stem, letter_runs
+from phrasedex.functions.porter import stem_word
 
 
-def stem_vocabulary(words: DataFrame, col: str = "word") -> DataFrame:
-    """(word, stem) for every distinct value of ``col``.
+def stem_vocabulary(words: DataFrame, col: str = "word", with_counts: bool = False) -> DataFrame:
+    """(word, stem[, n]) for every distinct value of ``col``.
 
-    One shuffle (the distinct, combined map-side). Exploding runs and grouping
-    them back by word reuse its hash partitioning, so the regroup is local.
+    One shuffle (the distinct / count, combined map-side), then a projection.
     """
-    vocab = words.select(F.col(col).alias("word")).where(F.col("word") != "").distinct()
-    runs = vocab.select("word", F.posexplode(letter_runs("word")).alias("i", "run"))
-    runs = add_porter_stem(runs, "run", "_stem")
-    runs = runs.withColumn("stem_run", F.when(F.col("run").rlike("^[a-z]"), F.col("_stem")).otherwise(F.col("run")))
-    return runs.groupBy("word").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("i", "stem_run"))), lambda x: x["stem_run"]), ""
-        ).alias("stem")
-    )
+    w = words.select(F.col(col).alias("word")).where(F.col("word") != "")
+    vocab = w.groupBy("word").agg(F.count(F.lit(1)).alias("n")) if with_counts else w.distinct()
+    return vocab.withColumn("stem", stem_word(F.col("word")))
+
+
+def frequent_words(vocab: DataFrame, limit: int) -> DataFrame:
+    """Rows of a (word, stem, n) vocabulary whose word has at least 1/limit of all occurrences.
+
+    At most ``limit`` words can pass (their counts would otherwise exceed the
+    total), so the result has a proven size bound, and every word that could
+    skew a task is in it. The total is a scalar subquery, not a driver action.
+    """
+    total = vocab.agg(F.sum("n")).scalar()
+    return vocab.where(F.col("n") * F.lit(limit) >= total)
+
+
+def frequent_vocabulary(words: DataFrame, limit: int, col: str = "word") -> DataFrame:
+    """(word, stem, n) for the frequent words of a word stream: at most ``limit`` rows."""
+    return frequent_words(stem_vocabulary(words, col, with_counts=True), limit)
 
 
 def apply_stems(words: DataFrame, vocab: DataFrame, broadcast_vocab: bool = False) -> DataFrame:
-    """Attach ``term`` (the stem) to each word row; drops the ``word`` column.
+    """Attach ``term`` (the stem) to each word row from a complete vocabulary; drops ``word``.
 
     ``broadcast_vocab`` must only be set by a caller that has checked the size of
-    ``vocab`` (see ``plans.build``); otherwise the join is planned by Spark and
-    AQE, which may still broadcast at run time from measured sizes and splits
-    skewed words.
+    ``vocab`` (see ``plans.build``); otherwise Spark and AQE plan the join from
+    measured sizes.
     """
     v = vocab.select("word", F.col("stem").alias("term"))
     if broadcast_vocab:
         v = F.broadcast(v)
     return words.join(v, "word").drop("word")
+
+
+def apply_frequent_stems(words: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Attach ``term`` using a bounded (word, stem) table of frequent words.
+
+    The table is broadcast; words it lacks (the rare tail) are stemmed in place.
+    No shuffle, whatever the vocabulary size or the skew of word frequencies.
+    """
+    f = F.broadcast(frequent.select("word", F.col("stem").alias("_known")))
+    joined = words.join(f, "word", "left")
+    return joined.withColumn("term", F.coalesce(F.col("_known"), stem_word(F.col("word")))).drop("word", "_known")
+
+
+def stem_in_place(words: DataFrame) -> DataFrame:
+    """Attach ``term`` by stemming every row (for small inputs such as a phrase batch)."""
+    return words.withColumn("term", stem_word(F.col("word")))

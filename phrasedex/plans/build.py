@@ -3,14 +3,17 @@
 Plan (one corpus pass to find the vocabulary, one to emit postings):
 
     documents --tokens, offsets, words (row-local)--> (doc_id, pos, word)
-        distinct words --stemmer--> vocabulary, written to the shared folder
-    (doc_id, pos, word) JOIN vocabulary --> (doc_id, pos, term)
+        word counts --stemmer--> vocabulary, written to the shared folder
+    (doc_id, pos, word) JOIN broadcast vocabulary --> (doc_id, pos, term)
         partial agg (map side) --shuffle (term, doc_id)--> final agg --> postings
         range exchange (bucket, term, doc_id) --> sort --> bucket=N/ Parquet
 
-The vocabulary is broadcast only if its row count, read from the written table,
-is under ``max_broadcast_words``; otherwise the join is a shuffle join that
-AQE can split for skewed words.
+The vocabulary is broadcast whole if its row count, read from the written
+table, is at most ``max_broadcast_words`` (K); otherwise only words holding at
+least 1/K of all occurrences are broadcast (at most K of them, by counting) and
+the rare rest is stemmed in place. The token
+stream is never shuffled for stemming, so a word holding a third of all tokens
+costs no more than any other.
 """
 
 from __future__ import annotations
@@ -18,9 +21,16 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from phrasedex.operators.postings import build_postings
-from phrasedex.operators.stemming import apply_stems, stem_vocabulary
+from phrasedex.operators.stemming import (
+    apply_frequent_stems,
+    apply_stems,
+    frequent_vocabulary,
+    frequent_words,
+    stem_vocabulary,
+)
 from phrasedex.operators.tokens import with_words
 from phrasedex.session import shared_dir
 from phrasedex.sources.index_store import write_index
@@ -33,14 +43,17 @@ def corpus_postings(
     docs: DataFrame,
     body: str = "body",
     stopwords: Iterable[str] | None = None,
-    vocab: DataFrame | None = None,
-    broadcast_vocab: bool = False,
+    frequent_words: int = MAX_BROADCAST_WORDS,
 ) -> DataFrame:
-    """Lazy (term, doc_id, positions) for a (doc_id, body) table."""
+    """Lazy (term, doc_id, positions) for a (doc_id, body) table.
+
+    Words holding at least 1/``frequent_words`` of all occurrences (at most
+    that many words) are broadcast with their stems; any other word is stemmed
+    in place. No side of the plan
+    is broadcast on a size estimate.
+    """
     words = with_words(docs, body, stopwords)
-    if vocab is None:
-        vocab = stem_vocabulary(words)
-    return build_postings(apply_stems(words, vocab, broadcast_vocab))
+    return build_postings(apply_frequent_stems(words, frequent_vocabulary(words, frequent_words)))
 
 
 def materialize(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
@@ -74,12 +87,17 @@ def build_index(
     if input_partitions:
         docs = docs.repartition(input_partitions)
     words = with_words(docs, body, stopwords)
-    vocab = materialize(stem_vocabulary(words), spark, "vocabulary")
+    vocab = materialize(stem_vocabulary(words, with_counts=True), spark, "vocabulary")
     n_words = vocab.count()
     small = n_words <= max_broadcast_words
-    postings = build_postings(apply_stems(words, vocab, broadcast_vocab=small))
+    if small:
+        terms = apply_stems(words, vocab, broadcast_vocab=True)
+    else:
+        # Bounded broadcast of the frequent words; the tail is stemmed in place.
+        terms = apply_frequent_stems(words, frequent_words(vocab, max_broadcast_words))
+    postings = build_postings(terms)
     write_index(postings, path, num_files=num_files)
-    write_vocabulary(vocab, path)
+    write_vocabulary(vocab.select("word", "stem"), path)
     return {"vocabulary_words": n_words, "vocabulary_broadcast": small, "path": path}
 
 

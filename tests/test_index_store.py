@@ -38,6 +38,19 @@ def test_layout_sorted_and_bucketed(spark):
     assert idx.groupBy("term", "doc_id").count().where("count > 1").count() == 0
 
 
+def test_bounded_broadcast_build_equals_full(spark):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", F.col("text").alias("body"))
+    full, small = shared_dir(spark, "t-full"), shared_dir(spark, "t-small")
+    build_index(spark, docs, full, num_files=3)
+    facts = build_index(spark, docs, small, num_files=3, max_broadcast_words=200)
+    assert facts["vocabulary_broadcast"] is False
+    a = read_index(spark, full).select("term", "doc_id", F.array_join("positions", ":").alias("p"))
+    b = read_index(spark, small).select("term", "doc_id", F.array_join("positions", ":").alias("p"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_pruned_scan_plan(spark):
     path, _ = _build(spark)
     df = read_index(spark, path, buckets=[2, 22], terms=["civil", "war"])

@@ -5,7 +5,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from oracle_sql import stemmer_ctes
-from phrasedex.functions.porter import add_porter_stem
+from pyspark.sql import functions as F
+
+from phrasedex.functions.porter import porter_stem
 from phrasedex.operators.stemming import stem_vocabulary
 
 GOLDEN = dict(
@@ -55,5 +57,5 @@ _WORD = st.text(alphabet="aeiouybcdlnstgzmrvx", min_size=1, max_size=14) | st.bu
 @given(st.lists(_WORD, min_size=50, max_size=120, unique=True))
 def test_spark_stemmer_equals_sql_stemmer(spark, words):
     df = spark.createDataFrame([(w,) for w in words], "run string")
-    got = dict(add_porter_stem(df, "run", "stem").select("run", "stem").collect())
+    got = dict(df.select("run", porter_stem(F.col("run")).alias("stem")).collect())
     assert got == _sql_stems(words)
