@@ -25,10 +25,10 @@ from phrasedex.operators import (  # noqa: E402
     candidate_docs,
     frequent_vocabulary,
     lookup_terms,
+    matching_docs,
     merge_postings,
     parse_queries,
     partial_phrase_matches,
-    phrase_docs,
     phrase_match,
     query_buckets,
     single_term_docs,
@@ -200,7 +200,7 @@ def q_phrase_match(spark, sf_dir):
 
 
 def q_phrase_docs(spark, sf_dir):
-    return phrase_docs(phrase_match(_lookup(spark, sf_dir)))
+    return matching_docs(_lookup(spark, sf_dir))
 
 
 def q_partial_phrase_matches(spark, sf_dir):

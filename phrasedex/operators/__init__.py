@@ -19,6 +19,7 @@ from phrasedex.operators.queries import benchmark_phrases, parse_queries, query_
 from phrasedex.operators.search import (
     candidate_docs,
     lookup_terms,
+    matching_docs,
     phrase_docs,
     phrase_match,
     partial_phrase_matches,
@@ -48,6 +49,7 @@ __all__ = [
     "candidate_docs",
     "phrase_match",
     "phrase_docs",
+    "matching_docs",
     "partial_phrase_matches",
     "single_term_docs",
 ]

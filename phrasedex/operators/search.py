@@ -8,14 +8,16 @@ distinct position p of word k votes for the start ``p - start_offset_k``, and a
 start with ``n_terms`` votes is a match.
 
 Shuffles: the lookup joins a broadcast (size-checked) query table to the index
-scan, then ONE exchange on (query_id, doc_id) serves the AND filter (a window)
-and the vote aggregation on (query_id, doc_id, start), whose key contains it. A (query, document) group holds at most ``n_terms`` posting rows, so a
+scan. The AND filter runs first on light rows (no positions are read for it);
+only rows of candidate documents carry their positions into the one exchange on
+(query_id, doc_id), which the vote aggregation on (query_id, doc_id, start)
+reuses. A (query, document) group holds at most ``n_terms`` posting rows, so a
 frequent term spreads over many groups instead of filling one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasedex.functions.text import let
@@ -50,47 +52,77 @@ def candidate_docs(lookup: DataFrame) -> DataFrame:
     )
 
 
-def _start_votes(lookup: DataFrame) -> DataFrame:
-    """(query_id, doc_id, k, n_terms, start, p) for documents holding every word.
+def _candidate_rows(lookup: DataFrame, candidates: DataFrame | None, broadcast_candidates: bool) -> DataFrame:
+    """Lookup rows of multi-word phrases restricted to documents holding every word.
 
-    The AND filter is a window over (query_id, doc_id): it shares the one
-    exchange with the vote aggregation that follows. Each distinct position p of
-    word k votes for the phrase start ``p - start_offset_k``.
+    The AND runs on light rows first (``candidate_docs`` reads no positions), and
+    only then are the position arrays moved: by a map-side semi-join against
+    broadcast candidates when their count was checked, else by a shuffle-hash
+    semi-join whose (query_id, doc_id) partitioning the vote aggregation reuses.
     """
-    w = Window.partitionBy("query_id", "doc_id")
-    present = lookup.withColumn("_present", F.count(F.lit(1)).over(w)).where(F.col("_present") == F.col("n_terms"))
-    return present.select(
+    multi = lookup.where(F.col("n_terms") > 1)
+    if candidates is None:
+        candidates = candidate_docs(multi)
+    c = candidates.select("query_id", "doc_id")
+    c = F.broadcast(c) if broadcast_candidates else c.hint("shuffle_hash")
+    return multi.join(c, ["query_id", "doc_id"], "left_semi")
+
+
+def _start_votes(rows: DataFrame) -> DataFrame:
+    """(query_id, doc_id, k, n_terms, start, p): each distinct position p of word k votes for ``p - start_offset_k``."""
+    return rows.select(
         "query_id", "doc_id", "k", "n_terms", "start_offset", F.explode(F.array_distinct("positions")).alias("p")
     ).withColumn("start", F.col("p") - F.col("start_offset"))
 
 
-def phrase_match(lookup: DataFrame) -> DataFrame:
-    """(query_id, doc_id, start_pos): every offset at which the whole phrase starts.
-
-    One-word phrases need no grouping: each distinct position is a start, read
-    straight off the lookup with no shuffle. Longer phrases go through the vote
-    aggregation: a start with n_terms votes (one per word; (k, start) is unique)
-    is a match.
-    """
-    single = lookup.where(F.col("n_terms") == 1).select(
+def _one_word_matches(lookup: DataFrame) -> DataFrame:
+    return lookup.where(F.col("n_terms") == 1).select(
         "query_id", "doc_id", F.explode(F.array_distinct("positions")).alias("start_pos")
     )
-    votes = _start_votes(lookup.where(F.col("n_terms") > 1))
-    multi = (
+
+
+def _multi_word_matches(lookup: DataFrame, candidates: DataFrame | None, broadcast_candidates: bool) -> DataFrame:
+    votes = _start_votes(_candidate_rows(lookup, candidates, broadcast_candidates))
+    return (
         votes.groupBy("query_id", "doc_id", "start")
         .agg(F.count(F.lit(1)).alias("_votes"), F.first("n_terms").alias("_n"))
         .where(F.col("_votes") == F.col("_n"))
         .select("query_id", "doc_id", F.col("start").alias("start_pos"))
     )
-    return single.unionByName(multi)
+
+
+def phrase_match(lookup: DataFrame, candidates: DataFrame | None = None, broadcast_candidates: bool = False) -> DataFrame:
+    """(query_id, doc_id, start_pos): every offset at which the whole phrase starts.
+
+    One-word phrases need no grouping: each distinct position is a start, read
+    straight off the lookup with no shuffle. Longer phrases: a start with
+    n_terms votes (one per word; (k, start) is unique) is a match.
+    ``candidates`` may be a precomputed (and size-checked) ``candidate_docs``.
+    """
+    return _one_word_matches(lookup).unionByName(_multi_word_matches(lookup, candidates, broadcast_candidates))
 
 
 def phrase_docs(matches: DataFrame) -> DataFrame:
-    """(query_id, doc_id, n_matches): documents containing the phrase."""
+    """(query_id, doc_id, n_matches) from any match table."""
     return matches.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_matches"))
 
 
-def partial_phrase_matches(lookup: DataFrame) -> DataFrame:
+def matching_docs(lookup: DataFrame, candidates: DataFrame | None = None, broadcast_candidates: bool = False) -> DataFrame:
+    """(query_id, doc_id, n_matches) straight from the lookup, without an extra exchange.
+
+    A one-word phrase matches once per distinct position of its word; longer
+    phrases count their starts by (query_id, doc_id), which the vote exchange
+    already partitions by.
+    """
+    one = lookup.where(F.col("n_terms") == 1).select(
+        "query_id", "doc_id", F.size(F.array_distinct("positions")).cast("bigint").alias("n_matches")
+    )
+    return one.unionByName(phrase_docs(_multi_word_matches(lookup, candidates, broadcast_candidates)))
+
+
+def partial_phrase_matches(
+    lookup: DataFrame, candidates: DataFrame | None = None, broadcast_candidates: bool = False
+) -> DataFrame:
     """(query_id, doc_id, step, pos): chain positions, reported step by step.
 
     Step s (1-based) lists each position of word s-1 from which words 0..s all
@@ -99,7 +131,7 @@ def partial_phrase_matches(lookup: DataFrame) -> DataFrame:
     k, hold an unbroken prefix 0..L-1; steps 1..L-1 are reported at the
     positions of words 0..L-2. One-word phrases have no steps.
     """
-    votes = _start_votes(lookup.where(F.col("n_terms") > 1))
+    votes = _start_votes(_candidate_rows(lookup, candidates, broadcast_candidates))
     per_start = votes.groupBy("query_id", "doc_id", "start").agg(
         F.array_sort(F.collect_list(F.struct("k", "p"))).alias("_chain")
     )

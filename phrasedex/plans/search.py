@@ -2,8 +2,10 @@
 
 Batch: the parsed batch is checkpointed (small, lineage cut), its size checked
 before it is broadcast, and its bucket set (at most 26 values) turned into
-literal partition filters. The whole batch is answered in one job whose only
-exchange is on (query_id, doc_id).
+literal partition filters. Documents holding every word of a phrase are found
+first from (term, doc_id) alone; their count is checked before they are
+broadcast, so positions of frequent words are only shuffled for documents
+that can match.
 
 Single phrase: the phrase is parsed by the same Spark operators; its few terms
 (bounded by the phrase length) become literal filters, so the scan reads only
@@ -17,14 +19,24 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasedex.operators.queries import parse_queries, query_words, with_terms
+from phrasedex.functions.text import bucket_of
+from phrasedex.operators.queries import parse_queries, query_words
 from phrasedex.operators.stemming import stem_vocabulary
 from phrasedex.plans.build import vocabulary_path
-from phrasedex.operators.search import lookup_terms, partial_phrase_matches, phrase_docs, phrase_match
+from phrasedex.operators.search import (
+    candidate_docs,
+    lookup_terms,
+    matching_docs,
+    partial_phrase_matches,
+    phrase_docs,
+    phrase_match,
+)
 from phrasedex.session import shared_dir
 from phrasedex.sources.index_store import read_index
 
 MAX_BROADCAST_QUERY_WORDS = 5_000_000
+# (query_id, doc_id) pairs: 16 bytes each, about 100 MB as a broadcast hash table.
+MAX_BROADCAST_CANDIDATES = 4_000_000
 BUCKETS = 26
 
 
@@ -52,22 +64,36 @@ def prepare_batch(spark: SparkSession, queries: DataFrame) -> tuple[DataFrame, i
     return parsed, n, buckets
 
 
-def search_batch(spark: SparkSession, index_path: str | list[str], queries: DataFrame,
-                 max_broadcast_words: int = MAX_BROADCAST_QUERY_WORDS) -> SearchResult:
+def search_batch(
+    spark: SparkSession,
+    index_path: str | list[str],
+    queries: DataFrame,
+    max_broadcast_words: int = MAX_BROADCAST_QUERY_WORDS,
+    max_broadcast_candidates: int = MAX_BROADCAST_CANDIDATES,
+) -> SearchResult:
     """Answer a (query_id, query) batch against the index at ``index_path``."""
     parsed, n, buckets = prepare_batch(spark, queries)
     index = read_index(spark, index_path, buckets=buckets)
     lookup = lookup_terms(index, parsed, broadcast_queries=n <= max_broadcast_words)
-    matches = phrase_match(lookup)
-    return SearchResult(parsed, lookup, matches, phrase_docs(matches), partial_phrase_matches(lookup))
+    # AND over light rows, written out (lineage cut) and counted before its
+    # pairs are broadcast to filter the position-carrying rows map-side.
+    cands = candidate_docs(lookup.where(F.col("n_terms") > 1)).checkpoint(eager=True)
+    small = cands.count() <= max_broadcast_candidates
+    return SearchResult(
+        parsed,
+        lookup,
+        phrase_match(lookup, cands, small),
+        matching_docs(lookup, cands, small),
+        partial_phrase_matches(lookup, cands, small),
+    )
 
 
 def search_phrase(spark: SparkSession, index_path: str | list[str], phrase: str, query_id: int = 1) -> SearchResult:
     """Answer one phrase with literal bucket and term filters on the index scan.
 
-    Stems come from the index's term dictionary (a pushed-down lookup); words the
-    corpus never contained are stemmed by the Spark stemmer. All driver-side
-    lists are bounded by the phrase length.
+    Stems and buckets come from the index's term dictionary in one pushed-down
+    lookup; words the corpus never contained are stemmed by the same
+    expression. Every list brought to the driver is bounded by the phrase length.
     """
     q = spark.createDataFrame([(int(query_id), phrase)], "query_id BIGINT, query STRING")
     words = query_words(q)
@@ -76,24 +102,34 @@ def search_phrase(spark: SparkSession, index_path: str | list[str], phrase: str,
         empty = spark.createDataFrame([], "query_id BIGINT, doc_id BIGINT, start_pos BIGINT")
         return SearchResult(q, empty, empty, phrase_docs(empty), empty)
     distinct = sorted({r["word"] for r in rows})
-    stems: dict[str, str] = {}
+    stems: dict[str, tuple[str, int]] = {}
     paths = [index_path] if isinstance(index_path, str) else list(index_path)
     dicts = [vocabulary_path(p) for p in paths if _exists(spark, vocabulary_path(p))]
     if dicts:
-        found = spark.read.parquet(*dicts).where(F.col("word").isin(distinct)).select("word", "stem").collect()
-        stems.update({r["word"]: r["stem"] for r in found})
+        found = spark.read.parquet(*dicts).where(F.col("word").isin(distinct))
+        stems.update(_stem_rows(found))
     missing = [w for w in distinct if w not in stems]
     if missing:
-        miss = spark.createDataFrame([(w,) for w in missing], "word STRING")
-        stems.update({r["word"]: r["stem"] for r in stem_vocabulary(miss).collect()})
-    vocab = spark.createDataFrame(sorted(stems.items()), "word STRING, stem STRING")
-    parsed = with_terms(spark.createDataFrame(rows, schema=words.schema), vocab).collect()
-    parsed_df = spark.createDataFrame(parsed, schema="query_id BIGINT, k INT, word STRING, term STRING, word_len INT, "
-                                                     "start_offset BIGINT, n_terms INT, bucket INT")
-    index = read_index(spark, index_path, buckets={r["bucket"] for r in parsed}, terms={r["term"] for r in parsed})
+        stems.update(_stem_rows(stem_vocabulary(spark.createDataFrame([(w,) for w in missing], "word STRING"))))
+    parsed = [
+        (r["query_id"], r["k"], r["word"], stems[r["word"]][0], r["word_len"], r["start_offset"], r["n_terms"],
+         stems[r["word"]][1])
+        for r in rows
+    ]
+    parsed_df = spark.createDataFrame(parsed, schema=PARSED_SCHEMA)
+    index = read_index(spark, index_path, buckets={p[7] for p in parsed}, terms={p[3] for p in parsed})
     lookup = lookup_terms(index, parsed_df, broadcast_queries=True)
-    matches = phrase_match(lookup)
-    return SearchResult(parsed_df, lookup, matches, phrase_docs(matches), partial_phrase_matches(lookup))
+    return SearchResult(parsed_df, lookup, phrase_match(lookup), matching_docs(lookup), partial_phrase_matches(lookup))
+
+
+PARSED_SCHEMA = (
+    "query_id BIGINT, k INT, word STRING, term STRING, word_len INT, start_offset BIGINT, n_terms INT, bucket INT"
+)
+
+
+def _stem_rows(vocab: DataFrame) -> dict[str, tuple[str, int]]:
+    rows = vocab.select("word", "stem", bucket_of(F.col("stem")).alias("bucket")).collect()
+    return {r["word"]: (r["stem"], r["bucket"]) for r in rows}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
