@@ -64,8 +64,11 @@ def _candidate_rows(lookup: DataFrame, candidates: DataFrame | None, broadcast_c
     if candidates is None:
         candidates = candidate_docs(multi)
     c = candidates.select("query_id", "doc_id")
-    c = F.broadcast(c) if broadcast_candidates else c.hint("shuffle_hash")
-    return multi.join(c, ["query_id", "doc_id"], "left_semi")
+    if broadcast_candidates:
+        # Filtered map-side; then one exchange on (query_id, doc_id) that the
+        # vote aggregation and the per-document count both reuse.
+        return multi.join(F.broadcast(c), ["query_id", "doc_id"], "left_semi").repartition("query_id", "doc_id")
+    return multi.join(c.hint("shuffle_hash"), ["query_id", "doc_id"], "left_semi")
 
 
 def _start_votes(rows: DataFrame) -> DataFrame:
