@@ -40,6 +40,8 @@ from phrasedex.operators import (  # noqa: E402
 from phrasedex.plans.build import MAX_BROADCAST_WORDS, corpus_postings  # noqa: E402
 from phrasedex.session import shared_dir  # noqa: E402
 from phrasedex.sources import (  # noqa: E402
+    TURN_SPAN,
+    conversation_documents,
     parse_marked_documents,
     postings_from_text,
     postings_to_text,
@@ -207,6 +209,19 @@ def q_partial_phrase_matches(spark, sf_dir):
     return partial_phrase_matches(_lookup(spark, sf_dir))
 
 
+def q_conversation_phrase_docs(spark, sf_dir):
+    # Second corpus: every conversation turn is a document keyed (conv_id, turn).
+    turns = conversation_documents(_table(spark, sf_dir, "conversations"))
+    index = with_bucket(corpus_postings(turns))
+    hits = matching_docs(lookup_terms(index, parse_queries(_phrases(spark, sf_dir))))
+    return hits.select(
+        "query_id",
+        (F.col("doc_id") / TURN_SPAN).cast("bigint").alias("conv_id"),
+        (F.col("doc_id") % TURN_SPAN).cast("bigint").alias("turn"),
+        "n_matches",
+    )
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "marked_documents": q_marked_documents,
     "clean_documents": q_clean_documents,
@@ -231,6 +246,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "phrase_match": q_phrase_match,
     "phrase_docs": q_phrase_docs,
     "partial_phrase_matches": q_partial_phrase_matches,
+    "conversation_phrase_docs": q_conversation_phrase_docs,
 }
 
 

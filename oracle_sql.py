@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from phrasedex.functions.porter import STEP2_RULES, STEP3_RULES, STEP4_SUFFIXES
 from phrasedex.operators.queries import CLAUSE, CLAUSE_ID_SPAN
-from phrasedex.sources.corpus import HEADER_PATTERN, STOP_WORDS
+from phrasedex.sources.corpus import HEADER_PATTERN, STOP_WORDS, TURN_SPAN
 
 WS = "[ \\t\\n\\x0B\\f\\r]+"
 NL = "chr(10)"
@@ -126,6 +126,10 @@ def norm_words(x: str) -> str:
     return f"list_filter(string_split(lower(regexp_replace({x}, '[^a-zA-Z0-9 ]', ' ', 'g')), ' '), lambda s: s <> '')"
 
 
+def tokens_ctes(docs_sql: str) -> str:
+    return TOKENS.replace("SELECT doc_id, text AS body FROM documents", docs_sql, 1)
+
+
 TOKENS = f"""
 docs AS (SELECT doc_id, text AS body FROM documents),
 tl AS (SELECT doc_id, list_filter(regexp_split_to_array(body, {_q(WS)}), lambda x: x <> '') AS toks FROM docs),
@@ -242,6 +246,14 @@ SELECT query_id, doc_id, array_to_string(positions, ':') AS positions FROM lk WH
 SELECT DISTINCT query_id, doc_id, k::INT AS step, prev_pos AS pos FROM chain WHERE k >= 1""",
 }
 
+_CONV = _with(
+    tokens_ctes(f"SELECT conv_id * {TURN_SPAN} + turn AS doc_id, text AS body FROM conversations"),
+    PHRASES, ALL_WORDS, vocab_ctes("allw"), STEMMED, PARSED, SEARCH, recursive=True,
+)
+ORACLE_SQL["conversation_phrase_docs"] = _CONV + f"""
+SELECT query_id, (doc_id // {TURN_SPAN})::BIGINT AS conv_id, (doc_id % {TURN_SPAN})::BIGINT AS turn, count(*) AS n_matches
+FROM pm GROUP BY query_id, doc_id"""
+
 _CLEAN_TOKENS = TOKENS.replace(
     "list_filter(regexp_split_to_array(body, " + _q(WS) + "), lambda x: x <> '')",
     "list_filter(regexp_split_to_array(body, " + _q(WS) + "), lambda x: x <> '' AND (ends_with(x, '>') OR lower(x) NOT IN ("

@@ -2,6 +2,8 @@
 
 from phrasedex.sources.corpus import (
     STOP_WORDS,
+    TURN_SPAN,
+    conversation_documents,
     parse_marked_documents,
     read_marked_corpus,
     read_queries,
@@ -18,6 +20,8 @@ from phrasedex.sources.postings_text import postings_from_text, postings_to_text
 
 __all__ = [
     "STOP_WORDS",
+    "TURN_SPAN",
+    "conversation_documents",
     "parse_marked_documents",
     "read_marked_corpus",
     "read_queries",

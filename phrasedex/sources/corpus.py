@@ -72,6 +72,17 @@ def parse_marked_documents(segments: DataFrame) -> DataFrame:
     )
 
 
+# A conversation turn is one document: doc_id = conv_id * TURN_SPAN + turn.
+TURN_SPAN = 1000
+
+
+def conversation_documents(conversations: DataFrame) -> DataFrame:
+    """(doc_id, body) from (conv_id, turn, role, text); turns must be below TURN_SPAN."""
+    return conversations.select(
+        (F.col("conv_id") * TURN_SPAN + F.col("turn")).cast("bigint").alias("doc_id"), F.col("text").alias("body")
+    )
+
+
 def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
     """(word): one stop word per line, newline stripped, blank lines ignored."""
     return spark.read.text(path).select(F.col("value").alias("word")).where(F.col("word") != "")

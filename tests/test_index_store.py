@@ -80,3 +80,17 @@ def test_batch_plan_has_one_shuffle_for_multiword_branch(spark):
     # Broadcast of the parsed batch, a hash exchange only for the vote branch.
     assert "BroadcastHashJoin" in plan
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_partial_indexes_searched_in_one_scan(spark):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    full = _build(spark)[0]
+    parts = []
+    for cond in (F.col("lang") == "en", F.col("lang") != "en"):
+        p = shared_dir(spark, "t-part")
+        build_index(spark, docs.where(cond).select("doc_id", F.col("text").alias("body")), p, num_files=2)
+        parts.append(p)
+    phrases = benchmark_phrases(spark.read.parquet(f"{SF0001}/benchmark.parquet"))
+    a = {(r.query_id, r.doc_id, r.n_matches) for r in search_batch(spark, full, phrases).docs.collect()}
+    b = {(r.query_id, r.doc_id, r.n_matches) for r in search_batch(spark, parts, phrases).docs.collect()}
+    assert a == b and a
