@@ -47,13 +47,21 @@ def read_index(
 ) -> DataFrame:
     """(bucket, term, doc_id, positions), pruned to ``buckets`` and ``terms`` if given.
 
-    Several index paths (partial indexes) are read in one scan. Literal bucket
-    values become PartitionFilters; literal terms become PushedFilters.
+    Several index paths (partial indexes over disjoint documents) are read as
+    one union. Literal bucket values become PartitionFilters; literal terms
+    become PushedFilters.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    df = spark.read.schema(INDEX_SCHEMA).parquet(*paths).select("bucket", "term", "doc_id", "positions")
-    if buckets is not None:
-        df = df.where(F.col("bucket").isin(sorted({int(b) for b in buckets})))
-    if terms is not None:
-        df = df.where(F.col("term").isin(sorted(set(terms))))
-    return df
+    bucket_list = sorted({int(b) for b in buckets}) if buckets is not None else None
+    term_list = sorted(set(terms)) if terms is not None else None
+    out = None
+    # One scan per index root (each has its own bucket=N folders), unioned;
+    # partial indexes must cover disjoint documents (else merge them first).
+    for p in paths:
+        df = spark.read.schema(INDEX_SCHEMA).parquet(p).select("bucket", "term", "doc_id", "positions")
+        if bucket_list is not None:
+            df = df.where(F.col("bucket").isin(bucket_list))
+        if term_list is not None:
+            df = df.where(F.col("term").isin(term_list))
+        out = df if out is None else out.unionByName(df)
+    return out
