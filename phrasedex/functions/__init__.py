@@ -1,7 +1,9 @@
 """Column expressions. Every function returns a ``Column`` evaluated JVM-side."""
 
 from phrasedex.functions.text import (
+    ALNUM_RUN,
     WHITESPACE,
+    alnum_runs,
     bucket_of,
     let,
     normalize,
@@ -12,7 +14,9 @@ from phrasedex.functions.text import (
 from phrasedex.functions.porter import letter_runs, porter_stem, stem_word
 
 __all__ = [
+    "ALNUM_RUN",
     "WHITESPACE",
+    "alnum_runs",
     "bucket_of",
     "let",
     "normalize",

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 # after normalisation (ASCII letters, digits, space).
 WHITESPACE = "[ \\t\\n\\x0B\\f\\r]+"
 NON_ALNUM = "[^a-zA-Z0-9 ]"
+# Normalising ("every other character becomes a space", then split) leaves the
+# maximal runs of these characters, which is how words are cut out.
+ALNUM_RUN = "[a-zA-Z0-9]+"
 
 
 def _col(c) -> Column:
@@ -60,9 +63,18 @@ def normalize(raw) -> Column:
     return F.lower(F.regexp_replace(_col(raw), NON_ALNUM, " "))
 
 
+def alnum_runs(raw) -> Column:
+    """Maximal [a-zA-Z0-9] runs of a string, not yet lower-cased (one regex pass)."""
+    return F.regexp_extract_all(_col(raw), F.lit(ALNUM_RUN), 0)
+
+
 def sub_words(raw) -> Column:
-    """Words of a raw token after normalisation; punctuation-only tokens give none."""
-    return F.filter(F.split(normalize(raw), " "), lambda w: w != "")
+    """Words of a raw token after normalisation; punctuation-only tokens give none.
+
+    Same result as splitting ``normalize(raw)`` on spaces. Lower-casing comes
+    after the runs are cut, so a non-ASCII letter never turns into an ASCII one.
+    """
+    return F.transform(alnum_runs(raw), F.lower)
 
 
 def bucket_of(term) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasedex.functions.text import bucket_of, normalize, token_starts
+from phrasedex.functions.text import bucket_of, sub_words, token_starts
 from phrasedex.functions.porter import stem_word
 
 # A phrase can only match where its inner words carry no punctuation: offsets
@@ -34,7 +34,7 @@ def query_words(queries: DataFrame) -> DataFrame:
     """
     words = queries.select(
         F.col("query_id").cast("bigint").alias("query_id"),
-        F.filter(F.split(normalize(F.col("query")), " "), lambda w: w != "").alias("_words"),
+        sub_words(F.col("query")).alias("_words"),
     )
     parsed = words.select(
         "query_id",
