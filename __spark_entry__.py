@@ -38,6 +38,7 @@ from phrasedex.operators import (  # noqa: E402
     with_words,
 )
 from phrasedex.plans.build import MAX_BROADCAST_WORDS, corpus_postings  # noqa: E402
+from phrasedex.plans.search import MAX_BROADCAST_QUERY_WORDS  # noqa: E402
 from phrasedex.session import shared_dir  # noqa: E402
 from phrasedex.sources import (  # noqa: E402
     TURN_SPAN,
@@ -75,8 +76,15 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_bucket(_postings(spark, sf_dir))
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """Parsed phrase batch and whether its counted size allows a broadcast."""
+    parsed = parse_queries(_phrases(spark, sf_dir))
+    return parsed, parsed.count() <= MAX_BROADCAST_QUERY_WORDS
+
+
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup_terms(_index(spark, sf_dir), parse_queries(_phrases(spark, sf_dir)))
+    parsed, small = _parsed(spark, sf_dir)
+    return lookup_terms(_index(spark, sf_dir), parsed, broadcast_queries=small)
 
 
 def _flat(df: DataFrame, col: str = "positions") -> DataFrame:
@@ -143,11 +151,12 @@ def q_inverted_index(spark, sf_dir):
 def q_index_bucket_scan(spark, sf_dir):
     path = shared_dir(spark, "index")
     write_index(_postings(spark, sf_dir), path)
-    parsed = parse_queries(_phrases(spark, sf_dir))
+    parsed, small = _parsed(spark, sf_dir)
     # Bucket set of the batch: at most 26 values.
     buckets = [r[0] for r in parsed.select("bucket").distinct().collect()]
     index = read_index(spark, path, buckets=buckets)
-    hit = index.join(F.broadcast(parsed.select("term").distinct()), "term", "left_semi")
+    terms = parsed.select("term").distinct()
+    hit = index.join(F.broadcast(terms) if small else terms, "term", "left_semi")
     return _flat(hit.select("bucket", "term", "doc_id", "positions"))
 
 
@@ -190,7 +199,8 @@ def q_term_lookup(spark, sf_dir):
 
 
 def q_single_term_docs(spark, sf_dir):
-    return _flat(single_term_docs(_index(spark, sf_dir), parse_queries(_phrases(spark, sf_dir))))
+    parsed, small = _parsed(spark, sf_dir)
+    return _flat(single_term_docs(_index(spark, sf_dir), parsed, broadcast_queries=small))
 
 
 def q_candidate_docs(spark, sf_dir):
@@ -213,7 +223,8 @@ def q_conversation_phrase_docs(spark, sf_dir):
     # Second corpus: every conversation turn is a document keyed (conv_id, turn).
     turns = conversation_documents(_table(spark, sf_dir, "conversations"))
     index = with_bucket(corpus_postings(turns))
-    hits = matching_docs(lookup_terms(index, parse_queries(_phrases(spark, sf_dir))))
+    parsed, small = _parsed(spark, sf_dir)
+    hits = matching_docs(lookup_terms(index, parsed, broadcast_queries=small))
     return hits.select(
         "query_id",
         (F.col("doc_id") / TURN_SPAN).cast("bigint").alias("conv_id"),
