@@ -42,10 +42,16 @@ def candidate_docs(lookup: DataFrame) -> DataFrame:
     """(query_id, doc_id) of documents that hold every word of the query (AND).
 
     (term, doc_id) is unique in the index, so a (query, doc) group has one row
-    per word present; all words are present when that count is n_terms.
+    per word present; all words are present when that count is n_terms. Only
+    light columns are read (no positions). The rows of one group come from
+    different index scan tasks (the words of a phrase live in different term
+    ranges), so a map-side partial count would not shrink anything: the rows
+    are exchanged first and counted once.
     """
     return (
-        lookup.groupBy("query_id", "doc_id")
+        lookup.select("query_id", "doc_id", "n_terms")
+        .repartition("query_id", "doc_id")
+        .groupBy("query_id", "doc_id")
         .agg(F.count(F.lit(1)).alias("_present"), F.first("n_terms").alias("_n"))
         .where(F.col("_present") == F.col("_n"))
         .select("query_id", "doc_id")
