@@ -19,9 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasedex.functions.text import bucket_of
-from phrasedex.operators.queries import parse_queries, query_words
-from phrasedex.operators.stemming import stem_vocabulary
+from phrasedex.functions.porter import stem_word
+from phrasedex.functions.text import bucket_of, sub_words, token_starts
+from phrasedex.operators.queries import parse_queries
 from phrasedex.plans.build import vocabulary_path
 from phrasedex.operators.search import (
     candidate_docs,
@@ -93,15 +93,21 @@ def search_phrase(spark: SparkSession, index_path: str | list[str], phrase: str,
 
     Stems and buckets come from the index's term dictionary in one pushed-down
     lookup; words the corpus never contained are stemmed by the same
-    expression. Every list brought to the driver is bounded by the phrase length.
+    expression. The phrase enters as a SQL parameter, so its parsing is folded
+    by the optimizer (no job, no Python worker). Every list brought to the
+    driver is bounded by the phrase length.
     """
-    q = spark.createDataFrame([(int(query_id), phrase)], "query_id BIGINT, query STRING")
-    words = query_words(q)
-    rows = words.collect()  # one row per word of the phrase
-    if not rows:
-        empty = spark.createDataFrame([], "query_id BIGINT, doc_id BIGINT, start_pos BIGINT")
+    q = spark.sql("SELECT CAST(:id AS BIGINT) AS query_id, CAST(:q AS STRING) AS query", args={"id": int(query_id), "q": phrase})
+    arrays = (
+        q.select(sub_words(F.col("query")).alias("w"))
+        .select("w", token_starts("w").alias("o"), F.transform("w", F.length).alias("n"))
+        .first()
+    )
+    words = list(arrays["w"] or [])
+    if not words:
+        empty = spark.sql("SELECT CAST(1 AS BIGINT) AS query_id, CAST(1 AS BIGINT) AS doc_id, CAST(1 AS BIGINT) AS start_pos").limit(0)
         return SearchResult(q, empty, empty, phrase_docs(empty), empty)
-    distinct = sorted({r["word"] for r in rows})
+    distinct = sorted(set(words))
     stems: dict[str, tuple[str, int]] = {}
     paths = [index_path] if isinstance(index_path, str) else list(index_path)
     dicts = [vocabulary_path(p) for p in paths if _exists(spark, vocabulary_path(p))]
@@ -110,21 +116,30 @@ def search_phrase(spark: SparkSession, index_path: str | list[str], phrase: str,
         stems.update(_stem_rows(found))
     missing = [w for w in distinct if w not in stems]
     if missing:
-        stems.update(_stem_rows(stem_vocabulary(spark.createDataFrame([(w,) for w in missing], "word STRING"))))
+        local = spark.sql("SELECT explode(:ws) AS word", args={"ws": missing})
+        stems.update(_stem_rows(local.select("word", stem_word(F.col("word")).alias("stem"))))
     parsed = [
-        (r["query_id"], r["k"], r["word"], stems[r["word"]][0], r["word_len"], r["start_offset"], r["n_terms"],
-         stems[r["word"]][1])
-        for r in rows
+        (int(query_id), k, w, stems[w][0], int(arrays["n"][k]), int(arrays["o"][k]), len(words), stems[w][1])
+        for k, w in enumerate(words)
     ]
-    parsed_df = spark.createDataFrame(parsed, schema=PARSED_SCHEMA)
-    index = read_index(spark, index_path, buckets={p[7] for p in parsed}, terms={p[3] for p in parsed})
+    parsed_df = _literal_rows(spark, parsed)
+    index = read_index(spark, index_path, buckets={r[7] for r in parsed}, terms={r[3] for r in parsed})
     lookup = lookup_terms(index, parsed_df, broadcast_queries=True)
     return SearchResult(parsed_df, lookup, phrase_match(lookup), matching_docs(lookup), partial_phrase_matches(lookup))
 
 
-PARSED_SCHEMA = (
-    "query_id BIGINT, k INT, word STRING, term STRING, word_len INT, start_offset BIGINT, n_terms INT, bucket INT"
-)
+PARSED_FIELDS = [
+    ("query_id", "bigint"), ("k", "int"), ("word", "string"), ("term", "string"), ("word_len", "int"),
+    ("start_offset", "bigint"), ("n_terms", "int"), ("bucket", "int"),
+]
+
+
+def _literal_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """A small table as literals in the plan (no Python worker needed to read it)."""
+    structs = [
+        F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, PARSED_FIELDS)]) for row in rows
+    ]
+    return spark.sql("SELECT 1 AS one").select(F.inline(F.array(*structs)))
 
 
 def _stem_rows(vocab: DataFrame) -> dict[str, tuple[str, int]]:

@@ -94,3 +94,17 @@ def test_partial_indexes_searched_in_one_scan(spark):
     a = {(r.query_id, r.doc_id, r.n_matches) for r in search_batch(spark, full, phrases).docs.collect()}
     b = {(r.query_id, r.doc_id, r.n_matches) for r in search_batch(spark, parts, phrases).docs.collect()}
     assert a == b and a
+
+
+def test_single_phrase_with_word_missing_from_dictionary(spark):
+    from phrasedex.sources import parse_marked_documents
+    from tests.conftest import FIXTURE_DOC
+
+    docs = parse_marked_documents(spark.createDataFrame([(FIXTURE_DOC,)], "segment string"))
+    path = shared_dir(spark, "t-fixture-index")
+    build_index(spark, docs, path, num_files=2)
+    res = search_phrase(spark, path, "War Fights")  # 'fights' is not in the corpus
+    assert [(r.doc_id, r.start_pos) for r in res.matches.collect()] == [(12, 16)]
+    assert {(r.step, r.pos) for r in res.steps.collect()} == {(1, 16)}
+    assert search_phrase(spark, path, "  ,, ").docs.count() == 0
+    assert [(r.doc_id, r.n_matches) for r in search_phrase(spark, path, "civil").docs.collect()] == [(12, 2)]
