@@ -6,7 +6,6 @@ from phrasedex.operators.stemming import (
     apply_stems,
     frequent_vocabulary,
     frequent_words,
-    stem_in_place,
     stem_vocabulary,
 )
 from phrasedex.operators.postings import (
@@ -15,7 +14,7 @@ from phrasedex.operators.postings import (
     merge_postings,
     with_bucket,
 )
-from phrasedex.operators.queries import benchmark_phrases, parse_queries, query_buckets, query_words, with_terms
+from phrasedex.operators.queries import benchmark_phrases, parse_queries, query_buckets, query_words
 from phrasedex.operators.search import (
     candidate_docs,
     lookup_terms,
@@ -35,7 +34,6 @@ __all__ = [
     "apply_frequent_stems",
     "frequent_vocabulary",
     "frequent_words",
-    "stem_in_place",
     "build_postings",
     "build_inverted_index",
     "merge_postings",
@@ -44,7 +42,6 @@ __all__ = [
     "parse_queries",
     "query_buckets",
     "query_words",
-    "with_terms",
     "lookup_terms",
     "candidate_docs",
     "phrase_match",

@@ -51,14 +51,6 @@ def query_words(queries: DataFrame) -> DataFrame:
     )
 
 
-def with_terms(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Attach ``term`` (stem) and ``bucket`` to query words using a (word, stem) table."""
-    stemmed = words.join(vocab.select("word", F.col("stem").alias("term")), "word")
-    return stemmed.select(
-        "query_id", "k", "word", "term", "word_len", "start_offset", "n_terms", bucket_of(F.col("term")).alias("bucket")
-    )
-
-
 def parse_queries(queries: DataFrame) -> DataFrame:
     """(query_id, k, word, term, word_len, start_offset, n_terms, bucket).
 
@@ -76,4 +68,4 @@ def query_buckets(parsed: DataFrame) -> DataFrame:
     return parsed.select("query_id", "bucket").distinct()
 
 
-__all__ = ["CLAUSE", "CLAUSE_ID_SPAN", "benchmark_phrases", "query_words", "with_terms", "parse_queries", "query_buckets"]
+__all__ = ["CLAUSE", "CLAUSE_ID_SPAN", "benchmark_phrases", "query_words", "parse_queries", "query_buckets"]

@@ -68,8 +68,3 @@ def apply_frequent_stems(words: DataFrame, frequent: DataFrame) -> DataFrame:
     f = F.broadcast(frequent.select("word", F.col("stem").alias("_known")))
     joined = words.join(f, "word", "left")
     return joined.withColumn("term", F.coalesce(F.col("_known"), stem_word(F.col("word")))).drop("word", "_known")
-
-
-def stem_in_place(words: DataFrame) -> DataFrame:
-    """Attach ``term`` by stemming every row (for small inputs such as a phrase batch)."""
-    return words.withColumn("term", stem_word(F.col("word")))

@@ -87,7 +87,9 @@ def build_index(
     if input_partitions:
         docs = docs.repartition(input_partitions)
     words = with_words(docs, body, stopwords)
-    vocab = materialize(stem_vocabulary(words, with_counts=True), spark, "vocabulary")
+    vocab_path = shared_dir(spark, "vocabulary")
+    stem_vocabulary(words, with_counts=True).write.mode("overwrite").parquet(vocab_path)
+    vocab = spark.read.parquet(vocab_path)
     n_words = vocab.count()
     small = n_words <= max_broadcast_words
     if small:
@@ -98,9 +100,17 @@ def build_index(
     postings = build_postings(terms)
     write_index(postings, path, num_files=num_files)
     write_vocabulary(vocab.select("word", "stem"), path)
+    remove_path(spark, vocab_path)
     return {"vocabulary_words": n_words, "vocabulary_broadcast": small, "path": path}
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder of the shared checkpoint folder."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_vocabulary(vocab: DataFrame, index_path: str) -> None:
     """Keep the (word, stem) table next to the index as its term dictionary.
 
