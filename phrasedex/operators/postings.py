@@ -13,7 +13,11 @@ from phrasedex.functions.text import bucket_of
 
 
 def build_postings(terms: DataFrame) -> DataFrame:
-    """(term, doc_id, positions ARRAY<BIGINT>) from (doc_id, pos, term) rows.
+    """(term, doc_id, positions ARRAY<INT>) from (doc_id, pos, term) rows.
+
+    Offsets are stored as INT: a document is one Spark string (under 2 GB), so
+    its character offsets fit, and the index's dominant column and every
+    shuffle of positions take half the bytes of BIGINT.
 
     The aggregate is split into a map-side partial and a final step, so the
     shuffle carries per-task combined lists. A group is bounded by one
@@ -23,7 +27,7 @@ def build_postings(terms: DataFrame) -> DataFrame:
     # filter on term would be pushed below the vocabulary aggregate and
     # evaluate the stemmer per token).
     return terms.groupBy("term", "doc_id").agg(
-        F.sort_array(F.collect_list(F.col("pos").cast("bigint"))).alias("positions")
+        F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("positions")
     )
 
 

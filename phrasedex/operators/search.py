@@ -81,13 +81,13 @@ def _start_votes(rows: DataFrame) -> DataFrame:
     """(query_id, doc_id, k, n_terms, start, p): each distinct position p of word k votes for ``p - start_offset_k``."""
     return rows.select(
         "query_id", "doc_id", "k", "n_terms", "start_offset", F.explode(F.array_distinct("positions")).alias("p")
-    ).withColumn("start", F.col("p") - F.col("start_offset"))
+    ).withColumn("start", F.col("p").cast("bigint") - F.col("start_offset"))
 
 
 def _one_word_matches(lookup: DataFrame) -> DataFrame:
     return lookup.where(F.col("n_terms") == 1).select(
-        "query_id", "doc_id", F.explode(F.array_distinct("positions")).alias("start_pos")
-    )
+        "query_id", "doc_id", F.explode(F.array_distinct("positions")).alias("_p")
+    ).select("query_id", "doc_id", F.col("_p").cast("bigint").alias("start_pos"))
 
 
 def _multi_word_matches(lookup: DataFrame, candidates: DataFrame | None, broadcast_candidates: bool) -> DataFrame:
@@ -147,7 +147,7 @@ def partial_phrase_matches(
     prefix = F.filter(F.col("_chain"), lambda x, i: x["k"] == i)
     steps = let(prefix, lambda pre: F.slice(pre, 1, F.greatest(F.size(pre) - 1, F.lit(0))))
     return per_start.select("query_id", "doc_id", F.posexplode(steps).alias("_i", "_x")).select(
-        "query_id", "doc_id", (F.col("_i") + 1).cast("int").alias("step"), F.col("_x.p").alias("pos")
+        "query_id", "doc_id", (F.col("_i") + 1).cast("int").alias("step"), F.col("_x.p").cast("bigint").alias("pos")
     )
 
 

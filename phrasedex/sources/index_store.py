@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from phrasedex.operators.postings import with_bucket
 
-INDEX_SCHEMA = "term STRING, doc_id BIGINT, positions ARRAY<BIGINT>, bucket INT"
+INDEX_SCHEMA = "term STRING, doc_id BIGINT, positions ARRAY<INT>, bucket INT"
 
 
 def write_index(postings: DataFrame, path: str, num_files: int | None = None, mode: str = "overwrite") -> None:

@@ -49,5 +49,5 @@ def postings_from_text(lines: DataFrame, col: str = "line") -> DataFrame:
     return fields.select(
         "term",
         F.col("f")[0].try_cast("bigint").alias("doc_id"),
-        F.transform(F.slice("f", 2, F.size("f") - 1), lambda x: x.try_cast("bigint")).alias("positions"),
+        F.transform(F.slice("f", 2, F.size("f") - 1), lambda x: x.try_cast("int")).alias("positions"),
     ).where(F.col("doc_id").isNotNull() & F.forall("positions", lambda x: x.isNotNull()))
