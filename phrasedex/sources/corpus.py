@@ -119,8 +119,12 @@ def remove_stopwords(docs: DataFrame, stopwords: DataFrame | Iterable[str] | Non
 
 
 def write_clean_corpus(docs: DataFrame, path: str) -> None:
-    """Write the cleaned corpus as marked-up text, one record per document."""
-    seg = F.concat(F.lit('<doc id="'), F.col("doc_id").cast("string"), F.lit('">\n'), F.col("body"), F.lit(DOC_END))
+    """Write the cleaned corpus as marked-up text, one record per document.
+
+    The header is ``<doc id="N" >``: the id token must not itself end with
+    '>', or the reader would skip on to the next such token.
+    """
+    seg = F.concat(F.lit('<doc id="'), F.col("doc_id").cast("string"), F.lit('" >\n'), F.col("body"), F.lit(DOC_END))
     docs.select(seg.alias("value")).write.mode("overwrite").text(path)
 
 

@@ -102,3 +102,29 @@ def test_merge_partial_indexes(spark):
     merged = merge_postings(corpus_postings(d1), corpus_postings(d2), corpus_postings(d1))
     got = sorted((r.term, r.doc_id, list(r.positions)) for r in merged.collect())
     assert got == [("x", 1, [0, 0]), ("y", 1, [2, 2]), ("y", 2, [0])]
+
+
+def test_clean_corpus_write_read_roundtrip(spark):
+    from phrasedex.sources import remove_stopwords, write_clean_corpus
+
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", F.col("text").alias("body"))
+    cleaned = remove_stopwords(docs)
+    path = shared_dir(spark, "t-clean")
+    write_clean_corpus(cleaned, path)
+    back = {r.doc_id: r.body for r in parse_marked_documents(read_marked_corpus(spark, path)).collect()}
+    assert back == {r.doc_id: r.body for r in cleaned.collect()}
+
+
+def test_postings_text_files_roundtrip(spark):
+    from phrasedex.sources import write_postings_text
+
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", F.col("text").alias("body"))
+    post = corpus_postings(docs)
+    path = shared_dir(spark, "t-text-index")
+    write_postings_text(postings_to_text(post, "pipe"), path)
+    assert len([d for d in os.listdir(local_path(path)) if d.startswith("bucket=")]) >= 10
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    back = merge_postings(postings_from_text(lines))
+    a = back.select("term", "doc_id", F.array_join("positions", ":").alias("p"))
+    b = post.select("term", "doc_id", F.array_join("positions", ":").alias("p"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
