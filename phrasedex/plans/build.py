@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from phrasedex.operators.postings import build_postings
 from phrasedex.operators.stemming import (

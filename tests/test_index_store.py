@@ -108,3 +108,11 @@ def test_single_phrase_with_word_missing_from_dictionary(spark):
     assert {(r.step, r.pos) for r in res.steps.collect()} == {(1, 16)}
     assert search_phrase(spark, path, "  ,, ").docs.count() == 0
     assert [(r.doc_id, r.n_matches) for r in search_phrase(spark, path, "civil").docs.collect()] == [(12, 2)]
+
+
+def test_empty_and_blank_batches(spark):
+    path, _ = _build(spark)
+    for rows in ([], [(1, "   "), (2, "--")]):
+        q = spark.createDataFrame(rows, "query_id long, query string")
+        res = search_batch(spark, path, q)
+        assert res.docs.count() == 0 and res.matches.count() == 0 and res.steps.count() == 0
