@@ -217,3 +217,19 @@ def stem_word(word: Column) -> Column:
     return F.array_join(
         F.transform(letter_runs(word), lambda r: F.when(r.rlike("^[a-z]"), porter_stem(r)).otherwise(r)), ""
     )
+
+
+# Building the stemmer expression costs thousands of driver-to-JVM calls; the
+# expression for the column named "word" is built once per Spark context.
+_WORD_STEM: dict[int, Column] = {}
+
+
+def stem_of_word() -> Column:
+    """``stem_word(col("word"))``, built once per Spark context."""
+    from pyspark import SparkContext
+
+    key = id(SparkContext._active_spark_context)
+    if key not in _WORD_STEM:
+        _WORD_STEM.clear()
+        _WORD_STEM[key] = stem_word(F.col("word"))
+    return _WORD_STEM[key]

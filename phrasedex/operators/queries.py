@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasedex.functions.text import bucket_of, sub_words, token_starts
-from phrasedex.functions.porter import stem_word
+from phrasedex.functions.porter import stem_of_word
 
 # A phrase can only match where its inner words carry no punctuation: offsets
 # count raw characters, word lengths are taken after normalisation. A text is
@@ -57,7 +57,7 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     Query words are stemmed in place: a phrase batch is small, and this keeps
     parsing free of shuffles.
     """
-    words = query_words(queries).withColumn("term", stem_word(F.col("word")))
+    words = query_words(queries).withColumn("term", stem_of_word())
     return words.select(
         "query_id", "k", "word", "term", "word_len", "start_offset", "n_terms", bucket_of(F.col("term")).alias("bucket")
     )

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasedex.functions.porter import stem_word
+from phrasedex.functions.porter import stem_of_word
 
 
 def stem_vocabulary(words: DataFrame, col: str = "word", with_counts: bool = False) -> DataFrame:
@@ -27,7 +27,7 @@ def stem_vocabulary(words: DataFrame, col: str = "word", with_counts: bool = Fal
     """
     w = words.select(F.col(col).alias("word")).where(F.col("word") != "")
     vocab = w.groupBy("word").agg(F.count(F.lit(1)).alias("n")) if with_counts else w.distinct()
-    return vocab.withColumn("stem", stem_word(F.col("word")))
+    return vocab.withColumn("stem", stem_of_word())
 
 
 def frequent_words(vocab: DataFrame, limit: int) -> DataFrame:
@@ -67,4 +67,4 @@ def apply_frequent_stems(words: DataFrame, frequent: DataFrame) -> DataFrame:
     """
     f = F.broadcast(frequent.select("word", F.col("stem").alias("_known")))
     joined = words.join(f, "word", "left")
-    return joined.withColumn("term", F.coalesce(F.col("_known"), stem_word(F.col("word")))).drop("word", "_known")
+    return joined.withColumn("term", F.coalesce(F.col("_known"), stem_of_word())).drop("word", "_known")

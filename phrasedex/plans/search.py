@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasedex.functions.porter import stem_word
+from phrasedex.functions.porter import stem_of_word
 from phrasedex.functions.text import bucket_of, sub_words, token_starts
 from phrasedex.operators.queries import parse_queries
 from phrasedex.plans.build import vocabulary_path
@@ -116,8 +116,10 @@ def search_phrase(spark: SparkSession, index_path: str | list[str], phrase: str,
         stems.update(_stem_rows(found))
     missing = [w for w in distinct if w not in stems]
     if missing:
-        local = spark.sql("SELECT explode(:ws) AS word", args={"ws": missing})
-        stems.update(_stem_rows(local.select("word", stem_word(F.col("word")).alias("stem"))))
+        # Words come out of a generator, so the (large) stem expression runs as
+        # a small JVM job instead of being constant-folded by the optimizer.
+        local = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in missing])).alias("word"))
+        stems.update(_stem_rows(local.select("word", stem_of_word().alias("stem"))))
     parsed = [
         (int(query_id), k, w, stems[w][0], int(arrays["n"][k]), int(arrays["o"][k]), len(words), stems[w][1])
         for k, w in enumerate(words)
@@ -135,11 +137,18 @@ PARSED_FIELDS = [
 
 
 def _literal_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """A small table as literals in the plan (no Python worker needed to read it)."""
-    structs = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, PARSED_FIELDS)]) for row in rows
-    ]
-    return spark.sql("SELECT 1 AS one").select(F.inline(F.array(*structs)))
+    """A small table as literals in the plan (no Python worker needed to read it).
+
+    One SQL statement with bound parameters, so building it is one call.
+    """
+    width = len(PARSED_FIELDS)
+    values = ", ".join(
+        "(" + ", ".join(f"CAST(:p{i * width + j} AS {t.upper()})" for j, (_, t) in enumerate(PARSED_FIELDS)) + ")"
+        for i in range(len(rows))
+    )
+    cols = ", ".join(n for n, _ in PARSED_FIELDS)
+    args = {f"p{i * width + j}": v for i, row in enumerate(rows) for j, v in enumerate(row)}
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({cols})", args=args)
 
 
 def _stem_rows(vocab: DataFrame) -> dict[str, tuple[str, int]]:
