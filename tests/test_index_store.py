@@ -116,3 +116,23 @@ def test_empty_and_blank_batches(spark):
         q = spark.createDataFrame(rows, "query_id long, query string")
         res = search_batch(spark, path, q)
         assert res.docs.count() == 0 and res.matches.count() == 0 and res.steps.count() == 0
+
+
+def test_query_file_end_to_end(spark):
+    import os
+
+    from phrasedex.sources import parse_marked_documents, read_queries
+    from tests.conftest import FIXTURE_DOC
+
+    docs = parse_marked_documents(spark.createDataFrame([(FIXTURE_DOC,)], "segment string"))
+    path = shared_dir(spark, "t-e2e-index")
+    build_index(spark, docs, path, num_files=2)
+    qdir = local_path(shared_dir(spark, "t-e2e-queries"))
+    os.makedirs(qdir)
+    with open(f"{qdir}/query", "w") as f:
+        f.write("Civil War\nCivil War Fighting\n\nWar Fights\nWars Fighting\nFighting Foo\nfoo bar\nwar\n\n\n")
+    res = search_batch(spark, path, read_queries(spark, qdir))
+    got = {(r.query_id, r.doc_id, r.start_pos) for r in res.matches.collect()}
+    assert got == {(1, 12, 0), (1, 12, 10), (2, 12, 10), (3, 12, 16), (7, 12, 6), (7, 12, 16)}
+    steps = {(r.query_id, r.step, r.pos) for r in res.steps.collect()}
+    assert steps == {(1, 1, 0), (1, 1, 10), (2, 1, 0), (2, 1, 10), (2, 2, 16), (3, 1, 16)}
