@@ -1,8 +1,9 @@
 """Phrase search jobs over a stored index.
 
 Batch: the parsed batch is checkpointed (small, lineage cut), its size checked
-before it is broadcast, and its bucket set (at most 26 values) turned into
-literal partition filters. Documents holding every word of a phrase are found
+before it is broadcast, its bucket set (at most 26 values) turned into literal
+partition filters and its distinct terms (when at most MAX_LITERAL_TERMS) into
+a pushed-down IN filter that skips row groups. Documents holding every word of a phrase are found
 first from (term, doc_id) alone; their count is checked before they are
 broadcast, so positions of frequent words are only shuffled for documents
 that can match.
@@ -36,6 +37,8 @@ from phrasedex.sources.index_store import read_index
 
 MAX_BROADCAST_QUERY_WORDS = 5_000_000
 # (query_id, doc_id) pairs: 16 bytes each, about 100 MB as a broadcast hash table.
+# Distinct terms of a batch sent to the Parquet reader as a literal IN list.
+MAX_LITERAL_TERMS = 50_000
 MAX_BROADCAST_CANDIDATES = 4_000_000
 BUCKETS = 26
 
@@ -64,6 +67,18 @@ def prepare_batch(spark: SparkSession, queries: DataFrame) -> tuple[DataFrame, i
     return parsed, n, buckets
 
 
+def batch_terms(parsed: DataFrame, limit: int = MAX_LITERAL_TERMS) -> list[str] | None:
+    """The batch's distinct terms as a literal list, or None when there are more than ``limit``.
+
+    Pushed to Parquet as an IN predicate, they let each task skip every row
+    group (the index is sorted by term) whose term range holds none of them.
+    """
+    distinct = parsed.select("term").distinct()
+    if distinct.count() > limit:
+        return None
+    return sorted(r[0] for r in distinct.collect())
+
+
 def search_batch(
     spark: SparkSession,
     index_path: str | list[str],
@@ -73,7 +88,7 @@ def search_batch(
 ) -> SearchResult:
     """Answer a (query_id, query) batch against the index at ``index_path``."""
     parsed, n, buckets = prepare_batch(spark, queries)
-    index = read_index(spark, index_path, buckets=buckets)
+    index = read_index(spark, index_path, buckets=buckets, terms=batch_terms(parsed))
     lookup = lookup_terms(index, parsed, broadcast_queries=n <= max_broadcast_words)
     # AND over light rows, written out (lineage cut) and counted before its
     # pairs are broadcast to filter the position-carrying rows map-side.

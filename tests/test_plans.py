@@ -37,3 +37,4 @@ def test_batch_answer_uses_one_exchange(spark):
         assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert len(re.findall(r"Exchange hashpartitioning\(query_id#\d+, doc_id#\d+", plan)) <= 1
         assert re.search(r"PartitionFilters: \[bucket#\d+ (IN|INSET)", plan)
+        assert re.search(r"PushedFilters: \[[^\]]*In\(term, \[", plan)
