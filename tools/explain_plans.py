@@ -33,7 +33,7 @@ def summary(df) -> str:
     scans = []
     for block in details.split("\n\n"):
         if "Scan parquet" in block.splitlines()[0] if block.strip() else False:
-            keep = [ln for ln in block.splitlines() if re.match(r"^(\(\d+\) Scan|PartitionFilters|PushedFilters|ReadSchema|Location)", ln)]
+            keep = [ln if len(ln) <= 300 else ln[:300] + " ...]" for ln in block.splitlines() if re.match(r"^(\(\d+\) Scan|PartitionFilters|PushedFilters|ReadSchema|Location)", ln)]
             scans.append("\n".join(keep))
     return tree.strip() + ("\n\n" + "\n\n".join(scans) if scans else "")
 
