@@ -28,10 +28,11 @@ STOP_WORDS = (
     "were what when which who will with would www x y you z"
 ).split()
 
+# The document markup. A record ends at DOC_END; its id is the
+# first id="N"; the header runs up to the token holding id="N", then up to the
+# first later token that ends with '>', plus the one whitespace character after it.
 DOC_END = "</doc>"
 ID_PATTERN = 'id="([0-9]+)"'
-# Everything up to the token holding id="N", then up to the first later token
-# that ends with '>', plus the one whitespace character after it.
 HEADER_PATTERN = '(?s)^.*?id="[0-9]+"[^ \\t\\n\\x0B\\f\\r]*[ \\t\\n\\x0B\\f\\r].*?>([ \\t\\n\\x0B\\f\\r]|\\z)'
 
 # Cap on a stop-word table read from a file; the list is turned into literals.

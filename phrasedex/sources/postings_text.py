@@ -18,12 +18,16 @@ from phrasedex.functions.text import bucket_of
 
 DOCS_PER_LINE = 1024
 
+# The two line formats, as (separator after the doc id,
+# separator after the term). Documents are joined by ',' and positions by ':'.
+STYLES = {"tab": (":", " \t"), "pipe": ("|", " ")}
+
 
 def postings_to_text(postings: DataFrame, style: str = "pipe", docs_per_line: int = DOCS_PER_LINE) -> DataFrame:
     """(bucket, term, block, line) from (term, doc_id, positions)."""
-    if style not in ("tab", "pipe"):
+    if style not in STYLES:
         raise ValueError("style must be 'tab' or 'pipe'")
-    id_sep, head_sep = (":", " \t") if style == "tab" else ("|", " ")
+    id_sep, head_sep = STYLES[style]
     entry = F.concat(F.col("doc_id").cast("string"), F.lit(id_sep), F.array_join(F.col("positions"), ":"))
     grouped = postings.groupBy(
         "term", F.floor(F.col("doc_id") / docs_per_line).cast("bigint").alias("block")
