@@ -25,6 +25,7 @@ from phrasedex.functions.text import bucket_of, sub_words, token_starts
 from phrasedex.operators.queries import parse_queries
 from phrasedex.plans.build import vocabulary_path
 from phrasedex.operators.search import (
+    LOOKUP_COLUMNS,
     candidate_docs,
     lookup_terms,
     matching_docs,
@@ -39,6 +40,8 @@ MAX_BROADCAST_QUERY_WORDS = 5_000_000
 # (query_id, doc_id) pairs: 16 bytes each, about 100 MB as a broadcast hash table.
 # Distinct terms of a batch sent to the Parquet reader as a literal IN list.
 MAX_LITERAL_TERMS = 50_000
+# (query, word, doc) keys fetched by the anchored lookup, broadcast when at most this many.
+MAX_BROADCAST_NEEDED = 4_000_000
 MAX_BROADCAST_CANDIDATES = 4_000_000
 BUCKETS = 26
 
@@ -79,17 +82,60 @@ def batch_terms(parsed: DataFrame, limit: int = MAX_LITERAL_TERMS) -> list[str]
     return sorted(r[0] for r in distinct.collect())
 
 
+def anchored_lookup(spark: SparkSession, index: DataFrame, parsed: DataFrame, max_needed: int) -> DataFrame | None:
+    """Lookup rows restricted, per phrase, to documents holding its rarest word.
+
+    1. document frequency of each batch term (a count over the term column);
+    2. per phrase, its anchor: the word of least document frequency;
+    3. (phrase, doc) pairs from the anchor's postings only;
+    4. the needed (bucket, term, doc_id) keys: those pairs times the phrase's
+       words, checkpointed and counted before they are broadcast;
+    5. postings (with positions) fetched by an equi-join on those keys.
+    A document without the anchor cannot hold the phrase, so results are
+    unchanged, while a frequent word is never expanded over all its documents
+    for every phrase that contains it. Returns None when step 4 is too large to
+    broadcast; the caller then uses the plain lookup.
+    """
+    keys = parsed.select("bucket", "term").distinct()
+    df = (
+        index.select("bucket", "term")
+        .join(F.broadcast(keys), ["bucket", "term"], "left_semi")
+        .groupBy("bucket", "term")
+        .agg(F.count(F.lit(1)).alias("df"))
+    )
+    words = parsed.join(F.broadcast(keys.join(df, ["bucket", "term"], "left")), ["bucket", "term"])
+    anchors = (
+        words.withColumn("df", F.coalesce(F.col("df"), F.lit(0)))
+        .groupBy("query_id")
+        .agg(F.min_by(F.struct("bucket", "term"), F.struct("df", "k")).alias("a"))
+        .select("query_id", F.col("a.bucket").alias("bucket"), F.col("a.term").alias("term"))
+        .checkpoint(eager=True)
+    )
+    pairs = index.select("bucket", "term", "doc_id").join(F.broadcast(anchors), ["bucket", "term"])
+    needed = (
+        pairs.select("query_id", "doc_id")
+        .join(F.broadcast(parsed.select("query_id", "k", "bucket", "term", "start_offset", "n_terms")), "query_id")
+        .checkpoint(eager=True)
+    )
+    if needed.count() > max_needed:
+        return None
+    return index.join(F.broadcast(needed), ["bucket", "term", "doc_id"]).select(*LOOKUP_COLUMNS)
+
+
 def search_batch(
     spark: SparkSession,
     index_path: str | list[str],
     queries: DataFrame,
     max_broadcast_words: int = MAX_BROADCAST_QUERY_WORDS,
     max_broadcast_candidates: int = MAX_BROADCAST_CANDIDATES,
+    max_needed: int = MAX_BROADCAST_NEEDED,
 ) -> SearchResult:
     """Answer a (query_id, query) batch against the index at ``index_path``."""
     parsed, n, buckets = prepare_batch(spark, queries)
     index = read_index(spark, index_path, buckets=buckets, terms=batch_terms(parsed))
-    lookup = lookup_terms(index, parsed, broadcast_queries=n <= max_broadcast_words)
+    lookup = anchored_lookup(spark, index, parsed, max_needed) if n <= max_broadcast_words else None
+    if lookup is None:
+        lookup = lookup_terms(index, parsed, broadcast_queries=n <= max_broadcast_words)
     # AND over light rows, written out (lineage cut) and counted before its
     # pairs are broadcast to filter the position-carrying rows map-side.
     cands = candidate_docs(lookup.where(F.col("n_terms") > 1)).checkpoint(eager=True)

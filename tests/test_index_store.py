@@ -136,3 +136,13 @@ def test_query_file_end_to_end(spark):
     assert got == {(1, 12, 0), (1, 12, 10), (2, 12, 10), (3, 12, 16), (7, 12, 6), (7, 12, 16)}
     steps = {(r.query_id, r.step, r.pos) for r in res.steps.collect()}
     assert steps == {(1, 1, 0), (1, 1, 10), (2, 1, 0), (2, 1, 10), (2, 2, 16), (3, 1, 16)}
+
+
+def test_anchored_lookup_equals_plain_lookup(spark):
+    path, _ = _build(spark)
+    phrases = benchmark_phrases(spark.read.parquet(f"{SF0001}/benchmark.parquet"))
+    anchored = search_batch(spark, path, phrases)
+    plain = search_batch(spark, path, phrases, max_needed=0)  # too large: plain lookup
+    for a, b in ((anchored.matches, plain.matches), (anchored.steps, plain.steps), (anchored.docs, plain.docs)):
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert anchored.lookup.count() < plain.lookup.count()
