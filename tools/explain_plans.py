@@ -70,7 +70,7 @@ def main() -> None:
     res = search_batch(spark, index, phrases)
     section(
         "Phrase batch: matching documents",
-        "Index scan with literal bucket PartitionFilters; the parsed batch (checkpointed, counted) is broadcast; "
+        "Index scan with literal bucket PartitionFilters and term PushedFilters; postings fetched by a broadcast of the counted (bucket, term, doc_id) keys of the anchored lookup; "
         "one-word phrases need no exchange; longer ones are semi-joined map-side with the broadcast (counted) "
         "candidate documents, then one exchange on (query_id, doc_id) for the start votes.",
         res.docs,
