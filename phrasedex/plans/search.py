@@ -42,6 +42,8 @@ MAX_BROADCAST_QUERY_WORDS = 5_000_000
 MAX_LITERAL_TERMS = 50_000
 # (query, word, doc) keys fetched by the anchored lookup, broadcast when at most this many.
 MAX_BROADCAST_NEEDED = 4_000_000
+# A phrase whose rarest word is in more documents than this takes the plain lookup.
+MAX_ANCHOR_DOCS = 1_000_000
 MAX_BROADCAST_CANDIDATES = 4_000_000
 BUCKETS = 26
 
@@ -82,7 +84,13 @@ def batch_terms(parsed: DataFrame, limit: int = MAX_LITERAL_TERMS) -> list[str]
     return sorted(r[0] for r in distinct.collect())
 
 
-def anchored_lookup(spark: SparkSession, index: DataFrame, parsed: DataFrame, max_needed: int) -> DataFrame | None:
+def anchored_lookup(
+    spark: SparkSession,
+    index: DataFrame,
+    parsed: DataFrame,
+    max_needed: int,
+    max_anchor_docs: int | None = None,
+) -> DataFrame | None:
     """Lookup rows restricted, per phrase, to documents holding its rarest word.
 
     1. document frequency of each batch term (a count over the term column);
@@ -93,8 +101,9 @@ def anchored_lookup(spark: SparkSession, index: DataFrame, parsed: DataFrame, ma
     5. postings (with positions) fetched by an equi-join on those keys.
     A document without the anchor cannot hold the phrase, so results are
     unchanged, while a frequent word is never expanded over all its documents
-    for every phrase that contains it. Returns None when step 4 is too large to
-    broadcast; the caller then uses the plain lookup.
+    for every phrase that contains it. Phrases whose anchor is in more than
+    ``max_anchor_docs`` documents take the plain lookup; the two are unioned.
+    Returns None when step 4 is too large to broadcast.
     """
     keys = parsed.select("bucket", "term").distinct()
     df = (
@@ -107,11 +116,12 @@ def anchored_lookup(spark: SparkSession, index: DataFrame, parsed: DataFrame, ma
     anchors = (
         words.withColumn("df", F.coalesce(F.col("df"), F.lit(0)))
         .groupBy("query_id")
-        .agg(F.min_by(F.struct("bucket", "term"), F.struct("df", "k")).alias("a"))
-        .select("query_id", F.col("a.bucket").alias("bucket"), F.col("a.term").alias("term"))
+        .agg(F.min_by(F.struct("bucket", "term", "df"), F.struct("df", "k")).alias("a"))
+        .select("query_id", F.col("a.bucket").alias("bucket"), F.col("a.term").alias("term"), F.col("a.df").alias("df"))
         .checkpoint(eager=True)
     )
-    pairs = index.select("bucket", "term", "doc_id").join(F.broadcast(anchors), ["bucket", "term"])
+    routed = anchors if max_anchor_docs is None else anchors.where(F.col("df") <= max_anchor_docs)
+    pairs = index.select("bucket", "term", "doc_id").join(F.broadcast(routed.drop("df")), ["bucket", "term"])
     needed = (
         pairs.select("query_id", "doc_id")
         .join(F.broadcast(parsed.select("query_id", "k", "bucket", "term", "start_offset", "n_terms")), "query_id")
@@ -119,7 +129,14 @@ def anchored_lookup(spark: SparkSession, index: DataFrame, parsed: DataFrame, ma
     )
     if needed.count() > max_needed:
         return None
-    return index.join(F.broadcast(needed), ["bucket", "term", "doc_id"]).select(*LOOKUP_COLUMNS)
+    lookup = index.join(F.broadcast(needed), ["bucket", "term", "doc_id"]).select(*LOOKUP_COLUMNS)
+    if max_anchor_docs is None:
+        return lookup
+    others = anchors.where(F.col("df") > max_anchor_docs).select("query_id")
+    if others.isEmpty():
+        return lookup
+    rest = parsed.join(F.broadcast(others), "query_id", "left_semi")
+    return lookup.unionByName(lookup_terms(index, rest, broadcast_queries=True))
 
 
 def search_batch(
@@ -129,11 +146,12 @@ def search_batch(
     max_broadcast_words: int = MAX_BROADCAST_QUERY_WORDS,
     max_broadcast_candidates: int = MAX_BROADCAST_CANDIDATES,
     max_needed: int = MAX_BROADCAST_NEEDED,
+    max_anchor_docs: int | None = MAX_ANCHOR_DOCS,
 ) -> SearchResult:
     """Answer a (query_id, query) batch against the index at ``index_path``."""
     parsed, n, buckets = prepare_batch(spark, queries)
     index = read_index(spark, index_path, buckets=buckets, terms=batch_terms(parsed))
-    lookup = anchored_lookup(spark, index, parsed, max_needed) if n <= max_broadcast_words else None
+    lookup = anchored_lookup(spark, index, parsed, max_needed, max_anchor_docs) if n <= max_broadcast_words else None
     if lookup is None:
         lookup = lookup_terms(index, parsed, broadcast_queries=n <= max_broadcast_words)
     # AND over light rows, written out (lineage cut) and counted before its

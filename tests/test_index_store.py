@@ -142,7 +142,9 @@ def test_anchored_lookup_equals_plain_lookup(spark):
     path, _ = _build(spark)
     phrases = benchmark_phrases(spark.read.parquet(f"{SF0001}/benchmark.parquet"))
     anchored = search_batch(spark, path, phrases)
+    mixed = search_batch(spark, path, phrases, max_anchor_docs=20)  # frequent anchors: plain route
     plain = search_batch(spark, path, phrases, max_needed=0)  # too large: plain lookup
-    for a, b in ((anchored.matches, plain.matches), (anchored.steps, plain.steps), (anchored.docs, plain.docs)):
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    assert anchored.lookup.count() < plain.lookup.count()
+    for res in (anchored, mixed):
+        for a, b in ((res.matches, plain.matches), (res.steps, plain.steps), (res.docs, plain.docs)):
+            assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert anchored.lookup.count() < mixed.lookup.count() < plain.lookup.count()
