@@ -261,14 +261,29 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+# The training-data subpackage may be absent; its queries are added only when it imports.
+try:
+    from corpus_pipeline import ORACLE_SQL as _PIPELINE_SQL
+    from corpus_pipeline import run as _pipeline
+    from phrasedex.llm.queries import ORACLE_SQL as _LLM_SQL
+    from phrasedex.llm.queries import QUERIES as _LLM_QUERIES
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "phrasedex.llm"):
+        raise
+    _LLM_QUERIES, _LLM_SQL = {}, {}
+else:
+    _LLM_QUERIES = {**_LLM_QUERIES, "pipeline": _pipeline}
+    _LLM_SQL = {**_LLM_SQL, **({"pipeline": _PIPELINE_SQL} if _PIPELINE_SQL else {})}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: documents containing each benchmark phrase, on sf0.001."""
     return q_phrase_docs(spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLE_SQL.items() if k in _QUERIES}
+    return {**{k: v for k, v in ORACLE_SQL.items() if k in _QUERIES}, **_LLM_SQL}
