@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,8 +20,12 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size of ``df`` in bytes, from file sizes; used for sizing only, never for results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Catalyst's size of ``df`` in bytes, from file sizes; used for sizing only, never for results.
+
+    Where Catalyst has no size (rows that come from Python), 4 KB a row are assumed.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 57 else 4096 * df.count()
 
 
 def parts_for(n_bytes: int, per_part: int, least: int = 1) -> int:
@@ -45,3 +52,20 @@ def id_bounds(docs: DataFrame, id_col: str, n_blocks: int) -> np.ndarray:
 def int_hash(*cols: str) -> Column:
     """Nonnegative 64-bit hash of the columns."""
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark) -> None:
+    """Send this package to the Python workers of the session, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from .common import ship_package
 from .mixing import OP10_SQL, op10_mix_sources
+from .token_counts import op2_token_counts
+from .token_files import op3_token_files
+
+
+
+def _query(f):
+    @wraps(f)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return f(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
-    "op10_mix_sources": op10_mix_sources,
+    "op2_token_counts": _query(op2_token_counts),
+    "op3_token_files": _query(op3_token_files),
+    "op10_mix_sources": _query(op10_mix_sources),
 }
 
 ORACLE_SQL = {
