@@ -9,6 +9,7 @@ from .language_id import op5_language_id
 from .mixing import OP10_SQL, op10_mix_sources
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
+from .vector_search import op9_vector_search
 
 
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op2_token_counts": _query(op2_token_counts),
     "op3_token_files": _query(op3_token_files),
     "op5_language_id": _query(op5_language_id),
+    "op9_vector_search": _query(op9_vector_search),
     "op10_mix_sources": _query(op10_mix_sources),
 }
 
