@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from .common import ship_package
+from .decontamination import op6_decontamination
 from .language_id import op5_language_id
 from .mixing import OP10_SQL, op10_mix_sources
 from .token_counts import op2_token_counts
@@ -26,6 +27,7 @@ QUERIES = {
     "op2_token_counts": _query(op2_token_counts),
     "op3_token_files": _query(op3_token_files),
     "op5_language_id": _query(op5_language_id),
+    "op6_decontamination": _query(op6_decontamination),
     "op9_vector_search": _query(op9_vector_search),
     "op10_mix_sources": _query(op10_mix_sources),
 }
