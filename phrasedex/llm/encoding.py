@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 
 import numpy as np
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 #: White space for str.split, but not for the tokenizer.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _TAIL = ".,!?;:"
@@ -38,11 +39,8 @@ class Encoder:
             spec = json.load(f)
         steps = [s["type"] for s in ((spec.get("normalizer") or {}).get("normalizers") or [])]
         self.by_word = spec["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"]
-        vocab = self.tok.get_vocab()
-        self.vocab_size = max(vocab.values()) + 1
-        self.ends = np.zeros(self.vocab_size, bool)
-        for piece, i in vocab.items():
-            self.ends[i] = piece.endswith("</w>")
+        self.vocab_size = max(self.tok.get_vocab().values()) + 1
+        self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.bases: dict[str, bytes] = {}
 
@@ -81,22 +79,27 @@ class Encoder:
                 parts.append((w, low, w[len(base) :]))
             else:
                 single.append(w)
-        self._learn_bases(plain.union(p[2] for p in parts if p[2]))
+        self._learn_bases(plain)
+        tails = {p[2] for p in parts if p[2]}
+        ends = dict(zip(tails, self._whole(list(tails))))
         for w, low, tail in parts:
-            self.words[w] = self.bases[low] + (self.bases[tail] if tail else b"")
+            self.words[w] = self.bases[low] + ends.get(tail, b"")
         self.words.update(zip(single, self._whole(single)))
 
     def _learn_bases(self, pieces: set[str]) -> None:
-        """Pieces that the split keeps whole, many to a call; a word-end id closes each."""
-        new = [p for p in pieces if p not in self.bases]
-        for k in range(0, len(new), 500):
-            part = new[k : k + 500]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                raw, at = ids.tobytes(), 0
-                for p, c in zip(part, (cuts * 4).tolist()):
-                    self.bases[p] = raw[at:c]
-                    at = c
-            else:
-                self.bases.update(zip(part, self._whole(part)))
+        """Lower-case pieces that the split keeps whole go to the tokenizer's merges directly."""
+        merges = self.tok.model.tokenize
+        for p in pieces.difference(self.bases):
+            ids = [t.id for t in merges(p if p.isascii() else p.translate(self.letters))]
+            self.bases[p] = struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _byte_letters() -> dict[int, str]:
+    """Characters U+0080 to U+024F as the byte-level alphabet writes their UTF-8 bytes.
+
+    Fixed rule: printable Latin-1 bytes stand for themselves, the others for U+0100 onwards in order.
+    """
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
