@@ -10,6 +10,7 @@ from .language_id import op5_language_id
 from .mixing import OP10_SQL, op10_mix_sources
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
+from .toxicity import op7_toxicity
 from .vector_search import op9_vector_search
 
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op3_token_files": _query(op3_token_files),
     "op5_language_id": _query(op5_language_id),
     "op6_decontamination": _query(op6_decontamination),
+    "op7_toxicity": _query(op7_toxicity),
     "op9_vector_search": _query(op9_vector_search),
     "op10_mix_sources": _query(op10_mix_sources),
 }
