@@ -19,6 +19,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phrasedex.session import shared_dir
+
 from .common import table
 from .encoding import encoder
 
@@ -111,4 +113,7 @@ def quantile_lengths(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(token_lengths(table(spark, sf_dir, "documents"))))
+    # The histogram is used at both levels of the sums; it is stored so that texts are encoded once.
+    path = shared_dir(spark, "length-histogram")
+    length_histogram(token_lengths(table(spark, sf_dir, "documents"))).write.parquet(path)
+    return suffix_sums(spark.read.parquet(path))
