@@ -8,6 +8,7 @@ from .common import ship_package
 from .decontamination import op6_decontamination
 from .language_id import op5_language_id
 from .mixing import OP10_SQL, op10_mix_sources
+from .near_duplicates import op8_near_duplicates
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
 from .toxicity import op7_toxicity
@@ -30,6 +31,7 @@ QUERIES = {
     "op5_language_id": _query(op5_language_id),
     "op6_decontamination": _query(op6_decontamination),
     "op7_toxicity": _query(op7_toxicity),
+    "op8_near_duplicates": _query(op8_near_duplicates),
     "op9_vector_search": _query(op9_vector_search),
     "op10_mix_sources": _query(op10_mix_sources),
 }
