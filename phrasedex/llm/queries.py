@@ -9,6 +9,7 @@ from .decontamination import op6_decontamination
 from .language_id import op5_language_id
 from .mixing import OP10_SQL, op10_mix_sources
 from .near_duplicates import op8_near_duplicates
+from .repeated_windows import op4_repeated_windows
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
 from .toxicity import op7_toxicity
@@ -28,6 +29,7 @@ def _query(f):
 QUERIES = {
     "op2_token_counts": _query(op2_token_counts),
     "op3_token_files": _query(op3_token_files),
+    "op4_repeated_windows": _query(op4_repeated_windows),
     "op5_language_id": _query(op5_language_id),
     "op6_decontamination": _query(op6_decontamination),
     "op7_toxicity": _query(op7_toxicity),
