@@ -52,7 +52,7 @@ class Layout:
         cuts = np.searchsorted(self.bucket_of(keys), np.arange(self.buckets + 1))
         out = np.zeros(len(keys), bool)
         own = answers[answers["step"] == step] if len(answers) else answers
-        for bucket, bits in zip(own["bucket"], own["bits"]) if len(own) else ():
+        for bucket, bits in zip(own["bucket"].astype(int), own["bits"]) if len(own) else ():
             a, b = cuts[bucket], cuts[bucket + 1]
             out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
         return out

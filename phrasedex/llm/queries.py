@@ -10,6 +10,7 @@ from .language_id import op5_language_id
 from .mixing import OP10_SQL, op10_mix_sources
 from .near_duplicates import op8_near_duplicates
 from .repeated_windows import op4_repeated_windows
+from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
 from .toxicity import op7_toxicity
@@ -27,6 +28,7 @@ def _query(f):
 
 
 QUERIES = {
+    "op1_suffix_dedup": _query(op1_suffix_dedup),
     "op2_token_counts": _query(op2_token_counts),
     "op3_token_files": _query(op3_token_files),
     "op4_repeated_windows": _query(op4_repeated_windows),
