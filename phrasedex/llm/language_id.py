@@ -182,8 +182,15 @@ def build_model(counts: dict[str, bytes]) -> PpmModel:
     langs = sorted(counts)
     data = {lang: np.load(io.BytesIO(counts[lang])) for lang in langs}
     tables, costs, leaves, known = [], [], [], []
+    # Every gram's context and its shorter form are rows too; those of START occur only as such.
+    rows = [np.arange(256, dtype=np.uint64)] * (MAX_ORDER + 2)
+    rows[MAX_ORDER + 1] = np.empty(0, np.uint64)
+    for k in range(MAX_ORDER, 0, -1):
+        longer = rows[k + 1]
+        shorter = longer & np.uint64((1 << (8 * (k + 1))) - 1)
+        rows[k] = np.unique(np.concatenate([*(data[x][f"codes{k}"] for x in langs), longer >> np.uint64(8), shorter]))
     for k in range(MAX_ORDER + 1):
-        codes = np.arange(256, dtype=np.uint64) if k == 0 else np.unique(np.concatenate([data[x][f"codes{k}"] for x in langs]))
+        codes = rows[k]
         cost = np.zeros((len(codes), len(langs)), np.float32)
         if k:
             contexts = np.searchsorted(known[-1], codes >> np.uint64(8))
