@@ -22,6 +22,7 @@ from phrasedex.operators import (  # noqa: E402
     apply_frequent_stems,
     benchmark_phrases,
     build_inverted_index,
+    build_postings,
     candidate_docs,
     frequent_vocabulary,
     lookup_terms,
@@ -37,18 +38,21 @@ from phrasedex.operators import (  # noqa: E402
     with_bucket,
     with_words,
 )
-from phrasedex.plans.build import MAX_BROADCAST_WORDS, corpus_postings  # noqa: E402
-from phrasedex.plans.search import MAX_BROADCAST_QUERY_WORDS  # noqa: E402
+from phrasedex.operators.queries import CLAUSE_ID_SPAN  # noqa: E402
+from phrasedex.plans.build import MAX_BROADCAST_WORDS, build_index, corpus_postings  # noqa: E402
+from phrasedex.plans.search import MAX_BROADCAST_QUERY_WORDS, search_batch, search_phrase  # noqa: E402
 from phrasedex.session import shared_dir  # noqa: E402
 from phrasedex.sources import (  # noqa: E402
-    TURN_SPAN,
     conversation_documents,
     parse_marked_documents,
     postings_from_text,
     postings_to_text,
     read_index,
     read_marked_corpus,
+    read_queries,
+    read_stopwords,
     remove_stopwords,
+    write_clean_corpus,
     write_index,
     write_marked_corpus,
 )
@@ -220,17 +224,93 @@ def q_partial_phrase_matches(spark, sf_dir):
 
 
 def q_conversation_phrase_docs(spark, sf_dir):
-    # Second corpus: every conversation turn is a document keyed (conv_id, turn).
+    # Second corpus: every conversation turn is a document; its id is the struct (conv_id, turn).
     turns = conversation_documents(_table(spark, sf_dir, "conversations"))
     index = with_bucket(corpus_postings(turns))
     parsed, small = _parsed(spark, sf_dir)
     hits = matching_docs(lookup_terms(index, parsed, broadcast_queries=small))
-    return hits.select(
-        "query_id",
-        (F.col("doc_id") / TURN_SPAN).cast("bigint").alias("conv_id"),
-        (F.col("doc_id") % TURN_SPAN).cast("bigint").alias("turn"),
-        "n_matches",
+    return hits.select("query_id", "doc_id.conv_id", "doc_id.turn", "n_matches")
+
+
+# --- the stored engine: index build, batch search, single phrases ---------------------
+
+
+def _built(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> str:
+    path = shared_dir(spark, "built-index")
+    build_index(spark, _docs(spark, sf_dir) if docs is None else docs, path)
+    return path
+
+
+def q_batch_phrase_matches(spark, sf_dir):
+    # Every phrase goes through its rarest word.
+    return search_batch(spark, _built(spark, sf_dir), _phrases(spark, sf_dir)).matches
+
+
+def q_batch_phrase_docs(spark, sf_dir):
+    # Mixed: phrases whose rarest word is in more than 20 documents take the plain lookup.
+    return search_batch(spark, _built(spark, sf_dir), _phrases(spark, sf_dir), max_anchor_docs=20).docs
+
+
+def q_batch_phrase_steps(spark, sf_dir):
+    # Nothing may be broadcast: the plain lookup and shuffle joins throughout.
+    res = search_batch(
+        spark, _built(spark, sf_dir), _phrases(spark, sf_dir), max_broadcast_words=0, max_broadcast_candidates=0, max_needed=0
     )
+    return res.steps
+
+
+def q_search_two_roots(spark, sf_dir):
+    # Two partial indexes that both hold part of every third document: a gets the tokens with an
+    # even number, b the others, so a phrase in such a document needs the postings of both.
+    docs = _docs(spark, sf_dir)
+    words = with_words(docs).select("doc_id", "pos", "word")
+    third = F.pmod(F.col("doc_id"), F.lit(3))
+    tokens = tokenize(docs).select("doc_id", "pos", (F.col("ord") % 2).alias("odd"))
+    words = words.join(tokens, ["doc_id", "pos"])
+    terms = apply_frequent_stems(words, frequent_vocabulary(words, MAX_BROADCAST_WORDS))
+    roots = []
+    for part in ((third == 1) | ((third == 0) & (F.col("odd") == 0)), (third == 2) | ((third == 0) & (F.col("odd") == 1))):
+        roots.append(shared_dir(spark, "index-root"))
+        write_index(build_postings(terms.where(part).select("doc_id", "pos", "term")), roots[-1])
+    return search_batch(spark, roots, _phrases(spark, sf_dir)).docs
+
+
+def q_single_phrase_docs(spark, sf_dir):
+    # One search per clause of the item with the most clauses: each is a user's request of its own.
+    path = _built(spark, sf_dir)
+    phrases = _phrases(spark, sf_dir)
+    item = F.floor(F.col("query_id") / CLAUSE_ID_SPAN)
+    most = phrases.groupBy(item.alias("item")).count().orderBy(F.desc("count"), "item").first()["item"]
+    found = None
+    for r in phrases.where(item == most).collect():
+        docs = search_phrase(spark, path, r["query"], r["query_id"]).docs
+        found = docs if found is None else found.unionByName(docs)
+    return found
+
+
+# --- file sources -------------------------------------------------------------------------
+
+
+def q_phrase_file(spark, sf_dir):
+    # Files whose names sort as the phrases do, with blank lines between; read and numbered together.
+    path = shared_dir(spark, "phrase-files")
+    rows = _phrases(spark, sf_dir).repartitionByRange(4, "query_id").sortWithinPartitions("query_id")
+    rows.select(F.concat(F.col("query"), F.lit("\n \n")).alias("line")).write.text(path)
+    return read_queries(spark, path)
+
+
+def q_stopword_file(spark, sf_dir):
+    from phrasedex.sources.corpus import STOP_WORDS
+
+    path = shared_dir(spark, "stop-words")
+    spark.sql("SELECT explode(:words) AS word", args={"words": [*STOP_WORDS, ""]}).write.text(path)
+    return remove_stopwords(_docs(spark, sf_dir), read_stopwords(spark, path))
+
+
+def q_clean_corpus_roundtrip(spark, sf_dir):
+    path = shared_dir(spark, "clean-corpus")
+    write_clean_corpus(remove_stopwords(_docs(spark, sf_dir)), path)
+    return parse_marked_documents(read_marked_corpus(spark, path))
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -258,6 +338,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "phrase_docs": q_phrase_docs,
     "partial_phrase_matches": q_partial_phrase_matches,
     "conversation_phrase_docs": q_conversation_phrase_docs,
+    "batch_phrase_matches": q_batch_phrase_matches,
+    "batch_phrase_docs": q_batch_phrase_docs,
+    "batch_phrase_steps": q_batch_phrase_steps,
+    "search_two_roots": q_search_two_roots,
+    "single_phrase_docs": q_single_phrase_docs,
+    "phrase_file": q_phrase_file,
+    "stopword_file": q_stopword_file,
+    "clean_corpus_roundtrip": q_clean_corpus_roundtrip,
 }
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from phrasedex.functions.porter import STEP2_RULES, STEP3_RULES, STEP4_SUFFIXES
 from phrasedex.operators.queries import CLAUSE, CLAUSE_ID_SPAN
-from phrasedex.sources.corpus import HEADER_PATTERN, STOP_WORDS, TURN_SPAN
+from phrasedex.sources.corpus import HEADER_PATTERN, STOP_WORDS
 
 WS = "[ \\t\\n\\x0B\\f\\r]+"
 NL = "chr(10)"
@@ -247,11 +247,11 @@ SELECT DISTINCT query_id, doc_id, k::INT AS step, prev_pos AS pos FROM chain WHE
 }
 
 _CONV = _with(
-    tokens_ctes(f"SELECT conv_id * {TURN_SPAN} + turn AS doc_id, text AS body FROM conversations"),
+    tokens_ctes(f"SELECT {{'c': conv_id::BIGINT, 't': turn::BIGINT}} AS doc_id, text AS body FROM conversations"),
     PHRASES, ALL_WORDS, vocab_ctes("allw"), STEMMED, PARSED, SEARCH, recursive=True,
 )
-ORACLE_SQL["conversation_phrase_docs"] = _CONV + f"""
-SELECT query_id, (doc_id // {TURN_SPAN})::BIGINT AS conv_id, (doc_id % {TURN_SPAN})::BIGINT AS turn, count(*) AS n_matches
+ORACLE_SQL["conversation_phrase_docs"] = _CONV + """
+SELECT query_id, doc_id['c'] AS conv_id, doc_id['t'] AS turn, count(*) AS n_matches
 FROM pm GROUP BY query_id, doc_id"""
 
 _CLEAN_TOKENS = TOKENS.replace(
@@ -262,3 +262,16 @@ _CLEAN_TOKENS = TOKENS.replace(
 ORACLE_SQL["clean_postings"] = _with(_CLEAN_TOKENS, vocab_ctes("words"), STEMMED) + (
     "SELECT term, doc_id, array_to_string(positions, ':') AS positions FROM post"
 )
+
+ORACLE_SQL["batch_phrase_matches"] = ORACLE_SQL["phrase_match"]
+ORACLE_SQL["batch_phrase_docs"] = ORACLE_SQL["phrase_docs"]
+ORACLE_SQL["batch_phrase_steps"] = ORACLE_SQL["partial_phrase_matches"]
+ORACLE_SQL["search_two_roots"] = ORACLE_SQL["phrase_docs"]
+ORACLE_SQL["single_phrase_docs"] = _FULL + f"""
+SELECT query_id, doc_id, count(*) AS n_matches FROM pm
+WHERE query_id // {CLAUSE_ID_SPAN} = (SELECT query_id // {CLAUSE_ID_SPAN} AS item FROM phr GROUP BY item ORDER BY count(*) DESC, item LIMIT 1)
+GROUP BY query_id, doc_id"""
+ORACLE_SQL["phrase_file"] = _with(PHRASES) + """
+SELECT row_number() OVER (ORDER BY query_id) AS query_id, query FROM phr"""
+ORACLE_SQL["stopword_file"] = ORACLE_SQL["clean_documents"]
+ORACLE_SQL["clean_corpus_roundtrip"] = ORACLE_SQL["clean_documents"]

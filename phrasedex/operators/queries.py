@@ -13,16 +13,24 @@ from phrasedex.functions.porter import stem_of_word
 # therefore cut into clauses: a run of plain [A-Za-z0-9] tokens followed by one
 # more token (which ends the clause). Every token lands in exactly one clause.
 CLAUSE = "((?:[A-Za-z0-9]+[ \\t\\n\\x0B\\f\\r]+)*[^ \\t\\n\\x0B\\f\\r]+)"
-# query_id = item_id * CLAUSE_ID_SPAN + clause number (0-based); a text of fewer
-# than CLAUSE_ID_SPAN tokens cannot overflow it.
+# query_id = item_id * CLAUSE_ID_SPAN + clause number (0-based). A text with more
+# clauses fails the job (and an id too large for the product overflows loudly),
+# so two items never share an id.
 CLAUSE_ID_SPAN = 1_000_000
 
 
+def _clause_id(item, number):
+    whole = item.cast("decimal(38,0)") * CLAUSE_ID_SPAN + number
+    fits = (number < CLAUSE_ID_SPAN) & whole.between(-(2**63), 2**63 - 1)
+    problem = F.concat(F.lit("no clause id for item "), item.cast("string"), F.lit(", clause "), number.cast("string"))
+    return F.when(fits, whole.cast("bigint")).otherwise(F.raise_error(problem).cast("bigint"))
+
+
 def benchmark_phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query_id, query): every clause of every item text is one phrase."""
     return items.select(
         F.col(id_col).alias("_item"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(CLAUSE), 1)).alias("_n", "query")
-    ).select((F.col("_item") * CLAUSE_ID_SPAN + F.col("_n")).cast("bigint").alias("query_id"), "query")
+    ).select(_clause_id(F.col("_item"), F.col("_n")).alias("query_id"), "query")
 
 
 def query_words(queries: DataFrame) -> DataFrame:

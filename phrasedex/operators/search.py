@@ -41,18 +41,18 @@ def lookup_terms(index: DataFrame, parsed: DataFrame, broadcast_queries: bool =
 def candidate_docs(lookup: DataFrame) -> DataFrame:
     """(query_id, doc_id) of documents that hold every word of the query (AND).
 
-    (term, doc_id) is unique in the index, so a (query, doc) group has one row
-    per word present; all words are present when that count is n_terms. Only
-    light columns are read (no positions). The rows of one group come from
+    All words are present when the group's distinct word numbers are n_terms;
+    rows that repeat a (term, doc_id), as from index parts that share documents,
+    change nothing. Only light columns are read (no positions). The rows of one group come from
     different index scan tasks (the words of a phrase live in different term
     ranges), so a map-side partial count would not shrink anything: the rows
     are exchanged first and counted once.
     """
     return (
-        lookup.select("query_id", "doc_id", "n_terms")
+        lookup.select("query_id", "doc_id", "k", "n_terms")
         .repartition("query_id", "doc_id")
         .groupBy("query_id", "doc_id")
-        .agg(F.count(F.lit(1)).alias("_present"), F.first("n_terms").alias("_n"))
+        .agg(F.size(F.collect_set("k")).alias("_present"), F.first("n_terms").alias("_n"))
         .where(F.col("_present") == F.col("_n"))
         .select("query_id", "doc_id")
     )
@@ -78,10 +78,14 @@ def _candidate_rows(lookup: DataFrame, candidates: DataFrame | None, broadcast_c
 
 
 def _start_votes(rows: DataFrame) -> DataFrame:
-    """(query_id, doc_id, k, n_terms, start, p): each distinct position p of word k votes for ``p - start_offset_k``."""
-    return rows.select(
-        "query_id", "doc_id", "k", "n_terms", "start_offset", F.explode(F.array_distinct("positions")).alias("p")
+    """(query_id, doc_id, k, n_terms, start, p): each distinct position p of word k votes once for ``p - start_offset_k``.
+
+    The distinct is local: rows are partitioned by (query_id, doc_id) already.
+    """
+    votes = rows.select(
+        "query_id", "doc_id", "k", "n_terms", "start_offset", F.explode("positions").alias("p")
     ).withColumn("start", F.col("p").cast("bigint") - F.col("start_offset"))
+    return votes.groupBy("query_id", "doc_id", "start", "k").agg(F.first("n_terms").alias("n_terms"), F.first("p").alias("p"))
 
 
 def _one_word_matches(lookup: DataFrame) -> DataFrame:

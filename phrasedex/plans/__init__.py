@@ -1,6 +1,6 @@
 """End-to-end jobs and plan checks."""
 
-from phrasedex.plans.build import build_index, corpus_postings, materialize
+from phrasedex.plans.build import build_index, corpus_postings
 from phrasedex.plans.search import SearchResult, search_batch, search_phrase
 
-__all__ = ["build_index", "corpus_postings", "materialize", "SearchResult", "search_batch", "search_phrase"]
+__all__ = ["build_index", "corpus_postings", "SearchResult", "search_batch", "search_phrase"]

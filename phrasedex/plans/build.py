@@ -55,17 +55,6 @@ def corpus_postings(
     return build_postings(apply_frequent_stems(words, frequent_vocabulary(words, frequent_words)))
 
 
-def materialize(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Write ``df`` to a fresh folder under the shared checkpoint folder and read it back.
-
-    Cuts the lineage (a lost executor does not recompute the upstream job) and
-    makes the row count a metadata read.
-    """
-    path = shared_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def build_index(
     spark: SparkSession,
     docs: DataFrame,

@@ -30,20 +30,20 @@ from phrasedex.operators.search import (
     lookup_terms,
     matching_docs,
     partial_phrase_matches,
-    phrase_docs,
     phrase_match,
 )
 from phrasedex.session import shared_dir
 from phrasedex.sources.index_store import read_index
 
 MAX_BROADCAST_QUERY_WORDS = 5_000_000
-# (query_id, doc_id) pairs: 16 bytes each, about 100 MB as a broadcast hash table.
 # Distinct terms of a batch sent to the Parquet reader as a literal IN list.
 MAX_LITERAL_TERMS = 50_000
-# (query, word, doc) keys fetched by the anchored lookup, broadcast when at most this many.
-MAX_BROADCAST_NEEDED = 4_000_000
+# (query, word, doc) keys fetched by the anchored lookup, at most; a row of seven
+# columns is about 100 bytes as a broadcast hash table.
+MAX_BROADCAST_NEEDED = 1_000_000
 # A phrase whose rarest word is in more documents than this takes the plain lookup.
 MAX_ANCHOR_DOCS = 1_000_000
+# (query_id, doc_id) pairs: 16 bytes each, about 100 MB as a broadcast hash table.
 MAX_BROADCAST_CANDIDATES = 4_000_000
 BUCKETS = 26
 
@@ -101,9 +101,11 @@ def anchored_lookup(
     5. postings (with positions) fetched by an equi-join on those keys.
     A document without the anchor cannot hold the phrase, so results are
     unchanged, while a frequent word is never expanded over all its documents
-    for every phrase that contains it. Phrases whose anchor is in more than
-    ``max_anchor_docs`` documents take the plain lookup; the two are unioned.
-    Returns None when step 4 is too large to broadcast.
+    for every phrase that contains it. A phrase costs its anchor's documents
+    times its words; phrases go this way, cheapest first, while their costs add
+    up to at most ``max_needed`` (so step 4 is bounded before it is made), and
+    if their anchor is in at most ``max_anchor_docs`` documents. The others take
+    the plain lookup; the two are unioned. None if no phrase goes this way.
     """
     keys = parsed.select("bucket", "term").distinct()
     df = (
@@ -116,23 +118,31 @@ def anchored_lookup(
     anchors = (
         words.withColumn("df", F.coalesce(F.col("df"), F.lit(0)))
         .groupBy("query_id")
-        .agg(F.min_by(F.struct("bucket", "term", "df"), F.struct("df", "k")).alias("a"))
-        .select("query_id", F.col("a.bucket").alias("bucket"), F.col("a.term").alias("term"), F.col("a.df").alias("df"))
+        .agg(F.min_by(F.struct("bucket", "term", "df"), F.struct("df", "k")).alias("a"), F.first("n_terms").alias("n_terms"))
+        .select("query_id", F.col("a.bucket").alias("bucket"), F.col("a.term").alias("term"), F.col("a.df").alias("df"), "n_terms")
+        .withColumn("cost_class", F.length(F.bin(F.col("df") * F.col("n_terms"))))
         .checkpoint(eager=True)
     )
-    routed = anchors if max_anchor_docs is None else anchors.where(F.col("df") <= max_anchor_docs)
-    pairs = index.select("bucket", "term", "doc_id").join(F.broadcast(routed.drop("df")), ["bucket", "term"])
+    # Costs by their number of binary digits: at most 64 rows.
+    allowed = anchors if max_anchor_docs is None else anchors.where(F.col("df") <= max_anchor_docs)
+    cost = F.sum(F.col("df") * F.col("n_terms"))
+    top, total = -1, 0
+    for r in sorted(allowed.groupBy("cost_class").agg(cost.alias("cost")).collect()):
+        total += r["cost"]
+        if total > max_needed:
+            break
+        top = r["cost_class"]
+    if top < 0:
+        return None
+    routed = allowed.where(F.col("cost_class") <= top)
+    pairs = index.select("bucket", "term", "doc_id").join(F.broadcast(routed.select("query_id", "bucket", "term")), ["bucket", "term"])
     needed = (
         pairs.select("query_id", "doc_id")
         .join(F.broadcast(parsed.select("query_id", "k", "bucket", "term", "start_offset", "n_terms")), "query_id")
         .checkpoint(eager=True)
     )
-    if needed.count() > max_needed:
-        return None
     lookup = index.join(F.broadcast(needed), ["bucket", "term", "doc_id"]).select(*LOOKUP_COLUMNS)
-    if max_anchor_docs is None:
-        return lookup
-    others = anchors.where(F.col("df") > max_anchor_docs).select("query_id")
+    others = anchors.join(F.broadcast(routed.select("query_id")), "query_id", "left_anti").select("query_id")
     if others.isEmpty():
         return lookup
     rest = parsed.join(F.broadcast(others), "query_id", "left_semi")
@@ -184,8 +194,9 @@ def search_phrase(spark: SparkSession, index_path: str | list[str], phrase: str,
     )
     words = list(arrays["w"] or [])
     if not words:
-        empty = spark.sql("SELECT CAST(1 AS BIGINT) AS query_id, CAST(1 AS BIGINT) AS doc_id, CAST(1 AS BIGINT) AS start_pos").limit(0)
-        return SearchResult(q, empty, empty, phrase_docs(empty), empty)
+        parsed_df = parse_queries(q)
+        lookup = lookup_terms(read_index(spark, index_path, buckets=[]), parsed_df)
+        return SearchResult(parsed_df, lookup, phrase_match(lookup), matching_docs(lookup), partial_phrase_matches(lookup))
     distinct = sorted(set(words))
     stems: dict[str, tuple[str, int]] = {}
     paths = [index_path] if isinstance(index_path, str) else list(index_path)

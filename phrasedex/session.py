@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,14 +43,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 
     The folder is read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only when neither is set, as in local tests, a local folder is
-    created and registered as the checkpoint dir.
+    checkpoint dir). Only when neither is set and the master is ``local``, as in
+    tests, a local folder is created and registered as the checkpoint dir; on a
+    cluster this is an error, for executors would write to disks of their own.
     """
     base = spark.sparkContext.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if base:
             spark.sparkContext.setCheckpointDir(base)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="phrasedex-ckpt-")
         spark.sparkContext.setCheckpointDir(base)

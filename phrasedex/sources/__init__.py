@@ -2,7 +2,6 @@
 
 from phrasedex.sources.corpus import (
     STOP_WORDS,
-    TURN_SPAN,
     conversation_documents,
     parse_marked_documents,
     read_marked_corpus,
@@ -20,7 +19,6 @@ from phrasedex.sources.postings_text import postings_from_text, postings_to_text
 
 __all__ = [
     "STOP_WORDS",
-    "TURN_SPAN",
     "conversation_documents",
     "parse_marked_documents",
     "read_marked_corpus",

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phrasedex.functions.text import WHITESPACE, let
@@ -35,8 +35,8 @@ DOC_END = "</doc>"
 ID_PATTERN = 'id="([0-9]+)"'
 HEADER_PATTERN = '(?s)^.*?id="[0-9]+"[^ \\t\\n\\x0B\\f\\r]*[ \\t\\n\\x0B\\f\\r].*?>([ \\t\\n\\x0B\\f\\r]|\\z)'
 
-# Cap on a stop-word table read from a file; the list is turned into literals.
-MAX_STOP_WORDS = 100_000
+# A stop-word table of at most this many rows becomes literals; a larger one is joined.
+MAX_LITERAL_STOP_WORDS = 10_000
 
 
 def wrap_marked(docs: DataFrame) -> DataFrame:
@@ -73,15 +73,10 @@ def parse_marked_documents(segments: DataFrame) -> DataFrame:
     )
 
 
-# A conversation turn is one document: doc_id = conv_id * TURN_SPAN + turn.
-TURN_SPAN = 1000
-
-
 def conversation_documents(conversations: DataFrame) -> DataFrame:
-    """(doc_id, body) from (conv_id, turn, role, text); turns must be below TURN_SPAN."""
-    return conversations.select(
-        (F.col("conv_id") * TURN_SPAN + F.col("turn")).cast("bigint").alias("doc_id"), F.col("text").alias("body")
-    )
+    """(doc_id, body) from (conv_id, turn, role, text): a turn is one document, its id the struct (conv_id, turn)."""
+    doc_id = F.struct(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"))
+    return conversations.select(doc_id.alias("doc_id"), F.col("text").alias("body"))
 
 
 def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
@@ -90,13 +85,10 @@ def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stopword_list(words: DataFrame | Iterable[str] | None) -> list[str]:
-    """Stop words as a literal list. A table is size-checked before it is collected."""
+    """Stop words as a literal list; for tables of a checked size and lists."""
     if words is None:
         return list(STOP_WORDS)
     if isinstance(words, DataFrame):
-        n = words.count()
-        if n > MAX_STOP_WORDS:
-            raise ValueError(f"stop-word table has {n} rows, more than {MAX_STOP_WORDS}")
         return [r[0] for r in words.select("word").distinct().collect()]
     return list(words)
 
@@ -111,14 +103,41 @@ def remove_stopwords(docs: DataFrame, stopwords: DataFrame | Iterable[str] | Non
 
     Each kept word is followed by one space and every non-empty input line by a
     newline. Matching is on the lower-cased raw token, so ``the,`` stays;
-    tokens ending in ``>`` stay. Works within the row: no shuffle.
+    tokens ending in ``>`` stay. Works within the row, without a shuffle, unless
+    the stop words are a table of more than MAX_LITERAL_STOP_WORDS rows.
     """
+    if isinstance(stopwords, DataFrame) and stopwords.count() > MAX_LITERAL_STOP_WORDS:
+        return _remove_by_join(docs, stopwords, body)
     stops = stopword_list(stopwords)
     lines = F.filter(F.split(F.col(body), "\n"), lambda ln: ln != "")
     cleaned = F.transform(lines, lambda ln: F.concat(_clean_line(ln, stops), F.lit("\n")))
     return docs.select("doc_id", F.array_join(cleaned, "").alias("body"))
 
 
+def _remove_by_join(docs: DataFrame, stopwords: DataFrame, body: str) -> DataFrame:
+    """``remove_stopwords`` against a table of any size: tokens are anti-joined and put back in their lines.
+
+    Rows are told apart by a key of their own, so repeated ids stay apart.
+    """
+    rows = docs.select("doc_id", F.col(body).alias("body"))
+    keyed = rows.groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("_same")).withColumn("_key", F.xxhash64("doc_id", "body"))
+    lines = keyed.select("_key", "doc_id", "body", F.posexplode(F.filter(F.split("body", "\n"), lambda ln: ln != "")).alias("_ln", "line"))
+    tokens = lines.select(
+        "_key", "doc_id", "_ln", F.posexplode(F.filter(F.split("line", WHITESPACE), lambda t: t != "")).alias("_at", "raw")
+    )
+    stops = stopwords.select(F.col("word").alias("_stop")).distinct()
+    kept = tokens.join(stops, (F.lower("raw") == F.col("_stop")) & ~F.col("raw").endswith(">"), "left_anti")
+    words = kept.groupBy("_key", "doc_id", "_ln").agg(F.array_sort(F.collect_list(F.struct("_at", "raw"))).alias("_w"))
+    text = words.select("_key", "doc_id", "_ln", F.concat(F.array_join(F.transform("_w", lambda x: x["raw"]), " "), F.lit(" ")).alias("_t"))
+    every = lines.select("_key", "doc_id", "_ln").join(text, ["_key", "doc_id", "_ln"], "left")
+    every = every.groupBy("_key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("_ln", F.coalesce("_t", F.lit("")).alias("t")))).alias("_l"))
+    joined = F.array_join(F.transform("_l", lambda x: F.concat(x["t"], F.lit("\n"))), "")
+    out = keyed.join(every.select("_key", joined.alias("_b")), "_key", "left")
+    whole = F.when(F.col("body").isNotNull(), F.coalesce("_b", F.lit("")))
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("_same").cast("int")))
+    return out.select("doc_id", whole.alias("body"), copies.alias("_c")).drop("_c")
+
+
 def write_clean_corpus(docs: DataFrame, path: str) -> None:
     """Write the cleaned corpus as marked-up text, one record per document.
 
@@ -130,28 +149,25 @@ def write_clean_corpus(docs: DataFrame, path: str) -> None:
 
 
 def with_line_numbers(lines: DataFrame, start: int = 1) -> DataFrame:
-    """Add ``line_no`` (consecutive from ``start`` in file order) without a global sort.
+    """Add ``line_no``, consecutive from ``start`` over files in path order, without a global sort.
 
-    Rows get ``monotonically_increasing_id`` (partition index in the upper bits);
-    per-partition counts (one row per partition, a proven bound) give each
-    partition's first number, joined back by broadcast.
+    ``lines`` is a file scan (filters and projections allowed). The lines of a
+    piece of a file are read in order by one task and get increasing ids; the
+    pieces (one row each) are numbered by path and offset, joined back.
     """
-    tagged = lines.withColumn("_mid", F.monotonically_increasing_id()).withColumn(
-        "_part", F.shiftright(F.col("_mid"), 33)
-    )
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    from pyspark.sql import Window
-
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    piece = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    tagged = lines.withColumn("_piece", piece).withColumn("_mid", F.monotonically_increasing_id())
+    counts = tagged.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     return (
-        tagged.join(F.broadcast(offsets.select("_part", "_before", "_first")), "_part")
+        tagged.join(offsets, "_piece")
         .withColumn("line_no", (F.col("_before") + F.col("_mid") - F.col("_first") + start).cast("bigint"))
-        .drop("_mid", "_part", "_before", "_first")
+        .drop("_mid", "_piece", "_before", "_first")
     )
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, query): one phrase per line, numbered from 1; blank lines skipped unnumbered."""
+    """(query_id, query): one phrase per line, numbered from 1 over files in path order; blank lines skipped unnumbered."""
     lines = spark.read.text(path).where(F.trim(F.col("value")) != "")
     return with_line_numbers(lines).select(F.col("line_no").alias("query_id"), F.col("value").alias("query"))

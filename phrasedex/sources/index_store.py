@@ -47,16 +47,16 @@ def read_index(
 ) -> DataFrame:
     """(bucket, term, doc_id, positions), pruned to ``buckets`` and ``terms`` if given.
 
-    Several index paths (partial indexes over disjoint documents) are read as
-    one union. Literal bucket values become PartitionFilters; literal terms
-    become PushedFilters.
+    Several index paths (partial indexes) are merged: a (term, document) that
+    several of them hold gets all its positions in one row. Literal bucket
+    values become PartitionFilters; literal terms become PushedFilters; the
+    merge shuffles only what these leave.
     """
     paths = [path] if isinstance(path, str) else list(path)
     bucket_list = sorted({int(b) for b in buckets}) if buckets is not None else None
     term_list = sorted(set(terms)) if terms is not None else None
     out = None
-    # One scan per index root (each has its own bucket=N folders), unioned;
-    # partial indexes must cover disjoint documents (else merge them first).
+    # One scan per index root (each has its own bucket=N folders).
     for p in paths:
         df = spark.read.schema(INDEX_SCHEMA).parquet(p).select("bucket", "term", "doc_id", "positions")
         if bucket_list is not None:
@@ -64,4 +64,7 @@ def read_index(
         if term_list is not None:
             df = df.where(F.col("term").isin(term_list))
         out = df if out is None else out.unionByName(df)
+    if len(paths) > 1:
+        merged = F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")
+        out = out.groupBy("bucket", "term", "doc_id").agg(merged)
     return out

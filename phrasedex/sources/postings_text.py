@@ -42,7 +42,7 @@ def write_postings_text(lines: DataFrame, path: str) -> None:
 
 
 def postings_from_text(lines: DataFrame, col: str = "line") -> DataFrame:
-    """(term, doc_id, positions) from text lines; malformed entries are dropped."""
+    """(term, doc_id, positions ARRAY<BIGINT>) from text lines; malformed entries are dropped."""
     body = F.trim(F.col(col))
     parts = lines.select(
         F.regexp_extract(body, "^([^ \\t]+)", 1).alias("term"),
@@ -53,5 +53,5 @@ def postings_from_text(lines: DataFrame, col: str = "line") -> DataFrame:
     return fields.select(
         "term",
         F.col("f")[0].try_cast("bigint").alias("doc_id"),
-        F.transform(F.slice("f", 2, F.size("f") - 1), lambda x: x.try_cast("int")).alias("positions"),
+        F.transform(F.slice("f", 2, F.size("f") - 1), lambda x: x.try_cast("bigint")).alias("positions"),
     ).where(F.col("doc_id").isNotNull() & F.forall("positions", lambda x: x.isNotNull()))

@@ -4,27 +4,34 @@ Each micro-batch is one phrase batch: lines are numbered within the batch
 (``query_id = batch_id * 2**32 + line``), answered against the stored index in
 one job (``search_batch``), and written under ``batch_id=N`` folders with
 overwrite, so a batch retried after a failure replaces its own output instead
-of duplicating it. The stream's checkpoint and the batch intermediates live in
-the shared checkpoint folder.
+of duplicating it. The stream's checkpoint lives under the output folder unless
+given, so a restarted stream goes on where it stopped; batch intermediates live
+in the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from phrasedex.plans.search import search_batch
-from phrasedex.session import shared_dir
-from phrasedex.sources.corpus import with_line_numbers
 
 BATCH_SPAN = 2**32
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines with ``line_no`` from 1 by file path and offset in the file; one row per piece of a file is ranked."""
+    tagged = lines.withColumn("_mid", F.monotonically_increasing_id())
+    counts = tagged.groupBy("file", "at").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("file", "at", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return tagged.join(offsets, ["file", "at"]).withColumn("line_no", F.col("_before") + F.col("_mid") - F.col("_first") + 1)
+
+
 def _answer(spark: SparkSession, index_path: str, out_path: str):
     def handle(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.where(F.trim(F.col("value")) != "")
-        numbered = with_line_numbers(lines).select(
+        numbered = _numbered(batch.where(F.trim(F.col("value")) != "")).select(
             (F.lit(batch_id) * BATCH_SPAN + F.col("line_no")).cast("bigint").alias("query_id"),
             F.col("value").alias("query"),
             F.col("file"),
@@ -55,10 +62,10 @@ def start_phrase_stream(
     reader = spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    lines = reader.load(phrase_dir).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = reader.load(phrase_dir).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     writer = (
         lines.writeStream.foreachBatch(_answer(spark, index_path, out_path))
-        .option("checkpointLocation", checkpoint or shared_dir(spark, "phrase-stream"))
+        .option("checkpointLocation", checkpoint or out_path.rstrip("/") + "/_checkpoint")
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

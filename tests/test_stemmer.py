@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phrasedex.functions.porter import porter_stem
 from phrasedex.operators.stemming import stem_vocabulary
 
+# Words and their stems as the published algorithm defines them.
 GOLDEN = dict(
     p.split("->")
     for p in (
