@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import tempfile
 import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +61,21 @@ def int_hash(*cols: str) -> Column:
 _SHIPPED: set[str] = set()
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back to the system; workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: Rows per Arrow batch between Spark and its Python workers; texts may be long.
+ARROW_ROWS = 1000
+
+
 def ship_package(spark) -> None:
-    """Send this package to the Python workers of the session, once per application."""
+    """Send this package to the session's Python workers, once per application, and keep Arrow batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -13,6 +13,8 @@ import struct
 
 import numpy as np
 
+from .common import release
+
 CACHED_WORDS = 200_000
 #: White space for str.split, but not for the tokenizer.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
@@ -44,6 +46,12 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.bases: dict[str, bytes] = {}
 
+    def rest(self) -> None:
+        """Forget the words at the end of a task; the worker may run other operators next."""
+        self.words.clear()
+        self.bases.clear()
+        release()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)

@@ -38,7 +38,7 @@ MAX_TRAIN_BYTES = 16_384
 UNDETERMINED = "und"
 #: A text that costs more under every language is in none of them.
 MAX_BITS_PER_BYTE = 7.0
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Context before the first byte of a text.
 START = b"\n" * MAX_ORDER
 _MULT = np.uint64(0x9E3779B97F4A7C15)

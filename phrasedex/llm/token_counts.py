@@ -37,6 +37,7 @@ def token_lengths(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKE
         enc = encoder(tokenizer)
         for texts in batches:
             yield pd.Series([len(b) // 4 for b in enc.encode(texts.fillna("").tolist())], dtype="int64")
+        enc.rest()
 
     return docs.select(count(F.col(text_col).cast("string")).alias("n_tokens"))
 

@@ -131,6 +131,7 @@ def _frames(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
                 ],
                 ["shard", "doc_id", "size", "checksum", "frame"],
             )
+        enc.rest()
 
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return source.mapInArrow(run, "shard int, doc_id long, size long, checksum long, frame binary")
