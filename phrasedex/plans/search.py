@@ -36,8 +36,9 @@ from phrasedex.session import shared_dir
 from phrasedex.sources.index_store import read_index
 
 MAX_BROADCAST_QUERY_WORDS = 5_000_000
-# Distinct terms of a batch sent to the Parquet reader as a literal IN list.
-MAX_LITERAL_TERMS = 50_000
+# Distinct terms of a batch sent to the Parquet reader as a literal IN list (a
+# chain of as many comparisons, tested once per row group).
+MAX_LITERAL_TERMS = 1_000
 # (query, word, doc) keys fetched by the anchored lookup, at most; a row of seven
 # columns is about 100 bytes as a broadcast hash table.
 MAX_BROADCAST_NEEDED = 1_000_000

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from phrasedex.operators.postings import with_bucket
 
+# Spark tests Parquet statistics against every value of an IN list only up to this
+# session setting (10 by default); read_index raises it to the number of terms.
+PUSHDOWN_SETTING = "spark.sql.parquet.pushdown.inFilterThreshold"
 INDEX_SCHEMA = "term STRING, doc_id BIGINT, positions ARRAY<INT>, bucket INT"
 
 
@@ -50,11 +53,14 @@ def read_index(
     Several index paths (partial indexes) are merged: a (term, document) that
     several of them hold gets all its positions in one row. Literal bucket
     values become PartitionFilters; literal terms become PushedFilters; the
-    merge shuffles only what these leave.
+    merge shuffles only what these leave. Row groups are skipped by each term,
+    for which the session's PUSHDOWN_SETTING is raised to the number of terms.
     """
     paths = [path] if isinstance(path, str) else list(path)
     bucket_list = sorted({int(b) for b in buckets}) if buckets is not None else None
     term_list = sorted(set(terms)) if terms is not None else None
+    if term_list and int(spark.conf.get(PUSHDOWN_SETTING, "10")) < len(term_list):
+        spark.conf.set(PUSHDOWN_SETTING, str(len(term_list)))
     out = None
     # One scan per index root (each has its own bucket=N folders).
     for p in paths:

@@ -10,7 +10,7 @@ from phrasedex.operators import benchmark_phrases
 from phrasedex.plans.build import build_index
 from phrasedex.plans.search import search_batch, search_phrase
 from phrasedex.session import local_path, shared_dir
-from phrasedex.sources import read_index
+from phrasedex.sources import read_index, write_index
 from tests.conftest import SF0001
 
 
@@ -148,3 +148,31 @@ def test_anchored_lookup_equals_plain_lookup(spark):
         for a, b in ((res.matches, plain.matches), (res.steps, plain.steps), (res.docs, plain.docs)):
             assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert anchored.lookup.count() < mixed.lookup.count() < plain.lookup.count()
+
+
+def _scanned_rows(df):
+    """Rows that the scan of a filtered read hands on, from the metrics of the plan that ran."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan()
+    while leaf.children().size():
+        leaf = leaf.children().apply(0)
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_batch_of_terms_reads_few_row_groups(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    rows = spark.range(n).select(F.format_string("a%06d", "id").alias("term"), F.col("id").alias("doc_id"), F.array(F.lit(1)).alias("positions"))
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", str(16 * 1024))
+    hadoop.set("parquet.page.size.row.check.min", "100")
+    try:
+        write_index(rows, str(tmp_path / "i"), num_files=2)
+    finally:
+        hadoop.unset("parquet.block.size")
+        hadoop.unset("parquet.page.size.row.check.min")
+    terms = [f"a{k * 3999:06d}" for k in range(50)]
+    df = read_index(spark, str(tmp_path / "i"), buckets=[0], terms=terms)
+    assert df.count() == 50
+    assert _scanned_rows(df) < 0.25 * n
