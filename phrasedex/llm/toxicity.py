@@ -6,13 +6,13 @@ or left-out characters cost a factor, not the match. Nystroem: a word's features
 are its normalised kernel values with the landmarks times K_zz^(-1/2), and a
 linear support vector machine on them approximates the machine on the kernel.
 
-Labels are those of whole texts, of which one insult is enough. Training picks
-in every toxic text the word that the machine scores highest (at first, the one
-whose character runs are most typical of toxic texts) against the words of clean
-texts, hardest first, and repeats. A text's score is the highest score of its
-words, turned into a probability by an isotonic fit on a third of the sample that
-the machine has not seen. Words: white-space tokens,
-letters only, lower-cased; letters that stand alone in a row are also read as one word.
+Labels are those of whole texts, of which one insult is enough. Training first
+finds families of words, by shared character runs, that are typical of toxic
+texts, and sets their members against words of clean texts, hardest first, in
+three rounds. A text's score is the highest value of its words, turned into a
+probability by an isotonic fit on a third of the sample that the machine has not
+seen. Words: white-space tokens, letters only, lower-cased; letters that stand
+alone in a row are also read as one word.
 
 Fitted on a bounded sample: per label the ``DOCS_PER_LABEL`` training texts with
 the smallest hash of the id among those of at most ``MAX_TRAIN_BYTES`` bytes.
@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LENGTH, DECAY = 3, 0.8
-LANDMARKS, NEUTRAL, ALIKE = 40, 8, 0.45
-#: A word of a toxic text is taken for an insult at first if typical runs cover this share of it.
-TYPICAL, EVIDENCE, ODDS = 0.4, 25.0, 8.0
+LENGTH, DECAY = 3, 0.6
+LANDMARKS, NEUTRAL, ALIKE = 64, 16, 0.8
+#: What a character run needs to found a family of insults; landmarks taken from each family.
+EVIDENCE, ODDS, MEMBERS = 20.0, 8.0, 4
 DOCS_PER_LABEL = 1500
 MAX_TRAIN_BYTES = 8_192
 THRESHOLD = 0.7
@@ -244,39 +244,56 @@ def _linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int =
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def _typical_runs(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
-    """Character runs of 4 and 5 that are typical of toxic texts, with their log-likelihood ratio by documents.
+def _ratio(t: int, c: int, share: float) -> float:
+    """Log-likelihood ratio of t toxic and c clean texts against ``share`` toxic ones; 0 if toxic ones are not ODDS times as frequent."""
+    if t * (1 - share) < ODDS * (c + 0.5) * share:
+        return 0.0
+    n = t + c
+    return 2 * (t * np.log(t / (n * share)) + (c * np.log(c / (n * (1 - share))) if c else 0.0))
 
-    Typical: a ratio of at least EVIDENCE and odds of at least ODDS times those of clean texts.
+
+def _insults(toxic: list[set[str]], clean: list[set[str]]) -> list[list[str]]:
+    """Families of words typical of toxic texts: words that share a character run of 4 or 5, strongest family first.
+
+    The run with the strongest evidence is taken, its words are set aside, and
+    the evidence of the other runs is counted again without them, so a piece of
+    an insult does not make other words that hold it look like insults.
     """
+    share = len(toxic) / (len(toxic) + len(clean))
     counts = []
     for docs in (toxic, clean):
         n: Counter = Counter()
         for words in docs:
             n.update({r for w in words for r in _runs(w)})
         counts.append(n)
-    t, c = counts
-    share = len(toxic) / (len(toxic) + len(clean))
-    part = lambda n, want: n * np.log(n / want) if n else 0.0
-    out = {}
-    for r, v in t.items():
-        n = v + c[r]
-        ratio = 2 * (part(v, n * share) + part(c[r], n * (1 - share)))
-        if ratio >= EVIDENCE and v * (1 - share) >= ODDS * (c[r] + 0.5) * share:
-            out[r] = float(ratio)
+    strong = {r for r, v in counts[0].items() if _ratio(v, counts[1][r], share) >= EVIDENCE}
+    places: dict[str, list[tuple[int, str]]] = {r: [] for r in strong}
+    for i, words in enumerate([*toxic, *clean]):
+        for w in words:
+            for r in strong & _runs(w):
+                places[r].append((i, w))
+
+    def evidence(r: str) -> float:
+        docs = {i for i, _ in places[r]}
+        t = sum(i < len(toxic) for i in docs)
+        return _ratio(t, len(docs) - t, share) if t else 0.0
+
+    value = {r: evidence(r) for r in strong}
+    out = []
+    while value:
+        best = max(value, key=lambda r: (value[r], len(r), r))
+        if value[best] < EVIDENCE:
+            break
+        family = Counter(w for i, w in places[best] if i < len(toxic))
+        gone = {w for _, w in places[best]}
+        out.append([w for w, _ in sorted(family.items(), key=lambda x: (-x[1], x[0]))])
+        del value[best]
+        for r in {r for w in gone for r in _runs(w)} & value.keys():
+            places[r] = [(i, w) for i, w in places[r] if w not in gone]
+            value[r] = evidence(r)
     return out
 
 
-def _typical_share(word: str, runs: dict[str, float]) -> float:
-    """Share of the word's letters that typical runs cover."""
-    marked = np.zeros(len(word) + 2, bool)
-    for n in (4, 5):
-        for i in range(len(word) + 3 - n):
-            if f"^{word}$"[i : i + n] in runs:
-                marked[i : i + n] = True
-    return float(marked[1:-1].mean())
-
-
 def _runs(word: str) -> set[str]:
     w = f"^{word}$"
     return {w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)}
@@ -290,18 +307,18 @@ def fit(texts: list[str], labels: list[int], clean_share: float) -> ToxicityMode
     clean = [bags[i] for i in fitted if not labels[i]]
     if not toxic or not any(clean):
         return None
-    runs = _typical_runs(toxic, clean)
-    often = Counter(w for b in toxic for w in b)
-    value = {w: _typical_share(w, runs) for w in often}
-    ranked = sorted(often, key=lambda w: (value[w] < TYPICAL, -max((runs.get(r, 0.0) for r in _runs(w)), default=0.0), -often[w], w))
     seen = Counter(w for b in clean for w in b)
+    families = [[w for w in family if w not in seen] for family in _insults(toxic, clean)]
+    typical = {w for family in families for w in family}
     neutral = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4][:NEUTRAL]
-    known = [w for w in ranked if value[w] >= TYPICAL] or ranked[:LANDMARKS]
-    picked = _spread_out(known[:3000], LANDMARKS)
+    often = Counter(w for b in toxic for w in b)
+    ranked = [w for k in range(MEMBERS) for family in families for w in family[k : k + 1]]
+    if not ranked:  # too few texts to tell: the words that only toxic texts hold
+        ranked = sorted((w for w in often if w not in seen), key=lambda w: (-often[w], w))[:LANDMARKS] or sorted(often)[:LANDMARKS]
+        typical = set(ranked)
+    picked = _spread_out(ranked, LANDMARKS)
     model = ToxicityModel(picked + [w for w in neutral if w not in picked])
-    typical = [w for b in toxic for w in b if value[w] >= TYPICAL]
-    # A toxic text without a typical word is left out rather than guessed at.
-    witness = typical or [max(sorted(b), key=value.__getitem__) for b in toxic]
+    witness = [w for b in toxic for w in b if w in typical]
     vocabulary = sorted(seen)
     rng = np.random.default_rng(11)
     hard = [vocabulary[i] for i in rng.choice(len(vocabulary), min(4000, len(vocabulary)), replace=False)]
