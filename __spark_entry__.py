@@ -39,7 +39,7 @@ from phrasedex.operators import (  # noqa: E402
     with_words,
 )
 from phrasedex.operators.queries import CLAUSE_ID_SPAN  # noqa: E402
-from phrasedex.plans.build import MAX_BROADCAST_WORDS, build_index, corpus_postings  # noqa: E402
+from phrasedex.plans.build import MAX_BROADCAST_WORDS, attach_stems, build_index, corpus_postings  # noqa: E402
 from phrasedex.plans.search import MAX_BROADCAST_QUERY_WORDS, search_batch, search_phrase  # noqa: E402
 from phrasedex.session import shared_dir  # noqa: E402
 from phrasedex.sources import (  # noqa: E402
@@ -120,8 +120,8 @@ def q_stem_vocabulary(spark, sf_dir):
 
 
 def q_stemmed_terms(spark, sf_dir):
-    words = with_words(_docs(spark, sf_dir))
-    return apply_frequent_stems(words, frequent_vocabulary(words, MAX_BROADCAST_WORDS)).select("doc_id", "pos", "term")
+    terms, _, _ = attach_stems(spark, with_words(_docs(spark, sf_dir)))
+    return terms.select("doc_id", "pos", "term")
 
 
 def q_clean_postings(spark, sf_dir):
@@ -276,11 +276,12 @@ def q_search_two_roots(spark, sf_dir):
 
 
 def q_single_phrase_docs(spark, sf_dir):
-    # One search per clause of the item with the most clauses: each is a user's request of its own.
+    # One search per clause of one item (the one with the most clauses of those with up to 8): each is
+    # a user's request of its own.
     path = _built(spark, sf_dir)
     phrases = _phrases(spark, sf_dir)
     item = F.floor(F.col("query_id") / CLAUSE_ID_SPAN)
-    most = phrases.groupBy(item.alias("item")).count().orderBy(F.desc("count"), "item").first()["item"]
+    most = phrases.groupBy(item.alias("item")).count().where("count <= 8").orderBy(F.desc("count"), "item").first()["item"]
     found = None
     for r in phrases.where(item == most).collect():
         docs = search_phrase(spark, path, r["query"], r["query_id"]).docs

@@ -55,6 +55,22 @@ def corpus_postings(
     return build_postings(apply_frequent_stems(words, frequent_vocabulary(words, frequent_words)))
 
 
+def attach_stems(spark: SparkSession, words: DataFrame, max_broadcast_words: int = MAX_BROADCAST_WORDS) -> tuple[DataFrame, str, int]:
+    """(words with ``term``, folder of the stored vocabulary, its row count).
+
+    The vocabulary is stemmed once and stored. If it may be broadcast whole, no
+    stemmer is compiled next to the token stream.
+    """
+    path = shared_dir(spark, "vocabulary")
+    stem_vocabulary(words, with_counts=True).write.mode("overwrite").parquet(path)
+    vocab = spark.read.parquet(path)
+    n = vocab.count()
+    if n <= max_broadcast_words:
+        return apply_stems(words, vocab, broadcast_vocab=True), path, n
+    # Bounded broadcast of the frequent words; the tail is stemmed in place.
+    return apply_frequent_stems(words, frequent_words(vocab, max_broadcast_words)), path, n
+
+
 def build_index(
     spark: SparkSession,
     docs: DataFrame,
@@ -75,16 +91,8 @@ def build_index(
     if input_partitions:
         docs = docs.repartition(input_partitions)
     words = with_words(docs, body, stopwords)
-    vocab_path = shared_dir(spark, "vocabulary")
-    stem_vocabulary(words, with_counts=True).write.mode("overwrite").parquet(vocab_path)
-    vocab = spark.read.parquet(vocab_path)
-    n_words = vocab.count()
-    small = n_words <= max_broadcast_words
-    if small:
-        terms = apply_stems(words, vocab, broadcast_vocab=True)
-    else:
-        # Bounded broadcast of the frequent words; the tail is stemmed in place.
-        terms = apply_frequent_stems(words, frequent_words(vocab, max_broadcast_words))
+    terms, vocab_path, n_words = attach_stems(spark, words, max_broadcast_words)
+    vocab, small = spark.read.parquet(vocab_path), n_words <= max_broadcast_words
     postings = build_postings(terms)
     write_index(postings, path, num_files=num_files)
     write_vocabulary(vocab.select("word", "stem"), path)
