@@ -15,11 +15,14 @@ expanded inside a group:
    leader within the distance is confirmed on full sets. Confirmed links give
    first components.
 2. Members of a key that are still in different components are compared by
-   signature, tile by tile; every pair within the distance is confirmed too.
+   signature, tile by tile; those within the distance form clusters (each
+   member gives one row, not one per pair).
+3. Inside a cluster all pairs of different components are decided on full sets,
+   tile by tile, and links that connect them are kept.
 
 A link is therefore confirmed, or its ends are already connected: components are
 those of all links. Keys, minima and links are aggregated and joined by Spark;
-a key's members are compared in tiles of at most ``TILE``.
+members are compared in tiles of at most ``TILE``.
 
 Defined cases: null text or text without words has an empty set, is linked with
 nothing and is its own component; null ids take no part; ids are taken as
@@ -140,7 +143,7 @@ def _keys(reps: DataFrame) -> DataFrame:
         sig = np.frombuffer(b"".join(s), np.uint16).reshape(-1, SYMBOLS)
         return pd.Series(list(chunk_keys(sig).view(np.int64)))
 
-    return reps.select(F.explode(keys("sig")).alias("key"), F.col("rep").alias("doc"))
+    return reps.select(F.posexplode(keys("sig")).alias("number", "key"), F.col("rep").alias("doc"))
 
 
 def _distance(left: str, right: str) -> Column:
@@ -175,25 +178,63 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(linked("a", "ta", "tb")).select("a", "b")
 
 
-def _cross_pairs(members: DataFrame, per_group: int = 50_000) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that share a key and are within DISTANCE by signature."""
-    spread = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    m = members.join(spread.select("key", "n"), "key")
-    # A key with more than TILE members is cut into parts; every two parts meet in a tile.
-    parts = F.ceil(F.col("n") / TILE).cast("int")
+class _Forest:
+    """Union-find over small integers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def first_keys(same: np.ndarray) -> np.ndarray:
+    """Number of the first key that two signatures share, by rows of symbol equality."""
+    wrong = (~same).reshape(len(same), CHUNKS, _PER_CHUNK)
+    errors = wrong.sum(axis=2)
+    chunk = (errors <= 1).argmax(axis=1)
+    rows = np.arange(len(same))
+    return chunk * _PER_CHUNK + np.where(errors[rows, chunk] == 1, wrong[rows, chunk].argmax(axis=1), 0)
+
+
+def _tiles(members: DataFrame, key: str, size: int) -> DataFrame:
+    """``members`` with ``tile``, ``own``, ``mixed``: the members of a key dealt to parts, every two of which meet in a tile.
+
+    Needs the member count ``n`` of the key; a key of up to ``size`` members is one tile.
+    """
+    parts = F.ceil(F.col("n") / size).cast("int")
     own = F.pmod(F.xxhash64("doc"), parts).cast("int")
-    m = m.withColumns({"parts": parts, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.withColumns({"t1": F.least("own", "other"), "t2": F.greatest("own", "other")})
-    m = m.withColumn("tile", F.xxhash64("key", "t1", "t2")).select("tile", "doc", "comp", "own", "t1", "t2", "sig")
+    m = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return m.withColumns({"tile": F.xxhash64(key, low, high), "mixed": low != high}).drop("other", "n")
+
+
+def _close(members: DataFrame, per_group: int = 50_000) -> DataFrame:
+    """Links (a, b) that join all members of different components that share a key and are within DISTANCE by signature.
+
+    Every close pair is looked at under the first key it shares; a group of
+    tiles gives each member one link to the smallest member it reaches.
+    """
+    spread = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+    m = _tiles(members.join(spread.select("key", "n"), "key"), "key", TILE)
+    m = m.select("tile", "number", "doc", "comp", "own", "mixed", "sig")
     groups = max(1, -(-m.count() // per_group))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tile", "own", "doc"], kind="stable")
-        tile, doc, comp, own = (pdf[c].to_numpy() for c in ("tile", "doc", "comp", "own"))
-        mixed = (pdf["t1"] != pdf["t2"]).to_numpy()
+        pdf = pdf.sort_values(["tile", "doc"], kind="stable")
+        tile, doc, comp, own, mixed, number = (pdf[c].to_numpy() for c in ("tile", "doc", "comp", "own", "mixed", "number"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, SYMBOLS)
+        names, at = np.unique(doc, return_inverse=True)
+        forest, touched = _Forest(len(names)), np.zeros(len(names), bool)
         cuts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
-        found = []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             for i in range(lo, hi - 1):
                 ok = comp[i + 1 : hi] != comp[i]
@@ -201,16 +242,69 @@ def _cross_pairs(members: DataFrame, per_group: int = 50_000) -> DataFrame:
                     ok &= own[i + 1 : hi] != own[i]
                 j = np.flatnonzero(ok) + i + 1
                 if len(j):
-                    j = j[(sig[j] != sig[i]).sum(axis=1) <= DISTANCE]
-                    found.append(np.stack([np.full(len(j), doc[i]), doc[j]]))
-        pairs = np.hstack(found) if found else np.empty((2, 0), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+                    same = sig[j] == sig[i]
+                    near = SYMBOLS - same.sum(axis=1) <= DISTANCE
+                    j, same = j[near], same[near]
+                if len(j):
+                    j = j[first_keys(same) == number[i]]
+                for k in j.tolist():
+                    forest.join(int(at[i]), int(at[k]))
+                    touched[at[i]] = touched[at[k]] = True
+        found = [(names[forest.root(x)], names[x]) for x in np.flatnonzero(touched).tolist()]
+        return pd.DataFrame(found, columns=["a", "b"])
 
     grouped = m.withColumn("g", F.pmod("tile", F.lit(groups)).cast("int")).groupBy("g")
     return grouped.applyInPandas(compare, "a long, b long").distinct()
 
 
+def confirmed(sets: list[np.ndarray], comp: list[int], own: list[int] | None) -> list[tuple[int, int]]:
+    """Pairs of set numbers that, with the given components, connect all that are similar enough; no pair that others connect.
+
+    ``own``: part of every set, where only sets of different parts are compared.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    who = np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    cuts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1], True])
+    both = np.zeros((n, n), np.int32)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b - a > 1:
+            both[np.ix_(who[a:b], who[a:b])] += 1
+    good = (both > 0) & (OF * both >= SIMILAR * (size[:, None] + size[None, :] - both))
+    forest, first = _Forest(n), {}
+    for i, c in enumerate(comp):
+        forest.join(first.setdefault(c, i), i)
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(good, 1))):
+        if (own is None or own[i] != own[j]) and forest.join(int(i), int(j)):
+            out.append((int(i), int(j)))
+    return out
+
+
+def _confirm_clusters(clusters: DataFrame, comps: DataFrame, texts: DataFrame, per_group: int = 4 * TILE) -> DataFrame:
+    """Confirmed links (a, b) between different components inside clusters (doc, cluster), on full sets, tile by tile."""
+    counts = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    m = clusters.join(counts, "cluster").join(comps.withColumnRenamed("id", "doc"), "doc", "left")
+    m = m.withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    m = _tiles(m, "cluster", TILE // 2).join(texts, "doc")
+    groups = max(1, -(-clusters.count() // per_group))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, found = zstandard.ZstdDecompressor(), []
+        for _, part in pdf.groupby("tile"):
+            if part["comp"].nunique() > 1:
+                sets = [text_shingles(z.decompress(t)) for t in part["packed"]]
+                own = part["own"].tolist() if part["mixed"].iat[0] else None
+                doc = part["doc"].tolist()
+                found += [(doc[i], doc[j]) for i, j in confirmed(sets, part["comp"].tolist(), own)]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return m.withColumn("g", F.pmod("tile", F.lit(groups)).cast("int")).groupBy("g").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -240,10 +334,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = _stored(_confirm(first, texts), "first-links")
     comps = components(links)
-    placed = members.select("key", "doc").join(comps.withColumnRenamed("id", "doc"), "doc", "left")
-    placed = placed.select("key", "doc", F.coalesce("component", "doc").alias("comp")).join(sigs, "doc")
-    second = _stored(_cross_pairs(placed), "second-pairs")
-    more = _confirm(second, texts)
+    placed = members.select("key", "number", "doc").join(comps.withColumnRenamed("id", "doc"), "doc", "left")
+    placed = placed.select("key", "number", "doc", F.coalesce("component", "doc").alias("comp")).join(sigs, "doc")
+    reach = components(_stored(_close(placed), "close"))
+    clusters = reach.unionByName(reach.select(F.col("component").alias("id"), "component").distinct())
+    clusters = clusters.select(F.col("id").alias("doc"), F.col("component").alias("cluster"))
+    more = _stored(_confirm_clusters(clusters, comps, texts), "second-links")
     comps = components(links.unionByName(more))
 
     classes = reps.select("h1", "h2", "n_shingles", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")

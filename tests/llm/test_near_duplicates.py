@@ -86,6 +86,36 @@ def test_multi_index_guarantee():
         assert (ka == kb).any()
 
 
+def test_first_shared_key():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = rng.integers(0, 65536, N.SYMBOLS).astype(np.uint16)
+        b = a.copy()
+        at = rng.choice(N.SYMBOLS, int(rng.integers(0, N.DISTANCE + 1)), replace=False)
+        b[at] ^= 1
+        ka, kb = N.chunk_keys(np.stack([a, b]))
+        assert N.first_keys((a == b)[None])[0] == np.flatnonzero(ka == kb)[0]
+
+
+def test_confirmed_links():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(40)]
+    comp = rng.integers(0, 25, 40).tolist()
+    got = N.confirmed(sets, comp, None)
+    assert all(N.similar(sets[i], sets[j]) for i, j in got) and len(got) < 40
+    root = {i: comp.index(c) for i, c in enumerate(comp)}
+
+    def find(links):
+        up = dict(root)
+        for _ in range(40):
+            for i, j in [*links, *root.items()]:
+                up[i] = up[j] = min(up[i], up[j])
+        return up
+
+    every = [(i, j) for j in range(40) for i in range(j) if N.similar(sets[i], sets[j])]
+    assert find(got) == find(every)
+
+
 def test_keep_one_each_and_empty(frame):
     df = frame([(3, "a b c d e f"), (1, "a b c d e f"), (2, None), (4, ""), (None, "a b c d e f")])
     assert sorted((r["doc_id"] or 0) for r in N.keep_one_each(df).collect()) == [0, 1, 2, 4]
