@@ -8,8 +8,8 @@ from .common import ship_package
 from .decontamination import op6_decontamination
 from .language_id import op5_language_id
 from .mixing import OP10_SQL, op10_mix_sources
-from .near_duplicates import op8_near_duplicates
-from .repeated_windows import op4_repeated_windows
+from .near_duplicates import OP8_SQL, op8_near_duplicates
+from .repeated_windows import OP4_SQL, op4_repeated_windows
 from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
@@ -41,5 +41,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_repeated_windows": OP4_SQL,
+    "op8_near_duplicates": OP8_SQL,
     "op10_mix_sources": OP10_SQL,
 }

@@ -151,3 +151,18 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def op4_repeated_windows(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_windows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+windows AS (
+  SELECT doc_id, p AS k, string_agg(word, ' ') OVER o AS text_, count(*) OVER o AS n FROM words
+  WINDOW o AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+ranked AS (SELECT doc_id, k, row_number() OVER (PARTITION BY text_ ORDER BY doc_id, k) AS nth FROM windows WHERE n = 20),
+gone AS (SELECT DISTINCT doc_id, k + o AS p FROM ranked, (SELECT unnest(range(0, 20)) AS o) WHERE nth > 1),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id::BIGINT AS doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
