@@ -148,15 +148,16 @@ def write_clean_corpus(docs: DataFrame, path: str) -> None:
     docs.select(seg.alias("value")).write.mode("overwrite").text(path)
 
 
-def with_line_numbers(lines: DataFrame, start: int = 1) -> DataFrame:
-    """Add ``line_no``, consecutive from ``start`` over files in path order, without a global sort.
-
-    ``lines`` is a file scan (filters and projections allowed). The lines of a
-    piece of a file are read in order by one task and get increasing ids; the
-    pieces (one row each) are numbered by path and offset, joined back.
+def with_line_numbers(lines: DataFrame, start: int = 1, piece: Column | None = None) -> DataFrame:
+    """Add ``line_no``, consecutive from ``start``, without a global sort.
+
+    Rows of a ``piece`` are read in order by one task and get increasing ids;
+    the pieces (one row each) are numbered in their order and joined back. The
+    default piece is the partition; a file scan passes path and offset
+    (``file_piece``), so files are numbered in path order, however Spark packs
+    them into tasks.
     """
-    piece = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    tagged = lines.withColumn("_piece", piece).withColumn("_mid", F.monotonically_increasing_id())
+    tagged = lines.withColumn("_piece", F.spark_partition_id() if piece is None else piece).withColumn("_mid", F.monotonically_increasing_id())
     counts = tagged.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
@@ -167,7 +168,12 @@ def with_line_numbers(lines: DataFrame, start: int = 1) -> DataFrame:
     )
 
 
+def file_piece() -> Column:
+    """Path and offset of the piece of a file that a row of a file scan comes from."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+
+
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, query): one phrase per line, numbered from 1 over files in path order; blank lines skipped unnumbered."""
     lines = spark.read.text(path).where(F.trim(F.col("value")) != "")
-    return with_line_numbers(lines).select(F.col("line_no").alias("query_id"), F.col("value").alias("query"))
+    return with_line_numbers(lines, piece=file_piece()).select(F.col("line_no").alias("query_id"), F.col("value").alias("query"))

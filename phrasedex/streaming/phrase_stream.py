@@ -11,27 +11,20 @@ in the shared checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from phrasedex.plans.search import search_batch
+from phrasedex.sources.corpus import with_line_numbers
 
 BATCH_SPAN = 2**32
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    """Lines with ``line_no`` from 1 by file path and offset in the file; one row per piece of a file is ranked."""
-    tagged = lines.withColumn("_mid", F.monotonically_increasing_id())
-    counts = tagged.groupBy("file", "at").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    before = F.sum("_n").over(Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("file", "at", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    return tagged.join(offsets, ["file", "at"]).withColumn("line_no", F.col("_before") + F.col("_mid") - F.col("_first") + 1)
-
-
 def _answer(spark: SparkSession, index_path: str, out_path: str):
     def handle(batch: DataFrame, batch_id: int) -> None:
-        numbered = _numbered(batch.where(F.trim(F.col("value")) != "")).select(
+        lines = batch.where(F.trim(F.col("value")) != "")
+        numbered = with_line_numbers(lines, piece=F.struct("file", "at")).select(
             (F.lit(batch_id) * BATCH_SPAN + F.col("line_no")).cast("bigint").alias("query_id"),
             F.col("value").alias("query"),
             F.col("file"),
