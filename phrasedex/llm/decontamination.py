@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from phrasedex.session import shared_dir
 
-from .common import table, utf8
+from .common import release, table, utf8
 from .rolling import U, batches, joined_words, mix, separators
 
 WINDOW, SUBSTITUTIONS, SHORT = 15, 3, 8
@@ -138,6 +138,7 @@ def _regions(docs: DataFrame, bloom, short_items: bool) -> DataFrame:
                 cols = list(zip(*out))
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start", "tokens", "hits"])
+        release()
 
     return docs.mapInArrow(run, schema)
 

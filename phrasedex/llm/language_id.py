@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import release, table, utf8
 
 MAX_ORDER = 4
 DOCS_PER_LANG = 200
@@ -259,6 +259,7 @@ def language_column(spark, model: PpmModel | None, text: Column) -> Column:
                 score[at] = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
                 per_byte[at] = low / [len(r) for r in raw]
             yield pd.DataFrame({"lang_pred": lang, "score": score, "bits_per_byte": per_byte})
+        release()
 
     return predict(text.cast("string"))
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from phrasedex.session import shared_dir
 
-from .common import table, utf8
+from .common import release, table, utf8
 from .components import components
 from .rolling import U, batches, joined_words, mix, windows
 
@@ -127,6 +127,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     ],
                     ["doc_id", "n_shingles", "h1", "h2", "sig"],
                 )
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 

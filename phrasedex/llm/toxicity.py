@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 
 LENGTH, DECAY = 3, 0.6
 LANDMARKS, NEUTRAL, ALIKE = 64, 16, 0.8
@@ -395,6 +395,9 @@ def toxicity_column(spark, model: ToxicityModel | None, text: Column) -> Column:
         m = shared.value
         for s in batches:
             yield pd.Series(np.zeros(len(s)) if m is None else m.probability(m.text_values(s.tolist())))
+        if m is not None:
+            m.known.clear()
+        release()
 
     return score(text.cast("string"))
 
