@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phrasedex.session import shared_dir
+
 #: A word of a text: a run of bytes other than space, tab, LF, VT, FF, CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -23,6 +25,17 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Column of a row's own key, see ``with_row_key``.
+ROW_KEY = "__row_key"
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, stored, with a key of every row in ``ROW_KEY``; stored, because the keys depend on how the rows were read."""
+    path = shared_dir(docs.sparkSession, name)
+    docs.withColumn(ROW_KEY, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size of ``df`` in bytes, from file sizes; used for sizing only, never for results.
 

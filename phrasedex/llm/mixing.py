@@ -27,17 +27,17 @@ from pyspark.sql import functions as F
 
 from phrasedex.session import shared_dir
 
-from .common import WORD_PATTERN, table
+from .common import ROW_KEY, WORD_PATTERN, table, with_row_key
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SALTS = 64
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, cls, salt) of every document; text is read once."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, ``extra``, cls, salt) of every document; text is read once."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *extra)
     # Size class: the number of binary digits and the leading three of them.
     shift = F.greatest(F.length(F.bin("size")) - 3, F.lit(0))
     cls = shift * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")
@@ -72,13 +72,8 @@ def source_targets(cells: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return s.withColumn("level", level).select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) per document; ``taken = copies * size``, copies <= cap."""
-    spark = docs.sparkSession
-    path = shared_dir(spark, "mix-sizes")
-    sized(docs, id_col, text_col, source_col).write.parquet(path)
-    rows = spark.read.parquet(path)
+def _copies(rows: DataFrame, weights: tuple[int, ...], cap: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Stored rows of ``sized`` with source_size, target and copies; ``ties`` order rows of equal size and id."""
     cells = rows.groupBy("source", "cls", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     targets = source_targets(cells, weights, cap)
     prior = F.coalesce(
@@ -90,7 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = cells.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).select(
         F.col("source").alias("c_source"), F.col("cls").alias("c_cls"), F.col("salt").alias("c_salt"), "prior", "offset", "source_size", "target", rate.alias("rate")
     )
-    rank = F.row_number().over(Window.partitionBy("source", "cls", "salt").orderBy("size", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "cls", "salt").orderBy("size", "doc_id", *ties))
     ranked = rows.withColumn("rank", rank)
     joined = ranked.join(
         cells,
@@ -99,17 +94,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     end = (F.col("prior") + F.col("rank")).cast("double") * F.col("rate") + F.col("offset")
     begin = (F.col("prior") + F.col("rank") - 1).cast("double") * F.col("rate") + F.col("offset")
     copies = (F.floor(end) - F.floor(begin)).cast("long")
-    return joined.withColumn("copies", copies).select(
+    return joined.withColumn("copies", copies)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies) per document; ``taken = copies * size``, copies <= cap."""
+    spark = docs.sparkSession
+    path = shared_dir(spark, "mix-sizes")
+    sized(docs, id_col, text_col, source_col).write.parquet(path)
+    return _copies(spark.read.parquet(path), weights, cap).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
 
 
 def emit_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with every row as often as the mix takes it. Expects unique ids (a null id is dropped)."""
-    taken = mix(docs, id_col, text_col, source_col).where("copies > 0 and size > 0").select(F.col("doc_id").alias("__mix_id"), "copies")
-    joined = docs.join(taken, F.col(id_col).cast("long") == F.col("__mix_id"))
-    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return joined.withColumn("__mix_copy", again).select(*[joined[c] for c in docs.columns])
+    """``docs`` with every row as often as the mix takes it, by a key of the row: ids may repeat or be null."""
+    spark = docs.sparkSession
+    keyed = with_row_key(docs, "mix-rows")
+    path = shared_dir(spark, "mix-sizes")
+    sized(keyed, id_col, text_col, source_col, (ROW_KEY,)).write.parquet(path)
+    copies = _copies(spark.read.parquet(path), WEIGHTS, CAP, (ROW_KEY,))
+    joined = keyed.join(copies.where("copies > 0 and size > 0").select(ROW_KEY, F.col("copies").alias("__mix_copies")), ROW_KEY)
+    again = F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))
+    return joined.withColumn("__mix_copy", again).select(*[keyed[c] for c in docs.columns])
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:

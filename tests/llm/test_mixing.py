@@ -1,3 +1,5 @@
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -54,3 +56,19 @@ def test_repeated_rows_and_emitted_copies(spark):
     assert out.columns == one.columns
     counts = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert counts == {k: v for k, v in taken.items() if v}
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(7, "a b c", "x")] * 9,
+        [(None, "a b c", "x")] * 9,
+        [(7, "a b", "x"), (7, "c d e", "x"), (7, "c d f", "y"), (None, "g", "x"), (None, "h i", None), (1, "j k l m", None), (2, None, "x"), (2, "", "y")],
+    ],
+)
+def test_emitted_rows_of_repeated_and_null_ids(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = emit_copies(df).collect()
+    assert sum(len((r["text"] or "").split()) for r in out) == sum(r["taken"] for r in mix(df).collect())
+    emitted, given = Counter(map(tuple, out)), Counter(rows)
+    assert set(emitted) <= set(given) and all(n <= 3 * given[r] for r, n in emitted.items())
