@@ -26,8 +26,9 @@ members are compared in tiles of at most ``TILE``.
 
 Defined cases: null text or text without words has an empty set, is linked with
 nothing and is its own component; null ids take no part; ids are taken as
-unique, rows that repeat an id with its text get equal results; an empty table
-gives an empty result; other columns are ignored.
+unique, rows that repeat an id with its text get equal results (``keep_one_each`` gives
+every row a key of its own instead); an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from phrasedex.session import shared_dir
 
-from .common import release, table, utf8
+from .common import ROW_KEY, release, table, utf8, with_row_key
 from .components import components
 from .rolling import U, batches, joined_words, mix, windows
 
@@ -351,9 +352,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of every component; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__copy_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__copy_id"), "left_anti")
+    """``docs`` with one row of every component, that of its smallest id; rows are compared by a key of their own, so ids may repeat.
+
+    Rows with a null id are compared too; of those in a component one stays beside the one with an id.
+    """
+    keyed = with_row_key(docs, "near-rows")
+    ids = keyed.select(F.col(ROW_KEY).alias("doc_id"), F.col(id_col).cast("long").alias("own_id"))
+    near = near_duplicates(keyed, ROW_KEY, text_col).select("doc_id", "component_id")
+    rows = _stored(near.join(ids, "doc_id").withColumn("no_id", F.col("own_id").isNull()), "row-components")
+    best = F.min(F.struct("own_id", "doc_id"))["doc_id"].alias("best")
+    repeated = rows.groupBy("component_id", "no_id").agg(F.count("*").alias("n"), best).where("n > 1").drop("n")
+    gone = rows.join(repeated, ["component_id", "no_id"]).where("doc_id != best").select(F.col("doc_id").alias(ROW_KEY))
+    return keyed.join(gone, ROW_KEY, "left_anti").drop(ROW_KEY)
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -127,6 +127,15 @@ def test_repeated_rows(frame):
     assert [(r["component_id"], r["kept"]) for r in got] == [(5, True)] * 3
 
 
+def test_one_row_of_repeated_and_null_ids(frame):
+    one, two = "a b c d e f g", "h i j k l m n"
+    rows = [(5, one), (5, one), (5, one), (5, two), (6, two), (9, one.upper()), (None, "p q r s t u"), (None, "p q r s t u"), (3, None), (3, None)]
+    got = N.keep_one_each(frame(rows))
+    assert got.columns == frame([]).columns
+    want = [(3, None), (3, None), (5, one), (5, two), (None, "p q r s t u")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("links, want", [([], {}), ([(1, 1)], {}), ([(5, 4), (4, 3), (9, 8), (3, 2), (2, 1)], {5: 1, 4: 1, 3: 1, 2: 1, 9: 8})])
 def test_components(spark, links, want):
     got = components(spark.createDataFrame(links, "a long, b long"))
