@@ -281,9 +281,11 @@ def q_single_phrase_docs(spark, sf_dir):
     path = _built(spark, sf_dir)
     phrases = _phrases(spark, sf_dir)
     item = F.floor(F.col("query_id") / CLAUSE_ID_SPAN)
-    most = phrases.groupBy(item.alias("item")).count().where("count <= 8").orderBy(F.desc("count"), "item").first()["item"]
+    most = phrases.groupBy(item.alias("item")).count().where("count <= 8").orderBy(F.desc("count"), "item").first()
+    if most is None:
+        return search_phrase(spark, path, "").docs  # no item: no rows
     found = None
-    for r in phrases.where(item == most).collect():
+    for r in phrases.where(item == most["item"]).collect():
         docs = search_phrase(spark, path, r["query"], r["query_id"]).docs
         found = docs if found is None else found.unionByName(docs)
     return found
