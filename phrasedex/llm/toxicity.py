@@ -9,7 +9,8 @@ linear support vector machine on them approximates the machine on the kernel.
 Labels are those of whole texts, of which one insult is enough. Training first
 finds families of words, by shared character runs, that are typical of toxic
 texts, and sets their members against words of clean texts, hardest first, in
-three rounds. A text's score is the highest value of its words, turned into a
+three rounds; a member that clean texts hold too counts on both sides, by its
+frequency in either. A text's score is the highest value of its words, turned into a
 probability by an isotonic fit on a third of the sample that the machine has not
 seen. Words: white-space tokens, letters only, lower-cased; letters that stand
 alone in a row are also read as one word.
@@ -308,25 +309,28 @@ def fit(texts: list[str], labels: list[int], clean_share: float) -> ToxicityMode
     if not toxic or not any(clean):
         return None
     seen = Counter(w for b in clean for w in b)
-    families = [[w for w in family if w not in seen] for family in _insults(toxic, clean)]
-    typical = {w for family in families for w in family}
-    neutral = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4][:NEUTRAL]
     often = Counter(w for b in toxic for w in b)
+    # Share of a word's evidence that is toxic, by its frequency in either kind of text.
+    part = lambda w: often[w] / (often[w] + seen[w] * len(toxic) / len(clean))
+    families = _insults(toxic, clean)
+    typical = {w: part(w) for family in families for w in family}
+    families = [[w for w in family if typical[w] >= 0.5] for family in families]
+    neutral = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4][:NEUTRAL]
     ranked = [w for k in range(MEMBERS) for family in families for w in family[k : k + 1]]
     if not ranked:  # too few texts to tell: the words that only toxic texts hold
         ranked = sorted((w for w in often if w not in seen), key=lambda w: (-often[w], w))[:LANDMARKS] or sorted(often)[:LANDMARKS]
-        typical = set(ranked)
+        typical = {w: part(w) for w in ranked}
     picked = _spread_out(ranked, LANDMARKS)
     model = ToxicityModel(picked + [w for w in neutral if w not in picked])
-    witness = [w for b in toxic for w in b if w in typical]
+    witness, n = zip(*((w, often[w] * v) for w, v in sorted(typical.items())))
     vocabulary = sorted(seen)
     rng = np.random.default_rng(11)
     hard = [vocabulary[i] for i in rng.choice(len(vocabulary), min(4000, len(vocabulary)), replace=False)]
     for _ in range(3):
-        words, n = np.unique(witness, return_counts=True)
-        x = model.features([*words.tolist(), *hard])
-        y = np.r_[np.ones(len(words)), -np.ones(len(hard))]
-        weight = np.r_[n / n.sum(), np.full(len(hard), 1 / len(hard))]
+        x = model.features([*witness, *hard])
+        y = np.r_[np.ones(len(witness)), -np.ones(len(hard))]
+        against = np.array([1 - typical.get(w, 0.0) for w in hard])
+        weight = np.r_[np.array(n) / sum(n), against / max(against.sum(), 1e-9)]
         model.weights, model.bias = _linear_svm(x, y, weight)
         scores = model.decide(vocabulary)
         top = np.argsort(-scores)[:2000]

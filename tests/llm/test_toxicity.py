@@ -63,3 +63,14 @@ def test_defined_cases(spark, frame):
     assert none == 0
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert X.train(frame(rows), labels) is None
+
+
+def test_insult_in_one_clean_text_stays_an_insult():
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(12))
+    rows = [(f"{text()} {'moron' if k % 2 else 'scum'}", 1) for k in range(90)] + [(text(), 0) for _ in range(210)]
+    rows[100] = (rows[100][0] + " moron", 0)
+    assert 100 % 3 != 2  # a text that the machine is fitted on
+    model = X.fit([t for t, _ in rows], [y for _, y in rows], 210 / 90)
+    moron, scum = model.decide(["moron", "scum"])
+    assert moron > 0.5 and scum > 0.5
