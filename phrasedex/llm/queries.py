@@ -6,6 +6,7 @@ from functools import wraps
 
 from .common import ship_package
 from .decontamination import op6_decontamination
+from .infill import OP11_SQL, op11_fill_in_middle
 from .language_id import op5_language_id
 from .mixing import OP10_SQL, op10_mix_sources
 from .near_duplicates import OP8_SQL, op8_near_duplicates
@@ -17,7 +18,6 @@ from .toxicity import op7_toxicity
 from .vector_search import op9_vector_search
 
 
-
 def _query(f):
     @wraps(f)
     def run(spark, sf_dir):
@@ -38,10 +38,12 @@ QUERIES = {
     "op8_near_duplicates": _query(op8_near_duplicates),
     "op9_vector_search": _query(op9_vector_search),
     "op10_mix_sources": _query(op10_mix_sources),
+    "op11_fill_in_middle": _query(op11_fill_in_middle),
 }
 
 ORACLE_SQL = {
     "op4_repeated_windows": OP4_SQL,
     "op8_near_duplicates": OP8_SQL,
     "op10_mix_sources": OP10_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
