@@ -11,6 +11,7 @@ from .language_id import op5_language_id
 from .mixing import OP10_SQL, op10_mix_sources
 from .near_duplicates import OP8_SQL, op8_near_duplicates
 from .repeated_windows import OP4_SQL, op4_repeated_windows
+from .runs import op12_periodic_runs
 from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
@@ -39,6 +40,7 @@ QUERIES = {
     "op9_vector_search": _query(op9_vector_search),
     "op10_mix_sources": _query(op10_mix_sources),
     "op11_fill_in_middle": _query(op11_fill_in_middle),
+    "op12_periodic_runs": _query(op12_periodic_runs),
 }
 
 ORACLE_SQL = {
