@@ -10,6 +10,7 @@ from .infill import OP11_SQL, op11_fill_in_middle
 from .language_id import op5_language_id
 from .mixing import OP10_SQL, op10_mix_sources
 from .near_duplicates import OP8_SQL, op8_near_duplicates
+from .page_text import op13_page_text
 from .repeated_windows import OP4_SQL, op4_repeated_windows
 from .runs import op12_periodic_runs
 from .suffix_dedup import op1_suffix_dedup
@@ -41,6 +42,7 @@ QUERIES = {
     "op10_mix_sources": _query(op10_mix_sources),
     "op11_fill_in_middle": _query(op11_fill_in_middle),
     "op12_periodic_runs": _query(op12_periodic_runs),
+    "op13_page_text": _query(op13_page_text),
 }
 
 ORACLE_SQL = {
