@@ -164,7 +164,11 @@ def _intervals(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept) per document: spans of removed bytes, kept the other bytes joined."""
+    """(doc_id, n_bytes, n_removed, spans, kept, n_shared) per document: spans of removed bytes, kept the other bytes joined.
+
+    ``n_shared``: the document's runs whose named gram other runs name too. Above 0, with nothing removed, they
+    hold a passage that recurs but is shorter than ``length``.
+    """
     blocks = Blocks(docs, id_col, text_col)
     packed, helper = blocks.packed, blocks.detached()
     shards = parts_for(plan_bytes(docs), SHARD_BYTES, helper.count)
@@ -251,12 +255,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         return pd.DataFrame(out, columns=["block", "doc", "first", "end"])
 
     def remove(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
+        columns = ["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_shared"]
         if not len(pdf):
             return pd.DataFrame({c: [] for c in columns})
         ids, texts = helper.texts(pdf)
         runs = _Runs(texts, length, gram)
         repeats, _, many = told(runs, answers)
+        shared = np.bincount(runs.doc[repeats].astype(np.int64), minlength=len(ids))
         chosen = np.flatnonzero(repeats & ~many)
         found, _, back, _ = runs.contexts(chosen)
         covered = chosen[helper.answered(answers, EQUAL, found["h"])[back]]
@@ -280,7 +285,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     merged.append([a, b])
             edges = [0, *(x for m in merged for x in m), len(t)]
             kept = b"".join(t[a:b] for a, b in zip(edges[0::2], edges[1::2]))
-            out.append((None if doc_id == NO_ID else doc_id, len(t), len(t) - len(kept), [{"first": a, "end": b} for a, b in merged], kept))
+            out.append((None if doc_id == NO_ID else doc_id, len(t), len(t) - len(kept), [{"first": a, "end": b} for a, b in merged], kept, int(shared[i])))
         frame = pd.DataFrame(out, columns=columns)
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
@@ -298,7 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     found = found.select("block", none.cast("int").alias("bucket"), F.lit(-1).alias("step"), none.cast("binary").alias("bits"), F.col("doc").alias("block_doc"), "first", "end")
     told_all = answers.withColumns({"block_doc": none.cast("int"), "first": none.cast("long"), "end": none.cast("long")})
     everything = told_all.unionByName(found).repartition(n, "block")
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<first: long, end: long>>, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<first: long, end: long>>, kept binary, n_shared long"
     return packed.groupBy("block").cogroup(everything.groupBy("block")).applyInPandas(remove, schema)
 
 
@@ -310,4 +315,6 @@ def _back(order: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared"
+    )

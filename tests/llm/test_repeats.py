@@ -80,6 +80,18 @@ def test_bytes_equal_brute_force(frame, small_docs, odd_rows, hot):
     assert bytes_got(remove_repeats(frame(rows), hot=hot)) == brute_bytes(rows, LENGTH)
 
 
+def test_shared_runs(frame):
+    """A passage shorter than the removed length shows in n_shared; documents without a common string of a gram do not."""
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, copy = some(330), some(600)
+    rows = [(k, some(900)) for k in range(30)] + [(100 + k, some(rng.randrange(600)) + passage + some(600)) for k in range(30)]
+    rows += [(200, copy), (201, copy), (202, None), (203, some(300))]
+    got = {r["doc_id"]: (r["n_removed"], r["n_shared"]) for r in remove_repeats(frame(rows)).collect()}
+    assert all(got[k] == (0, 0) for k in (*range(30), 202, 203)) and all(got[k][0] == 600 and got[k][1] > 0 for k in (200, 201))
+    assert all(got[100 + k][0] == 0 for k in range(30)) and sum(got[100 + k][1] > 0 for k in range(30)) >= 27
+
+
 def test_long_text_is_cut_with_overlap(frame, monkeypatch):
     from phrasedex.llm import suffix_dedup
 
