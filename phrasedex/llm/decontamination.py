@@ -3,8 +3,9 @@
 Tokens are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased.
 A document is contaminated by a benchmark item if, in some alignment, ``WINDOW``
 consecutive tokens of both agree but for at most ``SUBSTITUTIONS``; an item of
-``SHORT`` to WINDOW - 1 tokens must be there whole but for one token. Shorter
-items are no evidence and match nothing.
+``SHORT`` to WINDOW - 1 tokens must be there whole but for one token, one of
+``LEAST`` to SHORT - 1 tokens whole. Items of one to three tokens are words that any
+text may hold; they are no evidence and match nothing.
 
 Every mask names the positions that count; the others are ignored. Together the
 three masks leave at least one hit in every window with three substitutions (all
@@ -15,8 +16,10 @@ more through, never less). What passes is joined with the seeds; each alignment
 that a shared seed names is verified on the token hashes around it.
 
 Defined cases: null or empty texts, of either table, match nothing; rows that
-repeat an id are separate rows (equal pairs are reported once); empty tables give
-an empty result; other columns are ignored.
+repeat an id are separate rows (equal pairs are reported once); a null id is
+reported as any other; ``remove_contaminated`` decides by the text alone, so null and
+repeated ids are judged by their own texts; empty tables give an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from phrasedex.session import shared_dir
 from .common import release, table, utf8
 from .rolling import U, batches, joined_words, mix, separators
 
-WINDOW, SUBSTITUTIONS, SHORT = 15, 3, 8
+WINDOW, SUBSTITUTIONS, SHORT, LEAST = 15, 3, 8, 4
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10))
 SHORT_MASK = (0, 1, 2, 3)
 FILTER_BITS = 1 << 29
@@ -59,7 +62,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
             for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t = np.frombuffer(raw, np.uint64)
                 masks = [(SHORT_MASK, len(MASKS))] if len(t) < WINDOW else [(m, i) for i, m in enumerate(MASKS)]
-                for mask, number in masks if len(t) >= SHORT else []:
+                for mask, number in masks if len(t) >= LEAST else []:
                     h = seeds(t, mask, number)
                     hashes.append(h.view(np.int64))
                     offsets.append(np.arange(len(h)))
@@ -149,8 +152,9 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     ``diagonal``: position in ``doc`` of the item's first token.
     """
     lo, hi = max(0, diagonal), min(len(doc), diagonal + len(item))
-    need, window = (WINDOW - SUBSTITUTIONS, WINDOW) if len(item) >= WINDOW else (len(item) - 1, len(item))
-    if hi - lo < window or len(item) < SHORT:
+    window = min(WINDOW, len(item))
+    need = window - (SUBSTITUTIONS if window == WINDOW else 1 if window >= SHORT else 0)
+    if hi - lo < window or window < LEAST:
         return 0, -1
     same = np.r_[0, np.cumsum(doc[lo:hi] == item[lo - diagonal : hi - diagonal])]
     sums = same[window:] - same[:-window]
@@ -167,7 +171,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = spark.read.parquet(path)
     item_seeds = _item_seeds(items)
     bloom = spark.sparkContext.broadcast(_bloom(item_seeds))
-    short_items = items.where(F.octet_length("tokens").between(8 * SHORT, 8 * (WINDOW - 1))).limit(1).count() > 0
+    short_items = items.where(F.octet_length("tokens").between(8 * LEAST, 8 * (WINDOW - 1))).limit(1).count() > 0
     path = shared_dir(spark, "seed-regions")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     _regions(source, bloom, short_items).withColumn("region", F.xxhash64("doc_id", "start", "tokens")).write.parquet(path)
@@ -190,9 +194,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated documents; rows with a null id stay."""
-    bad = find_overlaps(docs.where(F.col(id_col).isNotNull()), benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad_id"), "left_anti")
+    """``docs`` without the contaminated documents, by their texts: equal texts share a verdict, whatever their ids."""
+    # Empty texts match nothing; without a hash they meet no other row.
+    key = F.when(F.octet_length(F.col(text_col).cast("string")) > 0, F.xxhash64(F.col(text_col).cast("string")))
+    texts = docs.select(key.alias("text_hash"), F.col(text_col).alias("text")).where("text_hash is not null")
+    bad = find_overlaps(texts, benchmark, "text_hash", "text").select(F.col("doc_id").alias("__bad_text")).distinct()
+    return docs.join(bad, key == F.col("__bad_text"), "left_anti")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

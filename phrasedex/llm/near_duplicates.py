@@ -24,11 +24,14 @@ A link is therefore confirmed, or its ends are already connected: components are
 those of all links. Keys, minima and links are aggregated and joined by Spark;
 members are compared in tiles of at most ``TILE``.
 
+Classes go by numbers of their own, so ids may repeat (with the same or other
+texts) or be null; texts of classes are found by id and text hash.
+
 Defined cases: null text or text without words has an empty set, is linked with
-nothing and is its own component; null ids take no part; ids are taken as
-unique, rows that repeat an id with its text get equal results (``keep_one_each`` gives
-every row a key of its own instead); an empty table gives an empty result; other
-columns are ignored.
+nothing and is its own component; every row is returned, rows that repeat an id
+are compared by their own texts; a null id is never the smallest: a component of
+null ids only has a null ``component_id``, and ``kept`` compares null-safe; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,7 +102,7 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig): h1, h2 name the set, sig is null for the empty set."""
+    """(doc_id, text_hash, n_shingles, h1, h2, sig) from (doc_id, text, text_hash): h1, h2 name the set, sig is null for the empty set."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -121,16 +124,17 @@ def _signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo),
+                        b.column(2).slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(names[0].view(np.int64)),
                         pa.array(names[1].view(np.int64)),
                         pa.array(sig, pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "h1", "h2", "sig"],
+                    ["doc_id", "text_hash", "n_shingles", "h1", "h2", "sig"],
                 )
         release()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -309,10 +313,16 @@ def _confirm_clusters(clusters: DataFrame, comps: DataFrame, texts: DataFrame, p
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = source.withColumn("text_hash", F.xxhash64("text"))
     signed = _stored(_signed(source), "signatures")
     by_set = signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles")
-    reps = _stored(by_set.agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
+    # One row of each class stands for it; ``rep`` numbers the classes.
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("lead")
+    reps = by_set.agg(lead, F.min("sig").alias("sig")).select(
+        "h1", "h2", "n_shingles", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"), "sig"
+    )
+    reps = _stored(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     keys = _keys(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("leader")).where("n > 1")
@@ -330,9 +340,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         z = zstandard.ZstdCompressor(level=1)
         return pd.Series([z.compress(utf8(t)) for t in s])
 
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    texts = source.select("doc_id", pack("text").alias("packed")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = _stored(texts.withColumnRenamed("doc_id", "doc"), "candidate-texts")
+    wanted = members.select("doc").distinct().join(reps.select(F.col("rep").alias("doc"), F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")), "doc")
+    # Rows without an id are found by their text alone.
+    own = F.coalesce("doc_id", F.lit(0)).alias("at_id")
+    texts = source.select(own, F.col("doc_id").isNull().alias("no_id"), "text_hash", pack("text").alias("packed"))
+    wanted = wanted.select("doc", F.coalesce("w_id", F.lit(0)).alias("at_id"), F.col("w_id").isNull().alias("no_id"), F.col("w_hash").alias("text_hash"))
+    texts = texts.join(wanted, ["at_id", "no_id", "text_hash"]).dropDuplicates(["doc"]).select("doc", "packed")
+    texts = _stored(texts, "candidate-texts")
 
     links = _stored(_confirm(first, texts), "first-links")
     comps = components(links)
@@ -344,26 +358,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _stored(_confirm_clusters(clusters, comps, texts), "second-links")
     comps = components(links.unionByName(more))
 
-    classes = reps.select("h1", "h2", "n_shingles", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("class_component"))
+    classes = reps.select("h1", "h2", "n_shingles", "rep", "doc_id").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = _stored(classes.select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"), "doc_id"), "class-components")
+    # The class's row has its smallest id, if it has any.
+    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = classes.drop("doc_id").join(least, "component").drop("component")
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
-    component = F.coalesce("class_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of every component, that of its smallest id; rows are compared by a key of their own, so ids may repeat.
+    """``docs`` with one row of every component, that of its smallest id; rows are compared by a key of their own.
 
-    Rows with a null id are compared too; of those in a component one stays beside the one with an id.
+    Of rows that repeat this id the first is kept, and a row without an id only where its component has none with one.
     """
     keyed = with_row_key(docs, "near-rows")
     ids = keyed.select(F.col(ROW_KEY).alias("doc_id"), F.col(id_col).cast("long").alias("own_id"))
     near = near_duplicates(keyed, ROW_KEY, text_col).select("doc_id", "component_id")
-    rows = _stored(near.join(ids, "doc_id").withColumn("no_id", F.col("own_id").isNull()), "row-components")
-    best = F.min(F.struct("own_id", "doc_id"))["doc_id"].alias("best")
-    repeated = rows.groupBy("component_id", "no_id").agg(F.count("*").alias("n"), best).where("n > 1").drop("n")
-    gone = rows.join(repeated, ["component_id", "no_id"]).where("doc_id != best").select(F.col("doc_id").alias(ROW_KEY))
-    return keyed.join(gone, ROW_KEY, "left_anti").drop(ROW_KEY)
+    # One row per component, combined before the shuffle; documents meet it by their row keys, which differ.
+    best = F.min(F.struct(F.col("own_id").isNull(), "own_id", "doc_id"))["doc_id"].alias(ROW_KEY)
+    kept = near.join(ids, "doc_id").groupBy("component_id").agg(best).select(ROW_KEY)
+    return keyed.join(kept, ROW_KEY, "left_semi").drop(ROW_KEY)
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:

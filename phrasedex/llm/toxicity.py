@@ -156,14 +156,15 @@ class ToxicityModel:
 
     def _sums(self, words: list[str], values: np.ndarray) -> np.ndarray:
         """Per word the sum over its subsequences of weight times ``values`` (one row per known subsequence), over its norm."""
-        out = np.zeros((len(words), values.shape[1]), np.float32)
+        out = np.zeros((len(words), values.shape[1]), values.dtype)
         for at, c in by_length(words, (1 << 20) // values.shape[1]):
             if c.shape[1] < LENGTH:
                 continue
             weight = triples(c.shape[1])[3]
             rows = self.row[self._triple_codes(c)]
             if values.shape[1] == 1:
-                found = (values[rows, 0] @ weight)[:, None]
+                # Summed row by row in double precision, so a word's value does not depend on the words beside it.
+                found = (values[rows, 0] * weight.astype(np.float64)).sum(axis=1)[:, None]
             else:
                 found = np.einsum("btz,t->bz", values[rows], weight)
             out[at] = found / np.sqrt(self_kernel(c))[:, None]
@@ -178,7 +179,8 @@ class ToxicityModel:
 
     def decide(self, words: list[str]) -> np.ndarray:
         """Decision values, by folding the machine's weights into one value per subsequence."""
-        return self._sums(words, self.table @ (self.project @ self.weights)[:, None])[:, 0].astype(np.float64) + self.bias
+        folded = (self.table @ (self.project @ self.weights)[:, None]).astype(np.float64)
+        return np.round(self._sums(words, folded)[:, 0] + self.bias, 9)
 
     def learn(self, words: set[str]) -> None:
         """Scores of words as written, into the bounded table."""

@@ -19,8 +19,9 @@ than ``TILE`` is split into parts, and so are its queries, so a task holds one
 tile of each however many rows share a list.
 
 Defined cases: vectors that are null, empty, all zero, or hold a null or
-non-finite component take no part, nor do those whose length is not the most
-common one (the longer of two); rows that repeat an id count as separate
+non-finite component take no part; inner products are between vectors of one
+length, so each length is searched by itself, one after another (tables have few);
+rows that repeat an id count as separate
 candidates; with fewer than k candidates all are returned; no queries or an
 empty table give an empty result; other columns are ignored.
 """
@@ -51,8 +52,6 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
     v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
-    common = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    v = v.where(F.size("embedding") == (common["d"] if common else -1))
     plus_zero = F.transform("embedding", lambda x: x + F.lit(0.0))
     return v.withColumns({"h1": F.xxhash64(plus_zero), "h2": F.xxhash64(F.lit(1), plus_zero)})
 
@@ -177,11 +176,19 @@ def search(vectors: DataFrame, query_condition: Column, k: int = 20, id_col: str
     path = shared_dir(spark, "vectors")
     usable(vectors, id_col, vec_col).write.parquet(path)
     v = spark.read.parquet(path)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    head = v.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
-    if not head["n"]:
-        return empty
-
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    size = F.size("embedding")
+    norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    lengths = v.groupBy(size.alias("d")).agg(F.count("*").alias("n"), F.max(norm2).alias("m")).where("n > 1").orderBy("d").collect()
+    for r in lengths:
+        near = _search_length(v.where(size == r["d"]), query_condition, k, float(r["m"]))
+        found = near if r is lengths[0] else found.unionByName(near)
+    return found
+
+
+def _search_length(v: DataFrame, query_condition: Column, k: int, top_norm2: float) -> DataFrame:
+    """``search`` over stored usable vectors of one length."""
+    spark = v.sparkSession
     by_class = Window.partitionBy("h1", "h2").orderBy("vec_id")
     few = v.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k + 1)
     classes = few.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("embedding", "vec_id").alias("embedding"))
@@ -192,7 +199,7 @@ def search(vectors: DataFrame, query_condition: Column, k: int = 20, id_col: str
     classes = spark.read.parquet(path)
     n = classes.count()
     picked = classes.orderBy("h1", "h2").limit(min(MAX_SAMPLE, max(512, 16 * int(np.sqrt(n))))).select("embedding", "cid").toPandas()
-    index = Index(_matrix(picked["embedding"]), picked["cid"].to_numpy(), float(head["m"]), n, k)
+    index = Index(_matrix(picked["embedding"]), picked["cid"].to_numpy(), top_norm2, n, k)
     shared = spark.sparkContext.broadcast(index)
     n_lists, probes = len(index.centres), index.probes
 

@@ -118,7 +118,7 @@ def test_confirmed_links():
 
 def test_keep_one_each_and_empty(frame):
     df = frame([(3, "a b c d e f"), (1, "a b c d e f"), (2, None), (4, ""), (None, "a b c d e f")])
-    assert sorted((r["doc_id"] or 0) for r in N.keep_one_each(df).collect()) == [0, 1, 2, 4]
+    assert sorted((r["doc_id"] or 0) for r in N.keep_one_each(df).collect()) == [1, 2, 4]
     assert N.near_duplicates(frame([])).collect() == []
 
 
@@ -127,6 +127,17 @@ def test_repeated_rows(frame):
     assert [(r["component_id"], r["kept"]) for r in got] == [(5, True)] * 3
 
 
+def test_null_and_repeated_ids_have_rows_of_their_own(frame):
+    one, two, three = "a b c d e f g", "h i j k l m n", "p q r s t u"
+    rows = [(None, one), (7, one), (9, one.upper()), (7, two), (8, two), (None, three), (None, three), (None, None), (4, ""), (4, three + " v")]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in N.near_duplicates(frame(rows)).collect()]
+    want = [
+        (None, 3, 7, False), (7, 3, 7, True), (9, 3, 7, False), (7, 3, 7, True), (8, 3, 7, False),
+        (None, 2, None, True), (None, 2, None, True), (None, 0, None, True), (4, 0, 4, True), (4, 3, 4, True),
+    ]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_one_row_of_repeated_and_null_ids(frame):
     one, two = "a b c d e f g", "h i j k l m n"
     rows = [(5, one), (5, one), (5, one), (5, two), (6, two), (9, one.upper()), (None, "p q r s t u"), (None, "p q r s t u"), (3, None), (3, None)]

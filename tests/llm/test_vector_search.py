@@ -46,6 +46,15 @@ def test_copies_ties_and_unusable_vectors(spark, monkeypatch):
     assert got == want
 
 
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(4)
+    parts = {4: np.round(rng.standard_normal((50, 4)), 2), 9: np.round(rng.standard_normal((45, 9)), 2)}
+    rows = [(i, x.tolist()) for i, x in enumerate(parts[4])] + [(100 + i, x.tolist()) for i, x in enumerate(parts[9])] + [(300, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(list(range(50)), parts[4], [0, 20, 40], 5) | brute(list(range(100, 145)), parts[9], [100, 120, 140], 5)
+    assert answers(V.search(df, F.col("vec_id") % 20 == 0, k=5)) == want
+
+
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     assert answers(V.search(df, F.col("vec_id") == 0)) == {0: [(1, 0.5), (2, -1.0)]}
