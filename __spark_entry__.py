@@ -164,6 +164,16 @@ def q_index_bucket_scan(spark, sf_dir):
     return _flat(hit.select("bucket", "term", "doc_id", "positions"))
 
 
+def q_index_sub_bucket_scan(spark, sf_dir):
+    # Built with many sub-buckets; the batch's own terms prune the folders at run time, whatever their number.
+    path = _built(spark, sf_dir, sub_buckets=64)
+    parsed, small = _parsed(spark, sf_dir)
+    terms = parsed.select("bucket", "term").distinct()
+    index = read_index(spark, path, wanted=terms)
+    hit = index.join(F.broadcast(terms) if small else terms, ["bucket", "term"], "left_semi")
+    return _flat(hit.select("bucket", "term", "doc_id", "positions"))
+
+
 def q_merge_postings(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     parts = []
@@ -235,9 +245,9 @@ def q_conversation_phrase_docs(spark, sf_dir):
 # --- the stored engine: index build, batch search, single phrases ---------------------
 
 
-def _built(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> str:
+def _built(spark: SparkSession, sf_dir: str, **options) -> str:
     path = shared_dir(spark, "built-index")
-    build_index(spark, _docs(spark, sf_dir) if docs is None else docs, path)
+    build_index(spark, _docs(spark, sf_dir), path, **options)
     return path
 
 
@@ -276,12 +286,11 @@ def q_search_two_roots(spark, sf_dir):
 
 
 def q_single_phrase_docs(spark, sf_dir):
-    # One search per clause of one item (the one with the most clauses of those with up to 8): each is
-    # a user's request of its own.
+    # One search per clause of the item with the most clauses: each is a user's request of its own.
     path = _built(spark, sf_dir)
     phrases = _phrases(spark, sf_dir)
     item = F.floor(F.col("query_id") / CLAUSE_ID_SPAN)
-    most = phrases.groupBy(item.alias("item")).count().where("count <= 8").orderBy(F.desc("count"), "item").first()
+    most = phrases.groupBy(item.alias("item")).count().orderBy(F.desc("count"), "item").first()
     if most is None:
         return search_phrase(spark, path, "").docs  # no item: no rows
     found = None
@@ -328,6 +337,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "postings_bounded_vocabulary": q_postings_bounded_vocabulary,
     "inverted_index": q_inverted_index,
     "index_bucket_scan": q_index_bucket_scan,
+    "index_sub_bucket_scan": q_index_sub_bucket_scan,
     "merge_postings": q_merge_postings,
     "postings_text": q_postings_text,
     "postings_text_tab": q_postings_text_tab,

@@ -267,9 +267,10 @@ ORACLE_SQL["batch_phrase_matches"] = ORACLE_SQL["phrase_match"]
 ORACLE_SQL["batch_phrase_docs"] = ORACLE_SQL["phrase_docs"]
 ORACLE_SQL["batch_phrase_steps"] = ORACLE_SQL["partial_phrase_matches"]
 ORACLE_SQL["search_two_roots"] = ORACLE_SQL["phrase_docs"]
+ORACLE_SQL["index_sub_bucket_scan"] = ORACLE_SQL["index_bucket_scan"]
 ORACLE_SQL["single_phrase_docs"] = _FULL + f"""
 SELECT query_id, doc_id, count(*) AS n_matches FROM pm
-WHERE query_id // {CLAUSE_ID_SPAN} = (SELECT query_id // {CLAUSE_ID_SPAN} AS item FROM phr GROUP BY item HAVING count(*) <= 8 ORDER BY count(*) DESC, item LIMIT 1)
+WHERE query_id // {CLAUSE_ID_SPAN} = (SELECT query_id // {CLAUSE_ID_SPAN} AS item FROM phr GROUP BY item ORDER BY count(*) DESC, item LIMIT 1)
 GROUP BY query_id, doc_id"""
 ORACLE_SQL["phrase_file"] = _with(PHRASES) + """
 SELECT row_number() OVER (ORDER BY query_id) AS query_id, query FROM phr"""

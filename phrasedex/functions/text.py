@@ -82,3 +82,8 @@ def bucket_of(term) -> Column:
     term = _col(term)
     first = F.substring(term, 1, 1)
     return F.when(first >= F.lit("a"), F.ascii(term) - 97).otherwise(F.ascii(term) - 48).cast("int")
+
+
+def sub_bucket_of(term, count: int) -> Column:
+    """Sub-bucket of a term, from 0 to ``count`` - 1, by its hash: even in size, whatever the first letters."""
+    return F.pmod(F.hash(_col(term)), F.lit(count))

@@ -1,6 +1,6 @@
 """DataFrame -> DataFrame operators. None of them collects data to the driver."""
 
-from phrasedex.operators.tokens import explode_terms, tokenize, with_words
+from phrasedex.operators.tokens import document_words, explode_terms, tokenize, with_words
 from phrasedex.operators.stemming import (
     apply_frequent_stems,
     apply_stems,
@@ -29,6 +29,7 @@ __all__ = [
     "tokenize",
     "explode_terms",
     "with_words",
+    "document_words",
     "stem_vocabulary",
     "apply_stems",
     "apply_frequent_stems",

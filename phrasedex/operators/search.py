@@ -17,11 +17,9 @@ frequent term spreads over many groups instead of filling one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasedex.functions.text import let
-
 LOOKUP_COLUMNS = ["query_id", "k", "doc_id", "positions", "start_offset", "n_terms"]
 
 
@@ -51,8 +49,9 @@ def candidate_docs(lookup: DataFrame) -> DataFrame:
     return (
         lookup.select("query_id", "doc_id", "k", "n_terms")
         .repartition("query_id", "doc_id")
+        .dropDuplicates(["query_id", "doc_id", "k"])
         .groupBy("query_id", "doc_id")
-        .agg(F.size(F.collect_set("k")).alias("_present"), F.first("n_terms").alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_present"), F.first("n_terms").alias("_n"))
         .where(F.col("_present") == F.col("_n"))
         .select("query_id", "doc_id")
     )
@@ -80,12 +79,11 @@ def _candidate_rows(lookup: DataFrame, candidates: DataFrame | None, broadcast_c
 def _start_votes(rows: DataFrame) -> DataFrame:
     """(query_id, doc_id, k, n_terms, start, p): each distinct position p of word k votes once for ``p - start_offset_k``.
 
-    The distinct is local: rows are partitioned by (query_id, doc_id) already.
+    The distinct is in the row: a lookup has one row per word and document (``read_index`` merges partial indexes).
     """
-    votes = rows.select(
-        "query_id", "doc_id", "k", "n_terms", "start_offset", F.explode("positions").alias("p")
-    ).withColumn("start", F.col("p").cast("bigint") - F.col("start_offset"))
-    return votes.groupBy("query_id", "doc_id", "start", "k").agg(F.first("n_terms").alias("n_terms"), F.first("p").alias("p"))
+    return rows.select(
+        "query_id", "doc_id", "k", "n_terms", "start_offset", F.explode(F.array_distinct("positions")).alias("p")
+    ).select("query_id", "doc_id", "k", "n_terms", "p", (F.col("p").cast("bigint") - F.col("start_offset")).alias("start"))
 
 
 def _one_word_matches(lookup: DataFrame) -> DataFrame:
@@ -140,18 +138,19 @@ def partial_phrase_matches(
 
     Step s (1-based) lists each position of word s-1 from which words 0..s all
     follow each other, even if the phrase breaks later; only documents holding
-    every word take part. Per start offset, the words voting for it, sorted by
-    k, hold an unbroken prefix 0..L-1; steps 1..L-1 are reported at the
-    positions of words 0..L-2. One-word phrases have no steps.
+    every word take part. Of the words that vote for a start, word s ends an
+    unbroken prefix when it is the (s+1)-th by number: a running count per start
+    tells, and the position before it in that order is word s-1's. The count runs
+    over rows sorted inside the vote partitions; no list per start is gathered.
+    One-word phrases have no steps.
     """
     votes = _start_votes(_candidate_rows(lookup, candidates, broadcast_candidates))
-    per_start = votes.groupBy("query_id", "doc_id", "start").agg(
-        F.array_sort(F.collect_list(F.struct("k", "p"))).alias("_chain")
+    chain = Window.partitionBy("query_id", "doc_id", "start").orderBy("k")
+    counted = votes.select(
+        "query_id", "doc_id", "k", F.row_number().over(chain).alias("_count"), F.lag("p").over(chain).alias("_before")
     )
-    prefix = F.filter(F.col("_chain"), lambda x, i: x["k"] == i)
-    steps = let(prefix, lambda pre: F.slice(pre, 1, F.greatest(F.size(pre) - 1, F.lit(0))))
-    return per_start.select("query_id", "doc_id", F.posexplode(steps).alias("_i", "_x")).select(
-        "query_id", "doc_id", (F.col("_i") + 1).cast("int").alias("step"), F.col("_x.p").cast("bigint").alias("pos")
+    return counted.where((F.col("_count") == F.col("k") + 1) & (F.col("k") > 0)).select(
+        "query_id", "doc_id", F.col("k").cast("int").alias("step"), F.col("_before").cast("bigint").alias("pos")
     )
 
 

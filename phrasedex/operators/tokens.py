@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasedex.functions.text import alnum_runs, raw_tokens, token_starts
+from phrasedex.functions.text import alnum_runs, let, raw_tokens, token_starts
 
 
 def kept_tokens(body, stopwords: Iterable[str] | None = None) -> Column:
@@ -52,3 +52,41 @@ def explode_terms(tokens: DataFrame) -> DataFrame:
 def with_words(docs: DataFrame, body: str = "body", stopwords: Iterable[str] | None = None) -> DataFrame:
     """tokenize + explode_terms without carrying ``ord`` and ``raw`` further."""
     return explode_terms(tokenize(docs, body, stopwords).select("doc_id", "pos", "raw"))
+
+
+def document_words(docs: DataFrame, body: str = "body", stopwords: Iterable[str] | None = None) -> DataFrame:
+    """(doc_id, word, positions ARRAY<INT>): each word of a document with all its offsets, ascending.
+
+    Same words and offsets as ``with_words``, grouped where the document's row is: its
+    (word, offset) pairs are sorted as one array and cut where the word changes, so
+    no aggregate and no shuffle is needed and the rows that leave are one per
+    distinct word. A document that comes in several rows gives several groups.
+    """
+    toks = docs.select("doc_id", kept_tokens(F.col(body), stopwords).alias("_toks"))
+    zipped = F.arrays_zip(F.col("_toks").alias("raw"), token_starts("_toks").alias("pos"))
+    pairs = F.flatten(
+        F.transform(
+            zipped,
+            lambda t: F.transform(
+                alnum_runs(t["raw"]), lambda r: F.struct(F.lower(r).alias("word"), t["pos"].cast("int").alias("pos"))
+            ),
+        )
+    )
+
+    def groups(sorted_pairs: Column) -> Column:
+        return let(F.transform(sorted_pairs, lambda x: x["word"]), lambda words: let(F.transform(sorted_pairs, lambda x: x["pos"]), lambda at: cut(words, at)))
+
+    def cut(words: Column, at: Column) -> Column:
+        # Numbers, from 1, of the pairs that begin a word, and one past the last.
+        begins = F.filter(
+            F.sequence(F.lit(1), F.size(words)), lambda i: (i == 1) | (F.element_at(words, i) != F.element_at(words, F.greatest(i - 1, F.lit(1))))
+        )
+        ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(words) + 1))
+        return F.transform(
+            F.arrays_zip(begins.alias("a"), ends.alias("b")),
+            lambda x: F.struct(F.element_at(words, x["a"]).alias("word"), F.slice(at, x["a"], x["b"] - x["a"]).alias("positions")),
+        )
+
+    found = toks.select("doc_id", F.sort_array(pairs).alias("_pairs")).where(F.size("_pairs") > 0)
+    rows = found.select("doc_id", F.explode(groups(F.col("_pairs"))).alias("g"))
+    return rows.select("doc_id", F.col("g.word").alias("word"), F.col("g.positions").alias("positions"))

@@ -1,19 +1,19 @@
 """Index build job: documents -> stemmed positional postings -> bucketed Parquet.
 
-Plan (one corpus pass to find the vocabulary, one to emit postings):
+The corpus is read and cut into words once, and positions are shuffled once:
 
-    documents --tokens, offsets, words (row-local)--> (doc_id, pos, word)
-        word counts --stemmer--> vocabulary, written to the shared folder
-    (doc_id, pos, word) JOIN broadcast vocabulary --> (doc_id, pos, term)
-        partial agg (map side) --shuffle (term, doc_id)--> final agg --> postings
-        range exchange (bucket, term, doc_id) --> sort --> bucket=N/ Parquet
+    documents --tokens, offsets, words, grouped by word in the row--> (doc_id, word, positions), stored
+        word counts (two columns of it) --stemmer--> vocabulary, stored
+    (doc_id, word, positions) JOIN broadcast vocabulary --> (term, doc_id, positions)
+        exchange by (bucket, sub-bucket, slice) --> merge, sort --> bucket=N/sub=M/ Parquet
 
 The vocabulary is broadcast whole if its row count, read from the written
 table, is at most ``max_broadcast_words`` (K); otherwise only words holding at
 least 1/K of all occurrences are broadcast (at most K of them, by counting) and
-the rare rest is stemmed in place. The token
-stream is never shuffled for stemming, so a word holding a third of all tokens
-costs no more than any other.
+the rare rest is stemmed in place. The words are never shuffled for stemming, so a
+word holding a third of all tokens costs no more than any other. In the exchange a
+term with more than 1/SLICES of all occurrences is dealt to slices by document, each
+of about that share; fewer than SLICES terms can qualify.
 """
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from phrasedex.functions.porter import stem_of_word
+from phrasedex.functions.text import bucket_of
 from phrasedex.operators.postings import build_postings
 from phrasedex.operators.stemming import (
     apply_frequent_stems,
@@ -30,12 +33,18 @@ from phrasedex.operators.stemming import (
     frequent_words,
     stem_vocabulary,
 )
-from phrasedex.operators.tokens import with_words
+from phrasedex.operators.tokens import document_words, with_words
 from phrasedex.session import shared_dir
-from phrasedex.sources.index_store import write_index
+from phrasedex.sources.index_store import write_merged_index
 
 MAX_BROADCAST_WORDS = 2_000_000
 VOCABULARY_DIR = "_vocabulary"
+# A term with more than 1/SLICES of all occurrences, and more than SLICE_OCCURRENCES, is written by several tasks.
+SLICES, SLICE_OCCURRENCES = 1000, 1_000_000
+# Occurrences per sub-bucket folder, and the least and greatest number of sub-buckets of a bucket.
+OCCURRENCES_PER_FOLDER = 8_000_000
+SUB_BUCKETS = (1, 4096)
+BUCKETS = 26
 
 
 def corpus_postings(
@@ -71,6 +80,14 @@ def attach_stems(spark: SparkSession, words: DataFrame, max_broadcast_words: int
     return apply_frequent_stems(words, frequent_words(vocab, max_broadcast_words)), path, n
 
 
+def sub_buckets_for(occurrences: int) -> int:
+    """Sub-buckets per bucket: a power of two, so that a folder holds about OCCURRENCES_PER_FOLDER."""
+    n = SUB_BUCKETS[0]
+    while n < SUB_BUCKETS[1] and n * BUCKETS * OCCURRENCES_PER_FOLDER < occurrences:
+        n *= 2
+    return n
+
+
 def build_index(
     spark: SparkSession,
     docs: DataFrame,
@@ -80,24 +97,39 @@ def build_index(
     max_broadcast_words: int = MAX_BROADCAST_WORDS,
     num_files: int | None = None,
     input_partitions: int | None = None,
+    sub_buckets: int | None = None,
 ) -> dict:
     """Build and write the index for (doc_id, body) documents; returns build facts.
 
     ``input_partitions`` spreads the documents round-robin before tokenising.
     Use it only when the input has fewer row groups than there are cores (a
     single-file table); a large corpus is read in parallel as it is, and
-    spreading it would shuffle the raw text.
+    spreading it would shuffle the raw text. ``num_files``: partitions of the
+    exchange before the write; ``sub_buckets``: see ``sub_buckets_for``.
     """
     if input_partitions:
         docs = docs.repartition(input_partitions)
-    words = with_words(docs, body, stopwords)
-    terms, vocab_path, n_words = attach_stems(spark, words, max_broadcast_words)
-    vocab, small = spark.read.parquet(vocab_path), n_words <= max_broadcast_words
-    postings = build_postings(terms)
-    write_index(postings, path, num_files=num_files)
-    write_vocabulary(vocab.select("word", "stem"), path)
+    words_path, vocab_path = shared_dir(spark, "document-words"), shared_dir(spark, "vocabulary")
+    document_words(docs, body, stopwords).write.parquet(words_path)
+    words = spark.read.parquet(words_path)
+    # Reads the sizes only: the position column is not decoded beyond its lengths.
+    counts = words.groupBy("word").agg(F.sum(F.size("positions")).alias("n"))
+    counts.withColumn("stem", stem_of_word()).write.parquet(vocab_path)
+    vocab = spark.read.parquet(vocab_path)
+    facts = vocab.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences")).first()
+    n_words, occurrences = facts["words"], facts["occurrences"]
+    small = n_words <= max_broadcast_words
+    terms = apply_stems(words, vocab, broadcast_vocab=True) if small else apply_frequent_stems(words, frequent_words(vocab, max_broadcast_words))
+    # Terms above 1/SLICES of all occurrences: fewer than SLICES by counting.
+    share = max(SLICE_OCCURRENCES, occurrences // SLICES)
+    by_term = vocab.groupBy(F.col("stem").alias("term")).agg(F.sum("n").alias("n")).where(F.col("n") > share)
+    sliced = by_term.select("term", F.ceil(F.col("n") / F.lit(share)).cast("int").alias("slices"))
+    subs = sub_buckets or sub_buckets_for(occurrences)
+    write_merged_index(terms, path, subs, sliced, num_files)
+    write_vocabulary(vocab, path)
+    remove_path(spark, words_path)
     remove_path(spark, vocab_path)
-    return {"vocabulary_words": n_words, "vocabulary_broadcast": small, "path": path}
+    return {"vocabulary_words": n_words, "vocabulary_broadcast": small, "occurrences": occurrences, "sub_buckets": subs, "path": path}
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -108,14 +140,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def write_vocabulary(vocab: DataFrame, index_path: str) -> None:
-    """Keep the (word, stem) table next to the index as its term dictionary.
+    """Keep the (word, stem, bucket, n) table next to the index as its term dictionary.
 
     Sorted by word with disjoint ranges per file, so a lookup of a few words
     reads a few row groups. The folder name starts with '_' and so is not part
     of the index scan.
     """
     (
-        vocab.select("word", "stem")
+        vocab.select("word", "stem", bucket_of(F.col("stem")).alias("bucket"), "n")
         .repartitionByRange("word")
         .sortWithinPartitions("word")
         .write.mode("overwrite")
@@ -123,5 +155,8 @@ def write_vocabulary(vocab: DataFrame, index_path: str) -> None:
     )
 
 
+VOCABULARY_SCHEMA = "word STRING, stem STRING, bucket INT, n BIGINT"
+
+
 def vocabulary_path(index_path: str) -> str:
     return index_path.rstrip("/") + "/" + VOCABULARY_DIR

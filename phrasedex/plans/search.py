@@ -2,15 +2,16 @@
 
 Batch: the parsed batch is checkpointed (small, lineage cut), its size checked
 before it is broadcast, its bucket set (at most 26 values) turned into literal
-partition filters and its distinct terms (when at most MAX_LITERAL_TERMS) into
-a pushed-down IN filter that skips row groups. Documents holding every word of a phrase are found
+partition filters. Up to MAX_LITERAL_TERMS distinct terms become a pushed-down IN
+filter that skips row groups; the folders of more terms, whatever their number,
+are pruned at run time by the batch's own table. Documents holding every word of a phrase are found
 first from (term, doc_id) alone; their count is checked before they are
 broadcast, so positions of frequent words are only shuffled for documents
 that can match.
 
-Single phrase: the phrase is parsed by the same Spark operators; its few terms
-(bounded by the phrase length) become literal filters, so the scan reads only
-the buckets and row groups that can hold them.
+Single phrase: the phrase is parsed by the same Spark operators; its words are looked
+up in the term dictionary, and only the folders of its few terms (bounded by the
+phrase length) are listed and opened, in one job with one exchange.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasedex.functions.porter import stem_of_word
-from phrasedex.functions.text import bucket_of, sub_words, token_starts
+from phrasedex.functions.text import bucket_of, let, sub_words, token_starts
 from phrasedex.operators.queries import parse_queries
-from phrasedex.plans.build import vocabulary_path
+from phrasedex.plans.build import VOCABULARY_SCHEMA, vocabulary_path
 from phrasedex.operators.search import (
     LOOKUP_COLUMNS,
     candidate_docs,
@@ -33,7 +34,7 @@ from phrasedex.operators.search import (
     phrase_match,
 )
 from phrasedex.session import shared_dir
-from phrasedex.sources.index_store import read_index
+from phrasedex.sources.index_store import read_index, read_terms
 
 MAX_BROADCAST_QUERY_WORDS = 5_000_000
 # Distinct terms of a batch sent to the Parquet reader as a literal IN list (a
@@ -158,10 +159,12 @@ def search_batch(
     max_broadcast_candidates: int = MAX_BROADCAST_CANDIDATES,
     max_needed: int = MAX_BROADCAST_NEEDED,
     max_anchor_docs: int | None = MAX_ANCHOR_DOCS,
+    max_literal_terms: int = MAX_LITERAL_TERMS,
 ) -> SearchResult:
     """Answer a (query_id, query) batch against the index at ``index_path``."""
     parsed, n, buckets = prepare_batch(spark, queries)
-    index = read_index(spark, index_path, buckets=buckets, terms=batch_terms(parsed))
+    terms = batch_terms(parsed, max_literal_terms)
+    index = read_index(spark, index_path, buckets=buckets, terms=terms, wanted=None if terms is not None else parsed.select("bucket", "term"))
     lookup = anchored_lookup(spark, index, parsed, max_needed, max_anchor_docs) if n <= max_broadcast_words else None
     if lookup is None:
         lookup = lookup_terms(index, parsed, broadcast_queries=n <= max_broadcast_words)
@@ -179,13 +182,14 @@ def search_batch(
 
 
 def search_phrase(spark: SparkSession, index_path: str | list[str], phrase: str, query_id: int = 1) -> SearchResult:
-    """Answer one phrase with literal bucket and term filters on the index scan.
+    """Answer one phrase from the folders of its own terms, with literal term filters on the scan.
 
     Stems and buckets come from the index's term dictionary in one pushed-down
     lookup; words the corpus never contained are stemmed by the same
     expression. The phrase enters as a SQL parameter, so its parsing is folded
     by the optimizer (no job, no Python worker). Every list brought to the
-    driver is bounded by the phrase length.
+    driver is bounded by the phrase length. Matches take one exchange, by document
+    (see ``_phrase_starts``); steps are planned as for a batch.
     """
     q = spark.sql("SELECT CAST(:id AS BIGINT) AS query_id, CAST(:q AS STRING) AS query", args={"id": int(query_id), "q": phrase})
     arrays = (
@@ -203,22 +207,52 @@ def search_phrase(spark: SparkSession, index_path: str | list[str], phrase: str,
     paths = [index_path] if isinstance(index_path, str) else list(index_path)
     dicts = [vocabulary_path(p) for p in paths if _exists(spark, vocabulary_path(p))]
     if dicts:
-        found = spark.read.parquet(*dicts).where(F.col("word").isin(distinct))
-        stems.update(_stem_rows(found))
+        found = spark.read.schema(VOCABULARY_SCHEMA).parquet(*dicts).where(F.col("word").isin(distinct))
+        stems.update({r["word"]: (r["stem"], r["bucket"]) for r in found.select("word", "stem", "bucket").collect()})
     missing = [w for w in distinct if w not in stems]
     if missing:
         # Words come out of a generator, so the (large) stem expression runs as
         # a small JVM job instead of being constant-folded by the optimizer.
         local = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in missing])).alias("word"))
-        stems.update(_stem_rows(local.select("word", stem_of_word().alias("stem"))))
+        rows = local.select("word", stem_of_word().alias("stem")).select("word", "stem", bucket_of(F.col("stem")).alias("bucket"))
+        stems.update({r["word"]: (r["stem"], r["bucket"]) for r in rows.collect()})
     parsed = [
         (int(query_id), k, w, stems[w][0], int(arrays["n"][k]), int(arrays["o"][k]), len(words), stems[w][1])
         for k, w in enumerate(words)
     ]
     parsed_df = _literal_rows(spark, parsed)
-    index = read_index(spark, index_path, buckets={r[7] for r in parsed}, terms={r[3] for r in parsed})
+    if len(paths) == 1:
+        index = read_terms(spark, paths[0], {(r[3], r[7]) for r in parsed})
+    else:
+        index = read_index(spark, paths, buckets={r[7] for r in parsed}, terms={r[3] for r in parsed})
     lookup = lookup_terms(index, parsed_df, broadcast_queries=True)
-    return SearchResult(parsed_df, lookup, phrase_match(lookup), matching_docs(lookup), partial_phrase_matches(lookup))
+    starts = _phrase_starts(index, parsed).withColumn("query_id", F.lit(int(query_id)).cast("bigint"))
+    matches = starts.select("query_id", "doc_id", F.explode("starts").alias("start_pos"))
+    docs = starts.select("query_id", "doc_id", F.size("starts").cast("bigint").alias("n_matches"))
+    return SearchResult(parsed_df, lookup, matches, docs, partial_phrase_matches(lookup))
+
+
+def _phrase_starts(index: DataFrame, parsed: list[tuple]) -> DataFrame:
+    """(doc_id, starts ARRAY<BIGINT>): offsets at which the whole phrase starts, of documents that have any.
+
+    Each posting becomes the starts its word votes for; a document's at most n_terms lists meet in
+    one exchange by doc_id, and those of a document with every word are intersected in its row.
+    """
+    words: dict[str, list[tuple[int, int]]] = {}
+    for _, k, _, term, _, offset, _, _ in parsed:
+        words.setdefault(term, []).append((k, offset))
+    places = None
+    for term, uses in words.items():
+        own = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(offset).cast("bigint").alias("offset")) for k, offset in uses])
+        places = F.when(F.col("term") == term, own) if places is None else places.when(F.col("term") == term, own)
+    votes = index.select("doc_id", "positions", F.explode(places).alias("w")).select(
+        "doc_id", F.col("w.k").alias("k"), F.transform(F.array_distinct("positions"), lambda p: p.cast("bigint") - F.col("w.offset")).alias("starts")
+    )
+    if len(parsed) == 1:
+        return votes.select("doc_id", "starts")
+    lists = votes.groupBy("doc_id").agg(F.collect_list("starts").alias("lists")).where(F.size("lists") == len(parsed))
+    common = F.aggregate(F.slice("lists", 2, len(parsed)), F.col("lists")[0], F.array_intersect)
+    return lists.select("doc_id", let(common, lambda x: x).alias("starts")).where(F.size("starts") > 0)
 
 
 PARSED_FIELDS = [
@@ -242,11 +276,6 @@ def _literal_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({cols})", args=args)
 
 
-def _stem_rows(vocab: DataFrame) -> dict[str, tuple[str, int]]:
-    rows = vocab.select("word", "stem", bucket_of(F.col("stem")).alias("bucket")).collect()
-    return {r["word"]: (r["stem"], r["bucket"]) for r in rows}
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

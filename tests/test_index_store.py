@@ -30,7 +30,7 @@ def test_layout_sorted_and_bucketed(spark):
     assert facts["vocabulary_broadcast"] is True
     dirs = sorted(glob.glob(local_path(path) + "/bucket=*"))
     assert 10 <= len(dirs) <= 26
-    for f in glob.glob(local_path(path) + "/bucket=*/*.parquet"):
+    for f in glob.glob(local_path(path) + "/bucket=*/sub=*/*.parquet"):
         terms = pq.read_table(f, columns=["term", "doc_id"]).to_pylist()
         keys = [(r["term"], r["doc_id"]) for r in terms]
         assert keys == sorted(keys)
