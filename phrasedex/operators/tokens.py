@@ -62,16 +62,16 @@ def document_words(docs: DataFrame, body: str = "body", stopwords: Iterable[str]
     no aggregate and no shuffle is needed and the rows that leave are one per
     distinct word. A document that comes in several rows gives several groups.
     """
-    toks = docs.select("doc_id", kept_tokens(F.col(body), stopwords).alias("_toks"))
-    zipped = F.arrays_zip(F.col("_toks").alias("raw"), token_starts("_toks").alias("pos"))
-    pairs = F.flatten(
-        F.transform(
-            zipped,
-            lambda t: F.transform(
-                alnum_runs(t["raw"]), lambda r: F.struct(F.lower(r).alias("word"), t["pos"].cast("int").alias("pos"))
-            ),
+    def pairs(tokens: Column) -> Column:
+        zipped = F.arrays_zip(tokens.alias("raw"), token_starts(tokens).alias("pos"))
+        return F.flatten(
+            F.transform(
+                zipped,
+                lambda t: F.transform(
+                    alnum_runs(t["raw"]), lambda r: F.struct(F.lower(r).alias("word"), t["pos"].cast("int").alias("pos"))
+                ),
+            )
         )
-    )
 
     def groups(sorted_pairs: Column) -> Column:
         return let(F.transform(sorted_pairs, lambda x: x["word"]), lambda words: let(F.transform(sorted_pairs, lambda x: x["pos"]), lambda at: cut(words, at)))
@@ -79,14 +79,19 @@ def document_words(docs: DataFrame, body: str = "body", stopwords: Iterable[str]
     def cut(words: Column, at: Column) -> Column:
         # Numbers, from 1, of the pairs that begin a word, and one past the last.
         begins = F.filter(
-            F.sequence(F.lit(1), F.size(words)), lambda i: (i == 1) | (F.element_at(words, i) != F.element_at(words, F.greatest(i - 1, F.lit(1))))
+            F.sequence(F.lit(2), F.size(words), F.lit(1)), lambda i: F.element_at(words, i) != F.element_at(words, i - 1)
         )
-        ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(words) + 1))
+        begins = F.when(F.size(words) > 1, F.concat(F.array(F.lit(1)), begins)).otherwise(F.slice(F.array(F.lit(1)), 1, F.size(words)))
+        return let(begins, lambda first: spans(words, at, first))
+
+    def spans(words: Column, at: Column, first: Column) -> Column:
+        ends = F.concat(F.slice(first, 2, F.size(first)), F.array(F.size(words) + 1))
         return F.transform(
-            F.arrays_zip(begins.alias("a"), ends.alias("b")),
+            F.arrays_zip(first.alias("a"), F.slice(ends, 1, F.size(first)).alias("b")),
             lambda x: F.struct(F.element_at(words, x["a"]).alias("word"), F.slice(at, x["a"], x["b"] - x["a"]).alias("positions")),
         )
 
-    found = toks.select("doc_id", F.sort_array(pairs).alias("_pairs")).where(F.size("_pairs") > 0)
-    rows = found.select("doc_id", F.explode(groups(F.col("_pairs"))).alias("g"))
+    # One expression, in which every array is made once: a column used twice would be computed twice where Spark merges projections.
+    grouped = let(kept_tokens(F.col(body), stopwords), lambda tokens: let(F.sort_array(pairs(tokens)), groups))
+    rows = docs.select("doc_id", F.explode(grouped).alias("g"))
     return rows.select("doc_id", F.col("g.word").alias("word"), F.col("g.positions").alias("positions"))
