@@ -22,8 +22,11 @@ from phrasedex.operators import (  # noqa: E402
     apply_frequent_stems,
     benchmark_phrases,
     build_inverted_index,
+    build_next_words,
     build_postings,
     candidate_docs,
+    candidate_docs_by_bitmap,
+    frequent_lengths,
     frequent_vocabulary,
     lookup_terms,
     matching_docs,
@@ -31,6 +34,7 @@ from phrasedex.operators import (  # noqa: E402
     parse_queries,
     partial_phrase_matches,
     phrase_match,
+    phrase_match_with_pairs,
     query_buckets,
     single_term_docs,
     stem_vocabulary,
@@ -58,6 +62,8 @@ from phrasedex.sources import (  # noqa: E402
 )
 
 SMOKE_DIR = "/root/testdata/sf0.001"
+# A term with 1/FREQUENT_TERMS of all occurrences has next-word postings.
+FREQUENT_TERMS = 1000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,7 +172,7 @@ def q_index_bucket_scan(spark, sf_dir):
 
 def q_index_sub_bucket_scan(spark, sf_dir):
     # Built with many sub-buckets; the batch's own terms prune the folders at run time, whatever their number.
-    path = _built(spark, sf_dir, sub_buckets=64)
+    path = _built(spark, sf_dir, sub_buckets=8)
     parsed, small = _parsed(spark, sf_dir)
     terms = parsed.select("bucket", "term").distinct()
     index = read_index(spark, path, wanted=terms)
@@ -221,10 +227,31 @@ def q_candidate_docs(spark, sf_dir):
     return candidate_docs(_lookup(spark, sf_dir))
 
 
+def q_candidate_docs_bitmap(spark, sf_dir):
+    # The AND on document bitmaps instead of posting rows.
+    path = shared_dir(spark, "index")
+    write_index(_postings(spark, sf_dir), path)
+    parsed, small = _parsed(spark, sf_dir)
+    return candidate_docs_by_bitmap(read_index(spark, path), parsed) if small else candidate_docs(_lookup(spark, sf_dir))
+
+
 def q_phrase_match(spark, sf_dir):
     return phrase_match(_lookup(spark, sf_dir))
 
 
+def q_phrase_match_next_words(spark, sf_dir):
+    # Phrases of frequent words from postings of word pairs, the others from those of their words.
+    words = with_words(_docs(spark, sf_dir))
+    terms, path, _ = attach_stems(spark, words)
+    stored = shared_dir(spark, "terms")
+    terms.select("doc_id", "pos", "term").write.parquet(stored)
+    terms = spark.read.parquet(stored)
+    frequent = frequent_lengths(spark.read.parquet(path), FREQUENT_TERMS)
+    parsed, _ = _parsed(spark, sf_dir)
+    parsed = parsed.checkpoint()
+    return phrase_match_with_pairs(with_bucket(build_postings(terms)), build_next_words(terms, frequent), parsed, frequent)
+
+
 def q_phrase_docs(spark, sf_dir):
     return matching_docs(_lookup(spark, sf_dir))
 
@@ -347,7 +374,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "term_lookup": q_term_lookup,
     "single_term_docs": q_single_term_docs,
     "candidate_docs": q_candidate_docs,
+    "candidate_docs_bitmap": q_candidate_docs_bitmap,
     "phrase_match": q_phrase_match,
+    "phrase_match_next_words": q_phrase_match_next_words,
     "phrase_docs": q_phrase_docs,
     "partial_phrase_matches": q_partial_phrase_matches,
     "conversation_phrase_docs": q_conversation_phrase_docs,

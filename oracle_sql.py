@@ -263,6 +263,8 @@ ORACLE_SQL["clean_postings"] = _with(_CLEAN_TOKENS, vocab_ctes("words"), STEMMED
     "SELECT term, doc_id, array_to_string(positions, ':') AS positions FROM post"
 )
 
+ORACLE_SQL["candidate_docs_bitmap"] = ORACLE_SQL["candidate_docs"]
+ORACLE_SQL["phrase_match_next_words"] = ORACLE_SQL["phrase_match"]
 ORACLE_SQL["batch_phrase_matches"] = ORACLE_SQL["phrase_match"]
 ORACLE_SQL["batch_phrase_docs"] = ORACLE_SQL["phrase_docs"]
 ORACLE_SQL["batch_phrase_steps"] = ORACLE_SQL["partial_phrase_matches"]

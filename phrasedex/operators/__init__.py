@@ -8,6 +8,8 @@ from phrasedex.operators.stemming import (
     frequent_words,
     stem_vocabulary,
 )
+from phrasedex.operators.bitmaps import candidate_docs_by_bitmap, phrase_blocks, term_bitmaps
+from phrasedex.operators.next_words import build_next_words, frequent_lengths, phrase_match_with_pairs
 from phrasedex.operators.postings import (
     build_inverted_index,
     build_postings,
@@ -45,6 +47,12 @@ __all__ = [
     "query_words",
     "lookup_terms",
     "candidate_docs",
+    "candidate_docs_by_bitmap",
+    "phrase_blocks",
+    "term_bitmaps",
+    "build_next_words",
+    "frequent_lengths",
+    "phrase_match_with_pairs",
     "phrase_match",
     "phrase_docs",
     "matching_docs",

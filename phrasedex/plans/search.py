@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from phrasedex.functions.porter import stem_of_word
 from phrasedex.functions.text import bucket_of, let, sub_words, token_starts
+from phrasedex.operators.bitmaps import candidate_docs_by_bitmap, dense
 from phrasedex.operators.queries import parse_queries
 from phrasedex.plans.build import VOCABULARY_SCHEMA, vocabulary_path
 from phrasedex.operators.search import (
@@ -92,8 +93,8 @@ def anchored_lookup(
     parsed: DataFrame,
     max_needed: int,
     max_anchor_docs: int | None = None,
-) -> DataFrame | None:
-    """Lookup rows restricted, per phrase, to documents holding its rarest word.
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """(lookup rows restricted, per phrase, to documents holding its rarest word; the parsed phrases left over).
 
     1. document frequency of each batch term (a count over the term column);
     2. per phrase, its anchor: the word of least document frequency;
@@ -106,8 +107,8 @@ def anchored_lookup(
     for every phrase that contains it. A phrase costs its anchor's documents
     times its words; phrases go this way, cheapest first, while their costs add
     up to at most ``max_needed`` (so step 4 is bounded before it is made), and
-    if their anchor is in at most ``max_anchor_docs`` documents. The others take
-    the plain lookup; the two are unioned. None if no phrase goes this way.
+    if their anchor is in at most ``max_anchor_docs`` documents. The others are left
+    to the plain lookup. Either part is None if it has no phrase.
     """
     keys = parsed.select("bucket", "term").distinct()
     df = (
@@ -135,7 +136,7 @@ def anchored_lookup(
             break
         top = r["cost_class"]
     if top < 0:
-        return None
+        return None, parsed
     routed = allowed.where(F.col("cost_class") <= top)
     pairs = index.select("bucket", "term", "doc_id").join(F.broadcast(routed.select("query_id", "bucket", "term")), ["bucket", "term"])
     needed = (
@@ -146,9 +147,8 @@ def anchored_lookup(
     lookup = index.join(F.broadcast(needed), ["bucket", "term", "doc_id"]).select(*LOOKUP_COLUMNS)
     others = anchors.join(F.broadcast(routed.select("query_id")), "query_id", "left_anti").select("query_id")
     if others.isEmpty():
-        return lookup
-    rest = parsed.join(F.broadcast(others), "query_id", "left_semi")
-    return lookup.unionByName(lookup_terms(index, rest, broadcast_queries=True))
+        return lookup, None
+    return lookup, parsed.join(F.broadcast(others), "query_id", "left_semi")
 
 
 def search_batch(
@@ -165,12 +165,20 @@ def search_batch(
     parsed, n, buckets = prepare_batch(spark, queries)
     terms = batch_terms(parsed, max_literal_terms)
     index = read_index(spark, index_path, buckets=buckets, terms=terms, wanted=None if terms is not None else parsed.select("bucket", "term"))
-    lookup = anchored_lookup(spark, index, parsed, max_needed, max_anchor_docs) if n <= max_broadcast_words else None
-    if lookup is None:
-        lookup = lookup_terms(index, parsed, broadcast_queries=n <= max_broadcast_words)
+    bounded = n <= max_broadcast_words
+    anchored, rest = anchored_lookup(spark, index, parsed, max_needed, max_anchor_docs) if bounded else (None, parsed)
+    lookup, cands = anchored, None if anchored is None else candidate_docs(anchored.where(F.col("n_terms") > 1))
+    if rest is not None:
+        plain = lookup_terms(index, rest, broadcast_queries=bounded)
+        # Words in many documents: the AND on bitmaps, if ids are dense enough, so that no posting is expanded for it.
+        many = rest.where(F.col("n_terms") > 1)
+        by_bitmap = bounded and dense(index.join(F.broadcast(many.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi"))
+        found = candidate_docs_by_bitmap(index, many) if by_bitmap else candidate_docs(plain.where(F.col("n_terms") > 1))
+        lookup = plain if lookup is None else lookup.unionByName(plain)
+        cands = found if cands is None else cands.unionByName(found)
     # AND over light rows, written out (lineage cut) and counted before its
     # pairs are broadcast to filter the position-carrying rows map-side.
-    cands = candidate_docs(lookup.where(F.col("n_terms") > 1)).checkpoint(eager=True)
+    cands = cands.checkpoint(eager=True)
     small = cands.count() <= max_broadcast_candidates
     return SearchResult(
         parsed,
