@@ -79,11 +79,13 @@ def _candidate_rows(lookup: DataFrame, candidates: DataFrame | None, broadcast_c
 def _start_votes(rows: DataFrame) -> DataFrame:
     """(query_id, doc_id, k, n_terms, start, p): each distinct position p of word k votes once for ``p - start_offset_k``.
 
-    The distinct is in the row: a lookup has one row per word and document (``read_index`` merges partial indexes).
+    The distinct is local: rows are partitioned by (query_id, doc_id) already. Rows that repeat a word and
+    document change nothing.
     """
-    return rows.select(
-        "query_id", "doc_id", "k", "n_terms", "start_offset", F.explode(F.array_distinct("positions")).alias("p")
-    ).select("query_id", "doc_id", "k", "n_terms", "p", (F.col("p").cast("bigint") - F.col("start_offset")).alias("start"))
+    votes = rows.select(
+        "query_id", "doc_id", "k", "n_terms", "start_offset", F.explode("positions").alias("p")
+    ).withColumn("start", F.col("p").cast("bigint") - F.col("start_offset"))
+    return votes.groupBy("query_id", "doc_id", "start", "k").agg(F.first("n_terms").alias("n_terms"), F.first("p").alias("p"))
 
 
 def _one_word_matches(lookup: DataFrame) -> DataFrame:
