@@ -44,6 +44,7 @@ from phrasedex.operators import (  # noqa: E402
 )
 from phrasedex.operators.queries import CLAUSE_ID_SPAN  # noqa: E402
 from phrasedex.plans.build import MAX_BROADCAST_WORDS, attach_stems, build_index, corpus_postings  # noqa: E402
+from phrasedex.plans.grow import add_documents, compact, delete_documents  # noqa: E402
 from phrasedex.plans.search import MAX_BROADCAST_QUERY_WORDS, search_batch, search_phrase  # noqa: E402
 from phrasedex.session import shared_dir  # noqa: E402
 from phrasedex.sources import (  # noqa: E402
@@ -64,6 +65,10 @@ from phrasedex.sources import (  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 # A term with 1/FREQUENT_TERMS of all occurrences has next-word postings.
 FREQUENT_TERMS = 1000
+# Documents of a term in a block by rank.
+RANKED_BLOCK = 64
+# Buckets by document of a growing index's tables.
+DOC_BUCKETS = 8
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,7 +155,15 @@ def q_postings_bounded_vocabulary(spark, sf_dir):
 
 
 def q_inverted_index(spark, sf_dir):
-    inv = build_inverted_index(_postings(spark, sf_dir))
+    return _nested_text(build_inverted_index(_postings(spark, sf_dir)))
+
+
+def q_inverted_index_ranked(spark, sf_dir):
+    # Blocks of as many documents of the term, however their ids lie.
+    return _nested_text(build_inverted_index(_postings(spark, sf_dir), RANKED_BLOCK, by_rank=True))
+
+
+def _nested_text(inv: DataFrame) -> DataFrame:
     text = F.array_join(
         F.transform("postings", lambda x: F.concat(x["doc_id"].cast("string"), F.lit("|"), F.array_join(x["positions"], ":"))),
         ",",
@@ -197,6 +210,10 @@ def q_postings_text_tab(spark, sf_dir):
     return postings_to_text(_postings(spark, sf_dir), style="tab")
 
 
+def q_postings_text_ranked(spark, sf_dir):
+    return postings_to_text(_postings(spark, sf_dir), style="pipe", docs_per_line=RANKED_BLOCK, by_rank=True)
+
+
 def q_postings_text_roundtrip(spark, sf_dir):
     lines = postings_to_text(_postings(spark, sf_dir), style="tab")
     back = postings_from_text(lines)
@@ -312,6 +329,32 @@ def q_search_two_roots(spark, sf_dir):
     return search_batch(spark, roots, _phrases(spark, sf_dir)).docs
 
 
+def _grown(spark: SparkSession, sf_dir: str) -> str:
+    # Every document, some with an old text that is replaced, some deleted and added again: in the end the whole corpus.
+    docs = _docs(spark, sf_dir)
+    old, back = F.col("doc_id") % 5 == 0, F.col("doc_id") % 7 == 0
+    root = shared_dir(spark, "segments")
+    first = docs.withColumn("body", F.when(old, F.reverse("body")).otherwise(F.col("body")))
+    add_documents(spark, root, first, doc_buckets=DOC_BUCKETS)
+    add_documents(spark, root, docs.where(old))
+    delete_documents(spark, root, docs.where(back))
+    add_documents(spark, root, docs.where(back))
+    return root
+
+
+def q_segment_phrase_docs(spark, sf_dir):
+    # Searched in three segments whose dead documents are still stored.
+    return search_batch(spark, _grown(spark, sf_dir), _phrases(spark, sf_dir)).docs
+
+
+def q_segment_postings(spark, sf_dir):
+    # After compaction of the two newer segments, then of all.
+    root = _grown(spark, sf_dir)
+    compact(spark, root)
+    compact(spark, root, ratio=None)
+    return _flat(read_index(spark, root).select("term", "doc_id", "positions"))
+
+
 def q_single_phrase_docs(spark, sf_dir):
     # One search per clause of the item with the most clauses: each is a user's request of its own.
     path = _built(spark, sf_dir)
@@ -363,11 +406,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "postings": q_postings,
     "postings_bounded_vocabulary": q_postings_bounded_vocabulary,
     "inverted_index": q_inverted_index,
+    "inverted_index_ranked": q_inverted_index_ranked,
     "index_bucket_scan": q_index_bucket_scan,
     "index_sub_bucket_scan": q_index_sub_bucket_scan,
     "merge_postings": q_merge_postings,
     "postings_text": q_postings_text,
     "postings_text_tab": q_postings_text_tab,
+    "postings_text_ranked": q_postings_text_ranked,
     "postings_text_roundtrip": q_postings_text_roundtrip,
     "parsed_queries": q_parsed_queries,
     "query_buckets": q_query_buckets,
@@ -384,6 +429,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_phrase_docs": q_batch_phrase_docs,
     "batch_phrase_steps": q_batch_phrase_steps,
     "search_two_roots": q_search_two_roots,
+    "segment_phrase_docs": q_segment_phrase_docs,
+    "segment_postings": q_segment_postings,
     "single_phrase_docs": q_single_phrase_docs,
     "phrase_file": q_phrase_file,
     "stopword_file": q_stopword_file,

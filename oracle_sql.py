@@ -268,6 +268,15 @@ ORACLE_SQL["phrase_match_next_words"] = ORACLE_SQL["phrase_match"]
 ORACLE_SQL["batch_phrase_matches"] = ORACLE_SQL["phrase_match"]
 ORACLE_SQL["batch_phrase_docs"] = ORACLE_SQL["phrase_docs"]
 ORACLE_SQL["batch_phrase_steps"] = ORACLE_SQL["partial_phrase_matches"]
+_RANKED = _CORPUS_VOCAB.rstrip() + """,
+ranked AS (SELECT *, ((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 64)::BIGINT AS block FROM post)
+"""
+_RANKED_LIST = "string_agg(doc_id::VARCHAR || '|' || array_to_string(positions, ':'), ',' ORDER BY doc_id)"
+ORACLE_SQL["inverted_index_ranked"] = _RANKED + f"SELECT term, block, {_RANKED_LIST} AS postings FROM ranked GROUP BY term, block"
+ORACLE_SQL["postings_text_ranked"] = _RANKED + f"""
+SELECT {bucket('term')} AS bucket, term, block, term || ' ' || {_RANKED_LIST} AS line FROM ranked GROUP BY term, block"""
+ORACLE_SQL["segment_phrase_docs"] = ORACLE_SQL["phrase_docs"]
+ORACLE_SQL["segment_postings"] = ORACLE_SQL["postings"]
 ORACLE_SQL["search_two_roots"] = ORACLE_SQL["phrase_docs"]
 ORACLE_SQL["index_sub_bucket_scan"] = ORACLE_SQL["index_bucket_scan"]
 ORACLE_SQL["single_phrase_docs"] = _FULL + f"""

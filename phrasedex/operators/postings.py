@@ -6,10 +6,11 @@ at one offset. Rows stay flat; nesting by term is only a bounded export view.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phrasedex.functions.text import bucket_of
+from phrasedex.session import shared_dir
 
 
 def build_postings(terms: DataFrame) -> DataFrame:
@@ -48,12 +49,46 @@ def merge_postings(*parts: DataFrame) -> DataFrame:
     )
 
 
-def build_inverted_index(postings: DataFrame, docs_per_block: int = 1024) -> DataFrame:
+def with_rank(postings: DataFrame) -> DataFrame:
+    """``postings`` with ``rank``, from 0: how many rows of the same term have a smaller doc_id (null first).
+
+    Running counts on two levels, so that no task holds a whole term, however frequent, and
+    however its ids lie: rows are stored in ranges of (term, doc_id); a row's rank is the number
+    of its term's rows in the ranges before plus its place in its own. A term that spans ranges fills
+    all but the outer two, so at most one term crosses from a range to the next, and the counts to
+    add are fewer than the ranges: small enough to be broadcast.
+    """
+    spark = postings.sparkSession
+    path = shared_dir(spark, "ranged-postings")
+    # Stored, for ranges are cut by a sample and a range must not change between the two levels.
+    ranged = postings.repartitionByRange("term", "doc_id").withColumn("range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.parquet(path)
+    counts = ranged.groupBy("term", "range").agg(F.count(F.lit(1)).alias("n"))
+    # One row per term and range of it.
+    earlier = Window.partitionBy("term").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("before", F.sum("n").over(earlier)).where(F.col("before") > 0).select("term", "range", "before")
+    place = F.row_number().over(Window.partitionBy("term", "range").orderBy(F.col("doc_id").asc_nulls_first())) - 1
+    rows = ranged.withColumn("place", place).join(F.broadcast(before), ["term", "range"], "left")
+    rank = (F.coalesce(F.col("before"), F.lit(0)) + F.col("place")).cast("bigint")
+    return rows.select(*postings.columns, rank.alias("rank"))
+
+
+def with_block(postings: DataFrame, docs_per_block: int, by_rank: bool = False) -> DataFrame:
+    """``postings`` with ``block``: ids of one span of ``docs_per_block``, or ``by_rank`` as many of the term's documents."""
+    if by_rank:
+        return with_rank(postings).withColumn("block", F.floor(F.col("rank") / docs_per_block).cast("bigint")).drop("rank")
+    return postings.withColumn("block", F.floor(F.col("doc_id") / docs_per_block).cast("bigint"))
+
+
+def build_inverted_index(postings: DataFrame, docs_per_block: int = 1024, by_rank: bool = False) -> DataFrame:
     """(term, block, postings ARRAY<STRUCT<doc_id, positions>>) sorted by doc_id.
 
     Nesting a whole term into one row would put a frequent term's entire list in
-    one task; blocks of ``docs_per_block`` consecutive doc ids bound each row.
+    one task; blocks of ``docs_per_block`` consecutive doc ids bound each row. Where ids are
+    sparse (hashed, say), such a block holds one document: ``by_rank`` fills each
+    block but a term's last with ``docs_per_block`` documents, in order of their ids.
     """
-    return postings.groupBy("term", F.floor(F.col("doc_id") / docs_per_block).cast("bigint").alias("block")).agg(
+    return with_block(postings, docs_per_block, by_rank).groupBy("term", "block").agg(
         F.array_sort(F.collect_list(F.struct("doc_id", "positions"))).alias("postings")
     )

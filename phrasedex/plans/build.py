@@ -18,7 +18,7 @@ of about that share; fewer than SLICES terms can qualify.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +109,26 @@ def build_index(
     """
     if input_partitions:
         docs = docs.repartition(input_partitions)
+    terms, facts, clean_up = stemmed_document_words(spark, docs, body, stopwords, max_broadcast_words)
+    vocab, occurrences = facts["vocabulary"], facts["occurrences"]
+    # Terms above 1/SLICES of all occurrences: fewer than SLICES by counting.
+    share = max(SLICE_OCCURRENCES, occurrences // SLICES)
+    by_term = vocab.groupBy(F.col("stem").alias("term")).agg(F.sum("n").alias("n")).where(F.col("n") > share)
+    sliced = by_term.select("term", F.ceil(F.col("n") / F.lit(share)).cast("int").alias("slices"))
+    subs = sub_buckets or sub_buckets_for(occurrences)
+    write_merged_index(terms, path, subs, sliced, num_files)
+    write_vocabulary(vocab, path)
+    clean_up()
+    return {"vocabulary_words": facts["words"], "vocabulary_broadcast": facts["broadcast"], "occurrences": occurrences, "sub_buckets": subs, "path": path}
+
+
+def stemmed_document_words(
+    spark: SparkSession, docs: DataFrame, body: str, stopwords: Iterable[str] | None, max_broadcast_words: int
+) -> tuple[DataFrame, dict, Callable[[], None]]:
+    """((doc_id, word, positions, term) read from a stored table, facts, a call that deletes the stored tables).
+
+    Facts: ``vocabulary`` (word, stem, n), its ``words``, their ``occurrences`` and whether it is ``broadcast`` whole.
+    """
     words_path, vocab_path = shared_dir(spark, "document-words"), shared_dir(spark, "vocabulary")
     document_words(docs, body, stopwords).write.parquet(words_path)
     words = spark.read.parquet(words_path)
@@ -116,20 +136,15 @@ def build_index(
     counts = words.groupBy("word").agg(F.sum(F.size("positions")).alias("n"))
     counts.withColumn("stem", stem_of_word()).write.parquet(vocab_path)
     vocab = spark.read.parquet(vocab_path)
-    facts = vocab.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences")).first()
-    n_words, occurrences = facts["words"], facts["occurrences"]
-    small = n_words <= max_broadcast_words
+    sums = vocab.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences")).first()
+    small = sums["words"] <= max_broadcast_words
     terms = apply_stems(words, vocab, broadcast_vocab=True) if small else apply_frequent_stems(words, frequent_words(vocab, max_broadcast_words))
-    # Terms above 1/SLICES of all occurrences: fewer than SLICES by counting.
-    share = max(SLICE_OCCURRENCES, occurrences // SLICES)
-    by_term = vocab.groupBy(F.col("stem").alias("term")).agg(F.sum("n").alias("n")).where(F.col("n") > share)
-    sliced = by_term.select("term", F.ceil(F.col("n") / F.lit(share)).cast("int").alias("slices"))
-    subs = sub_buckets or sub_buckets_for(occurrences)
-    write_merged_index(terms, path, subs, sliced, num_files)
-    write_vocabulary(vocab, path)
-    remove_path(spark, words_path)
-    remove_path(spark, vocab_path)
-    return {"vocabulary_words": n_words, "vocabulary_broadcast": small, "occurrences": occurrences, "sub_buckets": subs, "path": path}
+
+    def clean_up() -> None:
+        remove_path(spark, words_path)
+        remove_path(spark, vocab_path)
+
+    return terms, {"vocabulary": vocab, "words": sums["words"], "occurrences": sums["occurrences"], "broadcast": small}, clean_up
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

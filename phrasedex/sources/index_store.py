@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from phrasedex.functions.text import sub_bucket_of
 from phrasedex.operators.postings import with_bucket
+from phrasedex.sources.segments import live_segments, read_state
 
 # Spark tests Parquet statistics against every value of an IN list only up to this
 # session setting (10 by default); read_index raises it to the number of terms.
@@ -124,27 +125,41 @@ def read_index(
     ``wanted``: a table with (bucket, term) rows of any number. Its distinct (bucket, sub-bucket) pairs, at most as
     many as the index has folders, are broadcast and prune the folders at run time; rows of other terms in
     these folders are still in the result. An index without sub-buckets ignores it.
+
+    A path may be the root of a growing index (``sources.segments``): its live rows are read.
     """
     paths = [path] if isinstance(path, str) else list(path)
     bucket_list = sorted({int(b) for b in buckets}) if buckets is not None else None
     term_list = sorted(set(terms)) if terms is not None else None
     if term_list and int(spark.conf.get(PUSHDOWN_SETTING, "10")) < len(term_list):
         spark.conf.set(PUSHDOWN_SETTING, str(len(term_list)))
-    out = None
-    # One scan per index root (each has its own bucket=N folders).
-    for p in paths:
-        df = spark.read.schema(INDEX_SCHEMA).parquet(p)
+
+    def prune(df: DataFrame, subs: int) -> DataFrame:
         if bucket_list is not None:
             df = df.where(F.col("bucket").isin(bucket_list))
         if term_list is not None:
             df = df.where(F.col("term").isin(term_list))
-        subs = read_layout(spark, p).get("sub_buckets", 0) if wanted is not None and "sub" in df.columns else 0
-        if subs > 1:
+        if wanted is not None and subs > 1:
             # The comparison marks the side as selective, which Spark asks for before it prunes by a join.
             folders = wanted.select("bucket", sub_bucket_of("term", subs).alias("sub")).distinct().where(F.col("sub") >= 0)
             df = df.join(F.broadcast(folders), ["bucket", "sub"], "left_semi")
-        df = df.select("bucket", "term", "doc_id", "positions")
-        out = df if out is None else out.unionByName(df)
+        return df
+
+    out = None
+    # One scan per index root (each has its own bucket=N folders), and per live segment of a growing index.
+    for p in paths:
+        state = read_state(spark, p)
+        if state is not None and state["segments"]:
+            scans = live_segments(spark, p, state, prune=prune)
+        elif state is not None:
+            scans = [spark.sql("SELECT * FROM VALUES (0, '', 0L, array(0)) AS t(bucket, term, doc_id, positions)").where(F.lit(False))]
+        else:
+            df = spark.read.schema(INDEX_SCHEMA).parquet(p)
+            subs = read_layout(spark, p).get("sub_buckets", 0) if wanted is not None and "sub" in df.columns else 0
+            scans = [prune(df, subs)]
+        for df in scans:
+            df = df.select("bucket", "term", "doc_id", "positions")
+            out = df if out is None else out.unionByName(df)
     if len(paths) > 1:
         merged = F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")
         out = out.groupBy("bucket", "term", "doc_id").agg(merged)

@@ -3,8 +3,8 @@
 ``tab``:  ``term`` + space + TAB + ``doc:p:p,doc:p``
 ``pipe``: ``term`` + space + ``doc|p:p,doc|p``
 
-A line covers one term and one block of consecutive doc ids, so a frequent term
-spans several lines instead of one unbounded line. Documents are in doc_id
+A line covers one term and one block of consecutive doc ids (or of as many documents, by
+rank), so a frequent term spans several lines instead of one unbounded line. Documents are in doc_id
 order, positions ascending. The reader accepts both styles and either
 separator after the doc id.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasedex.functions.text import bucket_of
+from phrasedex.operators.postings import with_block
 
 DOCS_PER_LINE = 1024
 
@@ -23,15 +24,15 @@ DOCS_PER_LINE = 1024
 STYLES = {"tab": (":", " \t"), "pipe": ("|", " ")}
 
 
-def postings_to_text(postings: DataFrame, style: str = "pipe", docs_per_line: int = DOCS_PER_LINE) -> DataFrame:
-    """(bucket, term, block, line) from (term, doc_id, positions)."""
+def postings_to_text(postings: DataFrame, style: str = "pipe", docs_per_line: int = DOCS_PER_LINE, by_rank: bool = False) -> DataFrame:
+    """(bucket, term, block, line) from (term, doc_id, positions); ``by_rank``: see ``with_block``."""
     if style not in STYLES:
         raise ValueError("style must be 'tab' or 'pipe'")
     id_sep, head_sep = STYLES[style]
     entry = F.concat(F.col("doc_id").cast("string"), F.lit(id_sep), F.array_join(F.col("positions"), ":"))
-    grouped = postings.groupBy(
-        "term", F.floor(F.col("doc_id") / docs_per_line).cast("bigint").alias("block")
-    ).agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("_docs"))
+    grouped = with_block(postings, docs_per_line, by_rank).groupBy("term", "block").agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("_docs")
+    )
     line = F.concat(F.col("term"), F.lit(head_sep), F.array_join(F.transform("_docs", lambda x: x["e"]), ","))
     return grouped.select(bucket_of(F.col("term")).alias("bucket"), "term", "block", line.alias("line"))
 
