@@ -6,16 +6,13 @@ import contextlib
 import ctypes
 import gc
 import math
-import tempfile
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasedex.session import shared_dir
+from phrasedex.session import ARROW_ROWS, parts_for, plan_bytes, shared_dir, ship_package
 
 #: A word of a text: a run of bytes other than space, tab, LF, VT, FF, CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -36,19 +33,6 @@ def with_row_key(docs: DataFrame, name: str) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size of ``df`` in bytes, from file sizes; used for sizing only, never for results.
-
-    Where Catalyst has no size (rows that come from Python), 4 KB a row are assumed.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 57 else 4096 * df.count()
-
-
-def parts_for(n_bytes: int, per_part: int, least: int = 1) -> int:
-    return max(least, math.ceil(n_bytes / per_part))
-
-
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
@@ -71,31 +55,9 @@ def int_hash(*cols: str) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
-_SHIPPED: set[str] = set()
-
-
 def release() -> None:
     """Give freed memory of a Python worker back to the system; workers live on between tasks."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
-#: Rows per Arrow batch between Spark and its Python workers; texts may be long.
-ARROW_ROWS = 1000
-
-
-def ship_package(spark) -> None:
-    """Send this package to the session's Python workers, once per application, and keep Arrow batches small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _SHIPPED.add(app)

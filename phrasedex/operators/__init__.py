@@ -1,6 +1,6 @@
 """DataFrame -> DataFrame operators. None of them collects data to the driver."""
 
-from phrasedex.operators.tokens import document_words, explode_terms, tokenize, with_words
+from phrasedex.operators.tokens import by_document, document_terms, document_words, explode_terms, tokenize, with_words, word_counts
 from phrasedex.operators.stemming import (
     apply_frequent_stems,
     apply_stems,
@@ -19,6 +19,8 @@ from phrasedex.operators.postings import (
 from phrasedex.operators.queries import benchmark_phrases, parse_queries, query_buckets, query_words
 from phrasedex.operators.search import (
     candidate_docs,
+    deal_postings,
+    lookup_rarest,
     lookup_terms,
     matching_docs,
     phrase_docs,
@@ -32,6 +34,9 @@ __all__ = [
     "explode_terms",
     "with_words",
     "document_words",
+    "document_terms",
+    "word_counts",
+    "by_document",
     "stem_vocabulary",
     "apply_stems",
     "apply_frequent_stems",
@@ -46,6 +51,8 @@ __all__ = [
     "query_buckets",
     "query_words",
     "lookup_terms",
+    "deal_postings",
+    "lookup_rarest",
     "candidate_docs",
     "candidate_docs_by_bitmap",
     "phrase_blocks",

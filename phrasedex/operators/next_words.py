@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasedex.operators.search import lookup_terms, phrase_match
+from phrasedex.operators.search import lookup_rarest, lookup_terms, phrase_match
 
 
 def frequent_lengths(vocabulary: DataFrame, limit: int) -> DataFrame:
@@ -71,4 +71,6 @@ def phrase_match_with_pairs(index: DataFrame, pairs: DataFrame, parsed: DataFram
     covered = covered_phrases(parsed, frequent)
     by_pairs = parsed.join(F.broadcast(covered), "query_id", "left_semi")
     rest = parsed.join(F.broadcast(covered), "query_id", "left_anti")
-    return pair_matches(pairs, by_pairs).unionByName(phrase_match(lookup_terms(index, rest, broadcast_queries=True)))
+    one, many = rest.where(F.col("n_terms") == 1), rest.where(F.col("n_terms") > 1)
+    plain = phrase_match(lookup_terms(index, one, broadcast_queries=True)).unionByName(phrase_match(lookup_rarest(index, many, broadcast_queries=True)))
+    return pair_matches(pairs, by_pairs).unionByName(plain)
