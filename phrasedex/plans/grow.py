@@ -1,8 +1,9 @@
 """Jobs on a growing index (``sources.segments``): add or replace documents, delete, compact, vacuum.
 
-    add       documents -> stemmed postings, one exchange by doc_id -> segment=N; ids -> tombstones=N
+    add       texts, exchanged by doc_id -> stemmed postings where the text is -> segment=N; ids -> tombstones=N
     delete    ids -> tombstones=N
-    compact   live rows of the chosen segments, bucket by bucket (no exchange) -> segment=N
+    compact   live rows of the chosen segments, bucket by bucket without an exchange while a bucket fits
+              a task, else dealt once by folder and bucket -> segment=N
 
 A step costs as much as its own documents, whatever the index holds. Reading costs one
 scan per live segment, so segments are compacted by size: ``compact`` merges the newest ones
@@ -14,10 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from phrasedex.plans.build import MAX_BROADCAST_WORDS, remove_path, stemmed_document_words, sub_buckets_for
+from phrasedex.functions.text import bucket_of, sub_bucket_of
+from phrasedex.operators.tokens import document_terms
+from phrasedex.plans.build import remove_path, sub_buckets_for
+from phrasedex.session import parts_for, plan_bytes
 from phrasedex.sources.segments import (
     DOC_BUCKETS,
     live_segments,
@@ -33,6 +37,10 @@ from phrasedex.sources.segments import (
 
 # A segment of up to so many times the rows merged already is merged with them.
 RATIO = 4.0
+# Bytes of documents, by Catalyst's estimate, whose postings one task of ``add_documents`` sorts; postings that one of ``compact`` does.
+# A posting takes some 110 bytes in a sort, so either stays in memory.
+SEGMENT_TASK_BYTES = 16 << 20
+ROWS_PER_TASK = 2_000_000
 
 
 def _state(spark: SparkSession, root: str, doc_buckets: int = DOC_BUCKETS) -> dict:
@@ -50,21 +58,23 @@ def _segment(spark: SparkSession, root: str, step: int, doc_buckets: int, subs:
 
 
 def add_documents(spark: SparkSession, root: str, docs: DataFrame, body: str = "body", stopwords: Iterable[str] | None = None,
-                  max_broadcast_words: int = MAX_BROADCAST_WORDS, doc_buckets: int = DOC_BUCKETS) -> dict:
+                  doc_buckets: int = DOC_BUCKETS) -> dict:
     """Add (doc_id, body) documents as a new segment; an id the index holds already is replaced. Returns the new state.
 
-    ``doc_buckets`` counts for the first segment of a root; later ones take its number.
+    ``doc_buckets`` counts for the first segment of a root; later ones take its number. A bucket is written by as
+    many tasks as the documents' size asks for, each of which writes that bucket alone; their files are
+    small, so a new segment has no sub-buckets before it is compacted.
     """
     state = _state(spark, root, doc_buckets)
-    step, n = state["step"] + 1, state["doc_buckets"]
-    terms, facts, clean_up = stemmed_document_words(spark, docs, body, stopwords, max_broadcast_words)
-    subs = sub_buckets_for(facts["occurrences"])
-    write_segment(_postings(terms.select("doc_id", "term", "positions").repartition(n, "doc_id")), root, step, n, subs)
-    clean_up()
+    step, n, subs = state["step"] + 1, state["doc_buckets"], sub_buckets_for(0)
+    per_bucket = parts_for(plan_bytes(docs), SEGMENT_TASK_BYTES * n, parts_for(spark.sparkContext.defaultParallelism, n))
+    seen = Observation()
+    postings = document_terms(docs, body, stopwords, tasks=n * per_bucket).observe(seen, F.sum(F.size("positions")).alias("occurrences"))
+    write_segment(postings, root, step, n, subs)
     tombstones = list(state["tombstones"])
     if state["segments"]:
         tombstones.append({"step": step, "rows": write_tombstones(docs, root, step, n)})
-    new = {**state, "step": step, "segments": [*state["segments"], _segment(spark, root, step, n, subs, facts["occurrences"])], "tombstones": tombstones}
+    new = {**state, "step": step, "segments": [*state["segments"], _segment(spark, root, step, n, subs, seen.get["occurrences"] or 0)], "tombstones": tombstones}
     write_state(spark, root, new)
     return new
 
@@ -101,6 +111,22 @@ def merged_postings(spark: SparkSession, root: str, state: dict, steps: list[int
     return _postings(rows)
 
 
+def dealt_postings(spark: SparkSession, root: str, state: dict, steps: list[int], subs: int, rows: int) -> DataFrame:
+    """The rows of ``merged_postings`` dealt over tasks of about ``ROWS_PER_TASK`` by folder and document bucket, so that no task holds a whole bucket.
+
+    Dead rows go before the one exchange; a file of the new segment is written by one task. A document is
+    live in one segment, where a term has one row of it, so only rows without an id are left to be merged.
+    """
+    union = None
+    for df in live_segments(spark, root, state, steps):
+        df = df.select("doc_id", "term", "positions")
+        union = df if union is None else union.unionByName(df)
+    # The last is the rule of Spark's buckets.
+    keys = (bucket_of(F.col("term")), sub_bucket_of("term", subs), F.pmod(F.hash("doc_id"), F.lit(state["doc_buckets"])))
+    dealt = union.where("doc_id IS NOT NULL").repartition(parts_for(rows, ROWS_PER_TASK), *keys)
+    return dealt.unionByName(_postings(union.where("doc_id IS NULL")).select("doc_id", "term", "positions"))
+
+
 def compact(spark: SparkSession, root: str, ratio: float | None = RATIO) -> dict:
     """Merge the newest segments of like size (all with ``ratio`` None) into one that holds live postings only.
 
@@ -116,7 +142,9 @@ def compact(spark: SparkSession, root: str, ratio: float | None = RATIO) -> dict
     # At most as many as before the dead ones went.
     occurrences = sum(s["occurrences"] for s in state["segments"] if s["step"] in steps)
     subs = sub_buckets_for(occurrences)
-    write_segment(merged_postings(spark, root, state, steps), root, step, n, subs)
+    rows = sum(s["rows"] for s in state["segments"] if s["step"] in steps)
+    small = rows <= ROWS_PER_TASK * n
+    write_segment(merged_postings(spark, root, state, steps) if small else dealt_postings(spark, root, state, steps, subs, rows), root, step, n, subs)
     kept = [s for s in state["segments"] if s["step"] not in steps]
     oldest = kept[0]["step"] if kept else step
     new = {
@@ -146,4 +174,4 @@ def vacuum(spark: SparkSession, root: str) -> list[str]:
     return sorted(gone)
 
 
-__all__ = ["add_documents", "delete_documents", "compact", "vacuum", "merged_postings", "segments_to_merge"]
+__all__ = ["add_documents", "delete_documents", "compact", "vacuum", "dealt_postings", "merged_postings", "segments_to_merge"]

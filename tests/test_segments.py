@@ -6,12 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from phrasedex.operators import build_inverted_index, merge_postings
+from phrasedex.plans import grow
 from phrasedex.plans.build import build_index, corpus_postings
 from phrasedex.plans.grow import add_documents, compact, delete_documents, merged_postings, segments_to_merge, vacuum
 from phrasedex.plans.search import search_batch, search_phrase
 from phrasedex.session import local_path, shared_dir
 from phrasedex.sources import postings_from_text, postings_to_text, read_index
-from phrasedex.sources.segments import live_segments, read_state, write_state
+from phrasedex.sources.segments import live_segments, read_state, segment_table, write_state
 from tests.conftest import SF0001
 
 BUCKETS = 4
@@ -130,6 +131,30 @@ def test_compaction(spark):
         write_state(spark, root, state)
 
 
+def test_no_task_sorts_a_whole_bucket(spark, monkeypatch):
+    docs = _docs(spark)
+    docs = docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).coalesce(2)
+    root = shared_dir(spark, "t-dealt")
+    monkeypatch.setattr(grow, "SEGMENT_TASK_BYTES", 4096)
+    monkeypatch.setattr(grow, "ROWS_PER_TASK", 5000)
+    dealt = []
+    monkeypatch.setattr(grow, "dealt_postings", lambda *a, make=grow.dealt_postings: dealt.append(make(*a)) or dealt[-1])
+    add_documents(spark, root, docs, doc_buckets=BUCKETS)
+    add_documents(spark, root, docs.where("doc_id % 5 = 0"))
+    table = segment_table(spark, root, 1, BUCKETS)
+    # A bucket's postings come from several tasks, each of which writes that bucket alone.
+    files = table.select(F.input_file_name().alias("f")).distinct().collect()
+    tasks = {r["f"].rsplit("/part-", 1)[1].split(".")[0] for r in files}
+    assert len({t.split("-")[0] for t in tasks}) > BUCKETS == len({t.rsplit("_", 1)[1] for t in tasks})
+    assert all(int(t.split("-")[0]) % BUCKETS == int(t.rsplit("_", 1)[1]) for t in tasks)
+    want = corpus_postings(docs, by="document")
+    state = compact(spark, root, ratio=None)
+    assert len(dealt) == 1 and dealt[0].rdd.getNumPartitions() > BUCKETS
+    assert _same(read_index(spark, root), want) == state["segments"][0]["rows"]
+    assert state["segments"][0]["occurrences"] >= want.agg(F.sum(F.size("positions"))).first()[0]
+    assert read_index(spark, root).where("doc_id IS NULL").count() == want.where("doc_id IS NULL").count() > 0
+
+
 def test_sizes_decide_what_is_merged():
     state = {"segments": [{"step": i, "rows": n} for i, n in enumerate((1000, 100, 30, 10), 1)]}
     assert segments_to_merge(state, 4.0) == [2, 3, 4]
