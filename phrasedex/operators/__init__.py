@@ -20,6 +20,7 @@ from phrasedex.operators.queries import benchmark_phrases, parse_queries, query_
 from phrasedex.operators.search import (
     candidate_docs,
     deal_postings,
+    lookup_aligned,
     lookup_rarest,
     lookup_terms,
     matching_docs,
@@ -52,6 +53,7 @@ __all__ = [
     "query_words",
     "lookup_terms",
     "deal_postings",
+    "lookup_aligned",
     "lookup_rarest",
     "candidate_docs",
     "candidate_docs_by_bitmap",

@@ -9,11 +9,13 @@ from phrasedex.functions.porter_batch import stems_of
 from phrasedex.operators import (
     candidate_docs,
     document_terms,
+    lookup_aligned,
     lookup_rarest,
     lookup_terms,
     matching_docs,
     parse_queries,
     partial_phrase_matches,
+    phrase_match,
     with_bucket,
     with_words,
     word_counts,
@@ -67,3 +69,17 @@ def test_rarest_word_gives_the_same_matches(spark):
     # Phrases do not meet the postings of their frequent words in every document, and matches are counted where rows lie.
     assert rare.count() < plain.count()
     assert not re.search(r"Exchange hashpartitioning\(query_id#\d+, doc_id", _plan(matching_docs(lookup_rarest(index, parsed, True))))
+
+
+def test_positions_without_the_rarest_words_vote_are_not_expanded(spark):
+    docs = _docs(spark).unionByName(spark.createDataFrame([(50, "the " * 40 + "king of the " + "of " * 40), (51, "of the")], "doc_id long, body string"))
+    index = with_bucket(corpus_postings(docs, by="document")).checkpoint()
+    phrases = ["the war", "war of kings", "of the king", "king of the of", "missing war", "war war", "a war"]
+    parsed = parse_queries(spark.createDataFrame(list(enumerate(phrases)), "query_id long, query string")).checkpoint()
+    for small in (True, False):
+        rare, cut = lookup_rarest(index, parsed, small), lookup_aligned(index, parsed, small)
+        for match in (matching_docs, phrase_match) if small else (phrase_match,):
+            want = [r for r in _rows(match(lookup_terms(index, parsed, small))) if "doc_id=None" not in r]
+            assert _rows(match(cut, aligned=True)) == _rows(match(rare)) == want
+    votes = [df.where("doc_id = 50").agg(F.sum(F.size("positions"))).first()[0] for df in (rare, cut)]
+    assert votes[0] > 200 and votes[1] < votes[0] / 4
