@@ -92,7 +92,7 @@ def _grouped(data: np.ndarray, offsets: np.ndarray, owners: np.ndarray, numbers:
     owner = (np.searchsorted(owners, doc, "right") - 1)[token]
     key = owner * max(1, len(names)) + code
     # Offsets ascend in a text, so a stable sort keeps them so; those of several texts are sorted too.
-    order = np.argsort(key, kind="stable") if n == len(offsets) - 1 else np.lexsort((pos[token], key))
+    order = np.argsort(key, kind="stable") if np.diff(owners).max(initial=0) <= 1 else np.lexsort((pos[token], key))
     key = key[order]
     cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
     at = pa.array(np.append(cut, len(key)).astype(np.int32))
