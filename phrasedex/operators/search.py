@@ -32,10 +32,13 @@ def lookup_terms(index: DataFrame, parsed: DataFrame, broadcast_queries: bool =
     checked the size of the parsed batch; otherwise Spark/AQE choose.
     """
     q = parsed.select("bucket", "term", "query_id", "k", "start_offset", "n_terms")
-    if broadcast_queries:
-        q = F.broadcast(q)
     idx = index.select("bucket", "term", "doc_id", "positions")
-    return idx.join(q, ["bucket", "term"]).select(*LOOKUP_COLUMNS)
+    if not broadcast_queries:
+        return idx.join(q, ["bucket", "term"]).select(*LOOKUP_COLUMNS)
+    # A posting meets its term once and is repeated for the words after that; what is computed of it before is computed once.
+    uses = q.groupBy("bucket", "term").agg(F.collect_list(F.struct("query_id", "k", "start_offset", "n_terms")).alias("uses"))
+    met = idx.join(F.broadcast(uses), ["bucket", "term"]).select("doc_id", "positions", F.explode("uses").alias("q"))
+    return met.select("q.query_id", "q.k", "doc_id", "positions", "q.start_offset", "q.n_terms")
 
 
 def deal_postings(index: DataFrame, parsed: DataFrame, broadcast_queries: bool = False) -> DataFrame:
