@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasedex.functions.text import bucket_of
-from phrasedex.operators.postings import with_block
+from phrasedex.operators.postings import DOCS_PER_BLOCK, group_blocks
 
-DOCS_PER_LINE = 1024
+DOCS_PER_LINE = DOCS_PER_BLOCK
 
 # The two line formats, as (separator after the doc id,
 # separator after the term). Documents are joined by ',' and positions by ':'.
@@ -25,15 +25,13 @@ STYLES = {"tab": (":", " \t"), "pipe": ("|", " ")}
 
 
 def postings_to_text(postings: DataFrame, style: str = "pipe", docs_per_line: int = DOCS_PER_LINE, by_rank: bool = False) -> DataFrame:
-    """(bucket, term, block, line) from (term, doc_id, positions); ``by_rank``: see ``with_block``."""
+    """(bucket, term, block, line) from (term, doc_id, positions); ``by_rank``: see ``group_blocks``."""
     if style not in STYLES:
         raise ValueError("style must be 'tab' or 'pipe'")
     id_sep, head_sep = STYLES[style]
     entry = F.concat(F.col("doc_id").cast("string"), F.lit(id_sep), F.array_join(F.col("positions"), ":"))
-    grouped = with_block(postings, docs_per_line, by_rank).groupBy("term", "block").agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("_docs")
-    )
-    line = F.concat(F.col("term"), F.lit(head_sep), F.array_join(F.transform("_docs", lambda x: x["e"]), ","))
+    grouped = group_blocks(postings, F.struct("doc_id", entry.alias("e")), docs_per_line, by_rank)
+    line = F.concat(F.col("term"), F.lit(head_sep), F.array_join(F.transform("entries", lambda x: x["e"]), ","))
     return grouped.select(bucket_of(F.col("term")).alias("bucket"), "term", "block", line.alias("line"))
 
 
