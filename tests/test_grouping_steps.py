@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from phrasedex.functions import porter_batch
-from phrasedex.operators import build_inverted_index, lookup_terms, parse_queries, postings, with_bucket
+from phrasedex.operators import build_inverted_index, candidate_docs, lookup_terms, parse_queries, postings, with_bucket
 from phrasedex.operators.bitmaps import set_bits
 from phrasedex.operators.words import grouped_terms
 from phrasedex.plans.build import corpus_postings
@@ -64,6 +64,18 @@ def test_a_posting_meets_its_term_once(spark):
     assert _rows(got) == _rows(lookup_terms(index, parsed))
 
 
+def test_texts_are_cut_once_for_a_batch(spark):
+    import __spark_entry__ as entry
+
+    index = with_bucket(corpus_postings(_docs(spark), by="document"))
+    queries = spark.createDataFrame([(1, "the war"), (2, "war"), (3, "missing war")], "query_id long, query string")
+    parsed = parse_queries(queries).checkpoint()
+    got = entry._matched(index, parsed, True, candidate_docs)
+    assert "ArrowEvalPython" not in _plan(got)
+    want = candidate_docs(lookup_terms(index, parsed))
+    assert _rows(got.where("doc_id IS NOT NULL")) == _rows(want.where("doc_id IS NOT NULL"))
+
+
 def test_bits_of_a_bitmap(spark):
     wanted = [0, 7, 8, 63, 64, 71, 12345, 32767]
     data = bytearray(4096)
