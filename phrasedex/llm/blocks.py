@@ -124,18 +124,20 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     """Position of the smallest hash in every window of ``w`` hashes, the leftmost of equals.
 
     Hashes are compared by their upper 42 bits, so the choice depends on the
-    window's content alone, whatever is around it.
+    window's content alone, whatever is around it. Minima of windows of 1, 2, 4, ... hashes
+    come from two of half the width each, those of ``w`` from two that overlap.
     """
     m = len(h) - w + 1
     out = np.empty(max(0, m), np.int64)
     for a in range(0, max(0, m), SEGMENT):
-        part = h[a : min(a + SEGMENT, m) + w - 1]
-        key = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64)
-        full = np.full(-(-len(key) // w) * w, ~U(0))
-        full[: len(key)] = key
-        grid = full.reshape(-1, w)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        n = len(part) - w + 1
-        out[a : a + n] = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & _PLACE).astype(np.int64) + a
+        key = h[a : min(a + SEGMENT, m) + w - 1] & ~_PLACE
+        key |= np.arange(len(key), dtype=np.uint64)
+        n, width = len(key) - w + 1, 1
+        while 2 * width <= w:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        least = np.minimum(key[:n], key[w - width : w - width + n])
+        least &= _PLACE
+        out[a : a + n] = least.view(np.int64)
+        out[a : a + n] += a
     return out

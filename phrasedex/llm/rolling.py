@@ -21,10 +21,11 @@ CHUNK = 1 << 20
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U(27))
-    x = x * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U(_B))
@@ -44,10 +45,16 @@ class _Powers:
 _POWERS, _INVERSE = _Powers(_B), _Powers(_B_INV)
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """B^-t for t in [0, n)."""
+    return _INVERSE.upto(n)
+
+
 def prefix(values: np.ndarray) -> np.ndarray:
     """Prefix sums P with P[j] - P[i] = the sum of values[t] * B^t over t in [i, j)."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _POWERS.upto(len(values)), out=out[1:])
+    np.multiply(values, _POWERS.upto(len(values)), out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 

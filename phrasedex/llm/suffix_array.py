@@ -106,7 +106,8 @@ def _order_of_names(names: np.ndarray) -> np.ndarray:
         if not len(open_):
             break
         nxt = rank[np.minimum(open_ + step, n)]
-        order = np.lexsort((nxt, rank[open_]))
+        # Pairs as one number; the order of equal ones does not matter.
+        order = np.argsort(rank[open_] * (n + 1) + nxt)
         r, x, who = rank[open_][order], nxt[order], open_[order]
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
         new = np.r_[True, (r[1:] != r[:-1]) | (x[1:] != x[:-1])]

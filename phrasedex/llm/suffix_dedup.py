@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 
 from .blocks import ANSWER, NO_ID, OFFER, Blocks, answer_rows, entries, groups, window_minima
 from .common import parts_for, plan_bytes, table
-from .rolling import BYTE_VALUES, CHUNK, U, mix, prefix, spans, windows
+from .rolling import BYTE_VALUES, CHUNK, U, inverse_powers, mix, prefix, spans, windows
 from .suffix_array import join_texts, permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 120
 HOT = 1000
 #: Text bytes per shard, and context bytes sorted at once.
 SHARD_BYTES, SORT_BYTES = 1 << 20, 1 << 20
+#: Bytes of short texts handled at once, so that their hashes stay in a processor's cache.
+CACHED = 1 << 16
 _GRAM = np.dtype([("h", "<u8"), ("x", "<u8"), ("n", "<u4")])
 _ENTRY = np.dtype([("h", "<u8"), ("x", "<u4")])
 #: Questions of the three kinds of offers.
@@ -62,19 +64,23 @@ class _Runs:
             least = window_minima(h, length - gram + 1)
             sizes = np.array([b - a for _, a, b in pieces])
             begin = np.cumsum(np.r_[0, sizes[:-1]])
-            start = np.concatenate([np.arange(s, s + max(0, n - length + 1)) for s, n in zip(begin, sizes)])
-            if not len(start):
+            # A run ends where the named gram changes, and where its piece's strings end.
+            new = np.empty(len(least) + 1, bool)
+            np.not_equal(least[1:], least[:-1], out=new[1:-1])
+            stop = begin + np.maximum(sizes - length + 1, 0)
+            new[begin[begin < len(least)]] = new[stop[stop < len(least)]] = new[-1] = True
+            s0 = np.flatnonzero(new)
+            s0, s1 = s0[:-1], s0[1:] - 1
+            who = np.searchsorted(begin, s0, "right") - 1
+            inside = s0 < stop[who]
+            s0, s1, who = s0[inside], s1[inside], who[inside]
+            if not len(s0):
                 continue
-            piece = np.repeat(np.arange(len(pieces)), np.maximum(sizes - length + 1, 0))
-            place = least[start]
-            new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (piece[1:] != piece[:-1])])
-            last = np.r_[new[1:], len(start)] - 1
-            s0, s1, who = start[new], start[last], piece[new]
             shift = np.array([a for _, a, _ in pieces])[who] - begin[who]
             cols[0].append(np.array([d for d, _, _ in pieces])[who])
             cols[1].append(s0 + shift)
             cols[2].append(s1 + shift)
-            cols[3].append(h[place[new]])
+            cols[3].append(h[least[s0]])
             cols[4].append(spans(p, s0, s1 + length))
         whole = [np.concatenate(c) if c else np.empty(0, np.int64) for c in cols]
         self.doc, self.s0, self.s1 = whole[:3]
@@ -114,8 +120,11 @@ class _Runs:
 
 
 def _grams(p: np.ndarray, gram: int) -> np.ndarray:
-    at = np.arange(len(p) - gram)
-    return spans(p, at, at + gram)
+    """``spans`` of every window of ``gram`` bytes."""
+    out = p[gram:] - p[:-gram]
+    out *= inverse_powers(len(out))
+    out += U(gram)
+    return mix(out)
 
 
 def _distinct(h: np.ndarray, x: np.ndarray):
@@ -130,12 +139,12 @@ def _distinct(h: np.ndarray, x: np.ndarray):
 
 
 def _pieces(texts: list[bytes], length: int):
-    """Lists of (document, from, to) of about CHUNK bytes; long texts are cut with an overlap of length - 1."""
+    """Lists of (document, from, to) of about CACHED bytes; texts longer than CHUNK are cut with an overlap of length - 1."""
     out, size = [], 0
     for d, t in enumerate(texts):
         for a in range(0, max(1, len(t) - length + 1), CHUNK):
             b = min(len(t), a + CHUNK + length - 1)
-            if size and size + b - a > CHUNK:
+            if size and size + b - a > CACHED:
                 yield out
                 out, size = [], 0
             out.append((d, a, b))

@@ -125,3 +125,25 @@ def test_suffix_array_and_prefixes():
             while max(a, b) + k < len(own) and own[a + k] == own[b + k]:
                 k += 1
             assert length[a] == k and before[a] == b
+
+
+def test_texts_are_hashed_in_small_pieces():
+    """Short texts are taken some at a time, and no run differs from those of each text alone."""
+    from phrasedex.llm.suffix_dedup import CACHED, _pieces, _Runs
+
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (0, 30_000, 5, 39, 40, 41, 0, 60_000, 50_000, 0)]
+    sizes = [sum(b - a for _, a, b in p) for p in _pieces(texts, 40)]
+    assert max(sizes) <= CACHED and sum(sizes) == sum(map(len, texts))
+    together = _Runs(texts, 40, 12)
+    at = 0
+    for d, t in enumerate(texts):
+        alone = _Runs([t], 40, 12)
+        n = len(alone.doc)
+        assert (together.doc[at : at + n] == d).all()
+        for name in ("s0", "s1", "gram", "context"):
+            assert (getattr(together, name)[at : at + n] == getattr(alone, name)).all()
+        starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(alone.s0, alone.s1)]) if n else np.empty(0)
+        assert starts.tolist() == list(range(max(0, len(t) - 39)))
+        at += n
+    assert at == len(together.doc)
