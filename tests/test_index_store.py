@@ -176,3 +176,26 @@ def test_batch_of_terms_reads_few_row_groups(spark, tmp_path):
     df = read_index(spark, str(tmp_path / "i"), buckets=[0], terms=terms)
     assert df.count() == 50
     assert _scanned_rows(df) < 0.25 * n
+
+
+def test_build_writes_one_row_per_term_and_document(spark, tmp_path, monkeypatch):
+    """Words of one stem and rows of one id meet where the document lies: nothing is left to merge before the write."""
+    from phrasedex.plans import build
+
+    rows = [(1, "running runs, run"), (1, "a run"), (2, None), (3, ""), (None, "run ran"), (None, "Running"), (4, "foo-foo x")]
+    seen = []
+
+    def write(terms, *args, merged=False, **options):
+        seen.append((merged, terms.count(), terms.select("term", "doc_id").distinct().count()))
+        build_rows(terms, *args, merged=merged, **options)
+
+    build_rows = build.write_merged_index
+    monkeypatch.setattr(build, "write_merged_index", write)
+    path = str(tmp_path / "i")
+    facts = build.build_index(spark, spark.createDataFrame(rows, "doc_id long, body string"), path)
+    assert seen == [(True, 6, 6)]
+    got = {(r["term"], r["doc_id"]): list(r["positions"]) for r in read_index(spark, path).collect()}
+    assert got == {("run", 1): [0, 2, 8, 14], ("a", 1): [0], ("run", None): [0, 0], ("ran", None): [4], ("foo", 4): [0, 0], ("x", 4): [8]}
+    words = {(r["word"], r["stem"]): r["n"] for r in spark.read.parquet(build.vocabulary_path(path)).collect()}
+    assert words == {("running", "run"): 2, ("runs", "run"): 1, ("run", "run"): 3, ("a", "a"): 1, ("ran", "ran"): 1, ("foo", "foo"): 2, ("x", "x"): 1}
+    assert facts["occurrences"] == 11 and facts["vocabulary_words"] == 7
