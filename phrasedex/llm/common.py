@@ -33,6 +33,15 @@ def with_row_key(docs: DataFrame, name: str) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join of two tables that both grow with the documents: dealt by key and merged, neither side is ever broadcast.
+
+    Spark sizes a table by its files before the query runs: rows of an explode count as if there were none more, and
+    packed files as if their rows took no more, so a table of many times the broadcast limit passes for a small one.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from phrasedex.session import parts_for, shared_dir, ship_package
 
+from .common import dealt_join
+
 # Links of two 8-byte ids that one task connects; a star table of more is dealt to several.
 LINKS_PER_TASK = 1_000_000
 
@@ -82,8 +84,8 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: every node's greater neighbours go to the smallest of its neighbourhood.
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = dealt_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
         smallest = _least(large)
-        small = large.join(smallest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = dealt_join(large, smallest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = small.unionByName(smallest.select("u", F.col("m").alias("v"))).where("u != v").distinct()

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from phrasedex.session import shared_dir
 
-from .common import ROW_KEY, release, table, utf8, with_row_key
+from .common import ROW_KEY, dealt_join, release, table, utf8, with_row_key
 from .components import components
 from .rolling import U, batches, joined_words, mix, windows
 
@@ -180,7 +180,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select(F.col("doc").alias("a"), F.col("packed").alias("ta"))
     right = texts.select(F.col("doc").alias("b"), F.col("packed").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = dealt_join(dealt_join(pairs, right, "b"), left, "a")
     return both.where(linked("a", "ta", "tb")).select("a", "b")
 
 
@@ -230,7 +230,7 @@ def _close(members: DataFrame, per_group: int = 50_000) -> DataFrame:
     tiles gives each member one link to the smallest member it reaches.
     """
     spread = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    m = _tiles(members.join(spread.select("key", "n"), "key"), "key", TILE)
+    m = _tiles(dealt_join(members, spread.select("key", "n"), "key"), "key", TILE)
     m = m.select("tile", "number", "doc", "comp", "own", "mixed", "sig")
     groups = max(1, -(-m.count() // per_group))
 
@@ -293,9 +293,9 @@ def confirmed(sets: list[np.ndarray], comp: list[int], own: list[int] | None) ->
 def _confirm_clusters(clusters: DataFrame, comps: DataFrame, texts: DataFrame, per_group: int = 4 * TILE) -> DataFrame:
     """Confirmed links (a, b) between different components inside clusters (doc, cluster), on full sets, tile by tile."""
     counts = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    m = clusters.join(counts, "cluster").join(comps.withColumnRenamed("id", "doc"), "doc", "left")
+    m = dealt_join(dealt_join(clusters, counts, "cluster"), comps.withColumnRenamed("id", "doc"), "doc", "left")
     m = m.withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    m = _tiles(m, "cluster", TILE // 2).join(texts, "doc")
+    m = dealt_join(_tiles(m, "cluster", TILE // 2), texts, "doc")
     groups = max(1, -(-clusters.count() // per_group))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -326,11 +326,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = _keys(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("leader")).where("n > 1")
-    members = _stored(keys.join(shared.select("key", "leader"), "key"), "members")
+    members = _stored(dealt_join(keys, shared.select("key", "leader"), "key"), "members")
     sigs = reps.select(F.col("rep").alias("doc"), "sig")
 
     asked = members.where("doc != leader").select("doc", "leader").distinct()
-    asked = asked.join(sigs, "doc").join(sigs.select(F.col("doc").alias("leader"), F.col("sig").alias("l_sig")), "leader")
+    asked = dealt_join(dealt_join(asked, sigs, "doc"), sigs.select(F.col("doc").alias("leader"), F.col("sig").alias("l_sig")), "leader")
     near = asked.withColumn("d", _distance("sig", "l_sig")).where(F.col("d") <= DISTANCE)
     first = near.groupBy("doc").agg(F.min(F.struct("d", "leader")).alias("x")).select(F.col("x.leader").alias("a"), F.col("doc").alias("b"))
     first = _stored(first, "first-pairs")
@@ -340,30 +340,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         z = zstandard.ZstdCompressor(level=1)
         return pd.Series([z.compress(utf8(t)) for t in s])
 
-    wanted = members.select("doc").distinct().join(reps.select(F.col("rep").alias("doc"), F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")), "doc")
+    named = reps.select(F.col("rep").alias("doc"), F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
+    wanted = dealt_join(members.select("doc").distinct(), named, "doc")
     # Rows without an id are found by their text alone.
     own = F.coalesce("doc_id", F.lit(0)).alias("at_id")
     texts = source.select(own, F.col("doc_id").isNull().alias("no_id"), "text_hash", pack("text").alias("packed"))
     wanted = wanted.select("doc", F.coalesce("w_id", F.lit(0)).alias("at_id"), F.col("w_id").isNull().alias("no_id"), F.col("w_hash").alias("text_hash"))
-    texts = texts.join(wanted, ["at_id", "no_id", "text_hash"]).dropDuplicates(["doc"]).select("doc", "packed")
+    texts = dealt_join(texts, wanted, ["at_id", "no_id", "text_hash"]).dropDuplicates(["doc"]).select("doc", "packed")
     texts = _stored(texts, "candidate-texts")
 
     links = _stored(_confirm(first, texts), "first-links")
     comps = components(links)
-    placed = members.select("key", "number", "doc").join(comps.withColumnRenamed("id", "doc"), "doc", "left")
-    placed = placed.select("key", "number", "doc", F.coalesce("component", "doc").alias("comp")).join(sigs, "doc")
+    placed = dealt_join(members.select("key", "number", "doc"), comps.withColumnRenamed("id", "doc"), "doc", "left")
+    placed = dealt_join(placed.select("key", "number", "doc", F.coalesce("component", "doc").alias("comp")), sigs, "doc")
     reach = components(_stored(_close(placed), "close"))
     clusters = reach.unionByName(reach.select(F.col("component").alias("id"), "component").distinct())
     clusters = clusters.select(F.col("id").alias("doc"), F.col("component").alias("cluster"))
     more = _stored(_confirm_clusters(clusters, comps, texts), "second-links")
     comps = components(links.unionByName(more))
 
-    classes = reps.select("h1", "h2", "n_shingles", "rep", "doc_id").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = dealt_join(reps.select("h1", "h2", "n_shingles", "rep", "doc_id"), comps.withColumnRenamed("id", "rep"), "rep", "left")
     classes = _stored(classes.select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"), "doc_id"), "class-components")
     # The class's row has its smallest id, if it has any.
     least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = classes.drop("doc_id").join(least, "component").drop("component")
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
+    classes = dealt_join(classes.drop("doc_id"), least, "component").drop("component")
+    out = dealt_join(signed.select("doc_id", "n_shingles", "h1", "h2"), classes, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -378,8 +379,8 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = near_duplicates(keyed, ROW_KEY, text_col).select("doc_id", "component_id")
     # One row per component, combined before the shuffle; documents meet it by their row keys, which differ.
     best = F.min(F.struct(F.col("own_id").isNull(), "own_id", "doc_id"))["doc_id"].alias(ROW_KEY)
-    kept = near.join(ids, "doc_id").groupBy("component_id").agg(best).select(ROW_KEY)
-    return keyed.join(kept, ROW_KEY, "left_semi").drop(ROW_KEY)
+    kept = dealt_join(near, ids, "doc_id").groupBy("component_id").agg(best).select(ROW_KEY)
+    return dealt_join(keyed, kept, ROW_KEY, "left_semi").drop(ROW_KEY)
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -151,3 +151,27 @@ def test_one_row_of_repeated_and_null_ids(frame):
 def test_components(spark, links, want):
     got = components(spark.createDataFrame(links, "a long, b long"))
     assert {r["id"]: r["component"] for r in got.collect()} == want
+
+
+def test_no_table_is_broadcast_by_its_estimated_size(spark, frame, monkeypatch):
+    # Spark takes the shared keys of an explode for smaller than the limit; at 0.5 GB they were broadcast and filled the driver.
+    plans, stored = [], N._stored
+
+    def noted(df, name):
+        plans.append((name, df))
+        return stored(df, name)
+
+    monkeypatch.setattr(N, "_stored", noted)
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = frame([(k, text + f" x{k % 5}") for k in range(20)] + [(99, "another text")])
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1g")
+    try:
+        plans.append(("kept", N.keep_one_each(docs)))
+        for name, df in plans:
+            assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString(), name
+        assert {"members", "close", "second-links", "class-components"} <= {name for name, _ in plans}
+        assert sorted(r["doc_id"] for r in plans[-1][1].collect()) == [0, 99]
+    finally:
+        spark.conf.set(key, before)
