@@ -22,10 +22,10 @@ from phrasedex.operators import (  # noqa: E402
     benchmark_phrases,
     build_inverted_index,
     build_next_words,
-    build_postings,
     candidate_docs,
     candidate_docs_by_bitmap,
     document_terms,
+    document_texts,
     frequent_lengths,
     lookup_aligned,
     lookup_rarest,
@@ -41,7 +41,9 @@ from phrasedex.operators import (  # noqa: E402
     stem_vocabulary,
     tokenize,
     with_bucket,
+    with_stems,
     with_words,
+    word_counts,
 )
 from phrasedex.operators.postings import DOCS_PER_BLOCK  # noqa: E402
 from phrasedex.operators.queries import CLAUSE_ID_SPAN  # noqa: E402
@@ -292,15 +294,15 @@ def q_phrase_match(spark, sf_dir):
 
 def q_phrase_match_next_words(spark, sf_dir):
     # Phrases of frequent words from postings of word pairs, the others from those of their words.
-    words = with_words(_docs(spark, sf_dir))
-    terms, path, _ = attach_stems(spark, words)
-    stored = shared_dir(spark, "terms")
-    terms.select("doc_id", "pos", "term").write.parquet(stored)
-    terms = spark.read.parquet(stored)
-    frequent = frequent_lengths(spark.read.parquet(path), FREQUENT_TERMS)
-    parsed, _ = _parsed(spark, sf_dir)
+    docs = _docs(spark, sf_dir)
+    path = shared_dir(spark, "vocabulary")
+    with_stems(word_counts(docs)).write.parquet(path)
+    # At most FREQUENT_TERMS terms, by counting.
+    frequent = frequent_lengths(spark.read.parquet(path), FREQUENT_TERMS).checkpoint()
+    parsed, small = _parsed(spark, sf_dir)
     parsed = parsed.checkpoint()
-    return phrase_match_with_pairs(with_bucket(build_postings(terms)), build_next_words(terms, frequent), parsed, frequent)
+    index = _stored_batch(_index(spark, sf_dir), parsed, small)
+    return phrase_match_with_pairs(index, build_next_words(document_texts(docs), frequent), parsed, frequent)
 
 
 def q_phrase_docs(spark, sf_dir):

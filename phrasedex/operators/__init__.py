@@ -1,12 +1,13 @@
 """DataFrame -> DataFrame operators. None of them collects data to the driver."""
 
-from phrasedex.operators.tokens import by_document, document_terms, document_words, explode_terms, tokenize, with_words, word_counts
+from phrasedex.operators.tokens import by_document, document_terms, document_texts, document_words, explode_terms, tokenize, with_words, word_counts
 from phrasedex.operators.stemming import (
     apply_frequent_stems,
     apply_stems,
     frequent_vocabulary,
     frequent_words,
     stem_vocabulary,
+    with_stems,
 )
 from phrasedex.operators.bitmaps import candidate_docs_by_bitmap, phrase_blocks, term_bitmaps
 from phrasedex.operators.next_words import build_next_words, frequent_lengths, phrase_match_with_pairs
@@ -36,9 +37,11 @@ __all__ = [
     "with_words",
     "document_words",
     "document_terms",
+    "document_texts",
     "word_counts",
     "by_document",
     "stem_vocabulary",
+    "with_stems",
     "apply_stems",
     "apply_frequent_stems",
     "frequent_vocabulary",

@@ -11,10 +11,13 @@ the postings of its words are never read. All other phrases take the plain looku
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phrasedex.operators.search import lookup_rarest, lookup_terms, phrase_match
+from phrasedex.operators.words import PAIRS_TYPE, paired_terms
+from phrasedex.session import ship_package
 
 
 def frequent_lengths(vocabulary: DataFrame, limit: int) -> DataFrame:
@@ -27,12 +30,30 @@ def frequent_lengths(vocabulary: DataFrame, limit: int) -> DataFrame:
     return terms.where(F.col("n") * F.lit(limit) >= total).select("term", F.explode("lengths").alias("word_len"))
 
 
+def _document_pairs(documents: DataFrame, frequent: DataFrame) -> DataFrame:
+    lengths: dict[str, list[int]] = {}
+    for r in frequent.select("term", "word_len").distinct().collect():
+        lengths.setdefault(r["term"], []).append(r["word_len"])
+    ship_package(documents.sparkSession)
+
+    def pairs(texts: pa.Array) -> pa.Array:
+        return paired_terms(texts, lengths)
+
+    own = documents.where("doc_id is not null").select("doc_id", F.arrow_udf(pairs, PAIRS_TYPE)("texts").alias("_pairs"))
+    return own.select("doc_id", F.explode("_pairs").alias("p")).select("p.first", "p.gap", "p.second", "doc_id", "p.positions")
+
+
 def build_next_words(terms: DataFrame, frequent: DataFrame) -> DataFrame:
     """(first, gap, second, doc_id, positions) from (doc_id, pos, term) rows; ``frequent`` is broadcast.
 
     Positions meet what stands ``gap`` further by one join on (doc_id, offset), keys that
     no term and no document fills, whatever the frequency of a word.
+
+    From (doc_id, texts) rows (``document_texts``) pairs are made in the document's row, so neither positions nor
+    pairs are exchanged; ``frequent``, whose rows ``frequent_lengths`` bounds, goes with the function. Rows without an id take no part in either.
     """
+    if "texts" in terms.columns:
+        return _document_pairs(terms, frequent)
     firsts = terms.join(F.broadcast(frequent), "term").select(
         "doc_id", F.col("term").alias("first"), (F.col("word_len") + 1).alias("gap"), "pos", (F.col("pos") + F.col("word_len") + 1).alias("at")
     )

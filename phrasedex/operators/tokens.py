@@ -91,6 +91,12 @@ def document_terms(docs: DataFrame, body: str = "body", stopwords: Iterable[str]
     return rows.select(*keys, *(F.col(f"g.{c}").alias(name) for name, c in fields.items()))
 
 
+def document_texts(docs: DataFrame, body: str = "body", stopwords: Iterable[str] | None = None) -> DataFrame:
+    """(doc_id, texts ARRAY<STRING>): all texts of a document in one row, as ``document_terms`` cuts them."""
+    kept = docs.select("doc_id", _kept_text(body, stopwords).alias("text"))
+    return by_document(kept).groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+
+
 # Bytes of a table, by Catalyst's estimate for its columns, in a task that holds whole documents.
 DOCUMENT_BYTES = 1 << 20
 

@@ -9,6 +9,7 @@ from phrasedex.operators import (
     build_postings,
     candidate_docs,
     candidate_docs_by_bitmap,
+    document_texts,
     document_words,
     frequent_lengths,
     lookup_terms,
@@ -133,3 +134,19 @@ def test_any_number_of_terms_prunes_folders(spark, tmp_path):
     assert _scanned(df) < 0.15 * n
     assert [r["positions"] for r in read_index(spark, path).where("term = 'a000003'").collect()] == [[0, 1]]
     assert read_index(spark, path).where("term = 'b'").count() == 500
+
+
+def test_pairs_are_made_in_the_documents_row(spark):
+    docs, terms, vocab, _ = _corpus(spark, list(range(40)))
+    # Texts of one id count together; several words of a token share its offset; no id, no pairs.
+    more = spark.createDataFrame([(3, "the war of kings"), (3, "a the ab of the"), (3, "the the-of the-the war"), (None, "the war of kings"), (50, "é the\x0bthe war")], "doc_id long, body string")
+    docs = docs.unionByName(more)
+    terms = apply_stems(with_words(docs), stem_vocabulary(with_words(docs), with_counts=True)).select("doc_id", "pos", "term")
+    for limit in (5, 1000):
+        frequent = frequent_lengths(vocab, limit)
+        pairs = build_next_words(document_texts(docs), frequent)
+        # Texts are exchanged, once; neither positions nor pairs are.
+        assert _plan(pairs).count("Exchange") == 1 and "Join" not in _plan(pairs)
+        want = sorted((*r[:4], tuple(r[4])) for r in build_next_words(terms, frequent).collect())
+        assert sorted((*r[:4], tuple(r[4])) for r in pairs.collect()) == want and len(want) > 200
+    assert build_next_words(document_texts(docs), frequent.limit(0)).count() == build_next_words(document_texts(docs.limit(0)), frequent).count() == 0
