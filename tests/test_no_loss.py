@@ -8,6 +8,7 @@ from phrasedex.plans.build import build_index, corpus_postings
 from phrasedex.plans.search import search_batch, search_phrase
 from phrasedex.sources import conversation_documents, postings_from_text, read_queries, remove_stopwords
 from phrasedex.sources import corpus as corpus_source
+from phrasedex.sources.index_store import write_index
 
 
 def docs_of(spark, rows):
@@ -74,3 +75,17 @@ def test_routes_give_the_same_answers(spark, tmp_path):
     runs = [search_batch(spark, str(tmp_path / "i"), q, max_needed=n).matches for n in (0, 4, 100, 10**6)]
     found = [sorted(map(tuple, r.select("query_id", "doc_id", F.col("start_pos")).collect())) for r in runs]
     assert found[0] and all(f == found[0] for f in found)
+
+
+def test_several_roots_are_merged_once(spark, tmp_path):
+    # Odd tokens of document 1 are in one index, even ones in the other; a word that no phrase has is not read on.
+    halves = [("a", [("civil", 1, [0]), ("fight", 1, [10]), ("civil", 2, [5])]), ("b", [("war", 1, [6]), ("war", 2, [11]), ("other", 2, [0])])]
+    for name, rows in halves:
+        write_index(spark.createDataFrame(rows, "term string, doc_id long, positions array<int>"), str(tmp_path / name), num_files=1)
+    q = spark.createDataFrame([(1, "civil war"), (2, "war fights"), (3, "war")], "query_id long, query string")
+    for options in ({}, {"max_literal_terms": 1}, {"max_broadcast_words": 0, "max_broadcast_candidates": 0, "max_needed": 0}):
+        res = search_batch(spark, [str(tmp_path / "a"), str(tmp_path / "b")], q, **options)
+        assert sorted(map(tuple, res.docs.collect())) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1), (3, 2, 1)]
+        assert sorted(map(tuple, res.steps.collect())) == [(1, 1, 1, 0), (1, 2, 1, 5), (2, 1, 1, 6)]
+        # Postings meet before the search, not in each of its reads.
+        assert "collect_list(positions" not in res.docs._jdf.queryExecution().toString()
